@@ -21,26 +21,35 @@ SEGMENT = 1 << 10
 
 # ---- turns over message rows -------------------------------------------------------------------------------------
 
-def number_turns(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add ``turn_n`` (user messages so far, 0 before the first) and ``conversation_turns`` (their total)."""
+def number_turns(messages: DataFrame, chunk: int = CHUNK, carried: DataFrame | None = None) -> DataFrame:
+    """Add ``turn_n`` (user messages so far, 0 before the first) and ``conversation_turns`` (their total).
+
+    ``carried`` gives user messages that came before these rows, per conversation.
+    """
     require_columns(messages, "conversation_id", "pos", "role")
     chunk_no = F.floor(F.col("pos") / chunk).alias("_chunk")
-    is_user = (F.col("role") == "user").cast("int")
+    is_user = (F.col("role") == "user").cast("bigint")
     per_chunk = messages.groupBy("conversation_id", chunk_no).agg(F.sum(is_user).alias("_users"))
     conv = Window.partitionBy("conversation_id")
     offsets = per_chunk.select(
         "conversation_id",
         "_chunk",
-        F.sum("_users").over(conv.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        (F.sum("_users").over(conv.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_users"))
+        .alias("_before"),
         F.sum("_users").over(conv).alias("conversation_turns"),
-        "_users",
-    ).withColumn("_before", F.col("_upto") - F.col("_users"))
+    )
+    if carried is not None:
+        seen = F.coalesce("carried", F.lit(0))
+        offsets = (
+            offsets.join(carried.select("conversation_id", "carried"), "conversation_id", "left")
+            .withColumn("_before", F.col("_before") + seen)
+            .drop("carried")
+        )
     inside = Window.partitionBy("conversation_id", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         messages.select("*", chunk_no)
         .withColumn("_in", F.sum(is_user).over(inside))
-        .join(offsets.select("conversation_id", "_chunk", "_before", "conversation_turns"),
-              ["conversation_id", "_chunk"])
+        .join(offsets, ["conversation_id", "_chunk"])
         .withColumn("turn_n", F.col("_before") + F.col("_in"))
         .drop("_chunk", "_in", "_before")
     )
