@@ -1,30 +1,26 @@
-"""Array expressions over per-label values, so that scoring never fans rows out."""
+"""Numeric expressions shared by scoring and reporting."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def softmax(c: Column) -> Column:
-    """Softmax of an array of logits."""
-    shifted = F.transform(c, lambda x: F.exp(x - F.array_max(c)))
-    return F.transform(shifted, lambda e: e / array_sum(shifted))
-
-
-def array_sum(c: Column) -> Column:
-    return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
-
+def round_half_even(c: Column, digits: int) -> Column:
+    return F.bround(c, digits)
 
-def sigmoid_difference(a: Column, b: Column) -> Column:
-    """Per position 1 / (1 + exp(b - a))."""
-    return F.zip_with(a, b, lambda x, y: 1 / (1 + F.exp(y - x)))
 
+def round_doubles(df: DataFrame, digits: int) -> DataFrame:
+    """All double columns of a table rounded half to even."""
+    return df.select(*[F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
-def round_half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
 
+def pinned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the computed columns, which later filters cannot pull apart.
 
-def first_argmax(c: Column) -> Column:
-    """0-based position of the largest value; the first one on ties."""
-    return F.array_position(c, F.array_max(c)).cast("int") - 1
+    A filter on a computed column is pushed below its projection by copying the whole expression into the filter, once
+    per use. For deep expressions that costs far more than it saves, so they are passed through a one-element inline,
+    which filters stay above.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.arrays import pinned
+
 # Fixed values of the published algorithm: whole-word exceptions.
 EXCEPTIONS = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -133,4 +135,4 @@ def add_stems(words: DataFrame, column: str = "word", target: str = "stem") -> D
         .when(F.col("_kept"), F.regexp_replace(raw, "s$", ""))
         .otherwise(F.regexp_replace(w, "Y", "y"))
     )
-    return df.withColumn(target, stem).drop("_w", "_s", "_r1", "_r2", "_kept", "_cut")
+    return pinned(df, words.columns, **{target: stem})

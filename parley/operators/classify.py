@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,41 +16,64 @@ from parley.operators.scoring import Scorer
 SCORE_DIGITS = 3
 
 
-def _with_scores(scored: DataFrame, multi_label: bool) -> DataFrame:
-    """Add ``scores`` per label and ``_order``, the value that ranks them.
+def _with_scores(scored: DataFrame, labels: int, multi_label: bool) -> DataFrame:
+    """Add ``_p0..``, the score per label, and ``_o0..``, the value that ranks them.
 
     Single label: softmax of entailment over the labels. Multi label: entailment against contradiction per label.
+    Labels are plain columns here: a computed array that is read inside a lambda would be computed again for each of
+    its elements.
     """
+    ks = range(labels)
+    logits = scored.select(
+        "*",
+        *[F.col("entailment")[i].alias(f"_e{i}") for i in ks],
+        *[F.col("contradiction")[i].alias(f"_c{i}") for i in ks if multi_label],
+    )
     if multi_label:
-        order = F.zip_with("entailment", "contradiction", lambda e, c: e - c)
-        scores = A.sigmoid_difference(F.col("entailment"), F.col("contradiction"))
-    else:
-        order, scores = F.col("entailment"), A.softmax(F.col("entailment"))
-    return scored.withColumn("_order", order).withColumn("scores", scores)
+        return logits.select(
+            "*",
+            *[(F.col(f"_e{i}") - F.col(f"_c{i}")).alias(f"_o{i}") for i in ks],
+            *[(1 / (1 + F.exp(F.col(f"_c{i}") - F.col(f"_e{i}")))).alias(f"_p{i}") for i in ks],
+        )
+    top = F.greatest(*[F.col(f"_e{i}") for i in ks]) if labels > 1 else F.col("_e0")
+    shifted = logits.withColumn("_m", top).select("*", *[F.exp(F.col(f"_e{i}") - F.col("_m")).alias(f"_x{i}") for i in ks])
+    total = reduce(Column.__add__, [F.col(f"_x{i}") for i in ks])
+    return shifted.withColumn("_sum", total).select(
+        "*",
+        *[F.col(f"_e{i}").alias(f"_o{i}") for i in ks],
+        *[(F.col(f"_x{i}") / F.col("_sum")).alias(f"_p{i}") for i in ks],
+    )
 
 
 def rank_labels(
     df: DataFrame, scorer: Scorer, text: str, key: str, multi_label: bool = False, keep_text: bool = False
 ) -> DataFrame:
-    """Add ``ranked``: array of (label, score), best first, ties in candidate order. Ranked before any rounding.
+    """Add ``scores`` in label order and ``ranked``: array of (label, score), best first, ties in candidate order.
 
-    ``keep_text`` joins the text back on its unique key where the scorer does not carry it.
+    Ranked before any rounding. ``keep_text`` joins the text back on its unique key where the scorer does not
+    carry it.
     """
-    labels = F.array(*map(F.lit, scorer.labels))
-    places = F.transform(
-        "_order",
-        lambda x, i: F.struct(
-            (-x).alias("descending"),
-            i.alias("pos"),
-            F.element_at(labels, i + 1).alias("label"),
-            F.element_at(F.col("scores"), i + 1).alias("score"),
-        ),
+    scored = scorer.score(df, text, key)
+    kept = [c for c in scored.columns if c not in ("entailment", "contradiction")]
+    places = F.array(
+        *[
+            F.struct(
+                (-F.col(f"_o{i}")).alias("descending"), F.lit(i).alias("pos"), F.lit(label).alias("label"),
+                F.col(f"_p{i}").alias("score"),
+            )
+            for i, label in enumerate(scorer.labels)
+        ]
     )
     ranked = F.transform(F.array_sort(places), lambda s: F.struct(s.label.alias("label"), s.score.alias("score")))
-    scored = _with_scores(scorer.score(df, text, key), multi_label)
-    if keep_text and text not in scored.columns:
-        scored = scored.join(df.select(key, text), key)
-    return scored.withColumn("ranked", ranked).drop("entailment", "contradiction", "_order")
+    out = A.pinned(
+        _with_scores(scored, len(scorer.labels), multi_label),
+        kept,
+        scores=F.array(*[F.col(f"_p{i}") for i in range(len(scorer.labels))]),
+        ranked=ranked,
+    )
+    if keep_text and text not in out.columns:
+        return out.join(df.select(key, text), key)
+    return out
 
 
 def _rounded(ranked: Column) -> Column:
@@ -108,14 +132,14 @@ def predict(df: DataFrame, scorer: Scorer, text: str, key: str) -> DataFrame:
 
 def binary_probabilities(df: DataFrame, scorer: Scorer, text: str, key: str) -> DataFrame:
     """Add ``predicted_prob_0``, ``predicted_prob_1`` and ``predicted`` (0 on a tie) of a two-class scorer."""
-    p = A.softmax(F.col("entailment"))
-    return (
-        scorer.score(df, text, key)
-        .withColumn("_p", p)
-        .withColumn("predicted_prob_0", F.col("_p")[0])
-        .withColumn("predicted_prob_1", F.col("_p")[1])
-        .withColumn("predicted", A.first_argmax(F.col("_p")))
-        .drop("_p", "entailment", "contradiction")
+    scored = scorer.score(df, text, key)
+    kept = [c for c in scored.columns if c not in ("entailment", "contradiction")]
+    return A.pinned(
+        _with_scores(scored, 2, False),
+        kept,
+        predicted_prob_0=F.col("_p0"),
+        predicted_prob_1=F.col("_p1"),
+        predicted=F.when(F.col("_p1") > F.col("_p0"), 1).otherwise(0),
     )
 
 

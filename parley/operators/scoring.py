@@ -64,14 +64,17 @@ class HypothesisOverlapScorer:
             shared = F.size(F.array_intersect("_shared", literal(gs))).cast("double")
             return F.when((F.col("_n") > 0) & F.lit(len(gs) > 0), shared / F.nullif(norm, F.lit(0.0))).otherwise(0.0)
 
-        return (
+        cosines = (
             df.withColumn("_grams", F.array_distinct(X.char_trigrams(F.lower(F.coalesce(F.col(text), F.lit(""))))))
             .withColumn("_n", F.size("_grams").cast("double"))
             .withColumn("_shared", F.array_intersect("_grams", literal(all_grams)))
             .withColumn("_cosine", F.array(*[cosine(gs) for gs in grams]))
-            .withColumn("entailment", F.transform("_cosine", lambda x: rounded(self.scale * x)))
-            .withColumn("contradiction", F.transform("_cosine", lambda x: rounded(self.scale * (1 - x))))
-            .drop("_grams", "_n", "_shared", "_cosine")
+        )
+        return A.pinned(
+            cosines,
+            df.columns,
+            entailment=F.transform("_cosine", lambda x: rounded(self.scale * x)),
+            contradiction=F.transform("_cosine", lambda x: rounded(self.scale * (1 - x))),
         )
 
 
