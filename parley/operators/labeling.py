@@ -19,18 +19,13 @@ def labeling_queue(
     prompts: DataFrame, scorer: Scorer, text: str = "text", key: str = "seq", seed: int = 42, name: str = "place"
 ) -> DataFrame:
     """Shuffled texts with the label and score of the best, the second and the last candidate."""
-    ranked = rank_labels(prompts, scorer, text, key, keep_text=True)
-    picks = [("top", 1), ("second", 2), ("bottom", -1)]
-    columns = [
-        c
-        for who, at in picks
-        for c in (
-            F.element_at("ranked", at).label.alias(f"{who}_category"),
-            F.element_at("ranked", at).score.alias(f"{who}_score"),
-        )
-    ]
-    kept = [c for c in prompts.columns]
-    return number_rows(ranked.select(*kept, *columns), key, seed, name)
+    numbered = number_rows(prompts, key, seed, name)
+    ranked = rank_labels(numbered, scorer, text, key, keep_text=True)
+    columns = []
+    for who, at in (("top", 1), ("second", 2), ("bottom", -1)):
+        columns.append(F.element_at("ranked", at).label.alias(f"{who}_category"))
+        columns.append(F.element_at("ranked", at).score.alias(f"{who}_score"))
+    return ranked.select(*numbered.columns, *columns)
 
 
 def records_of(action: Column) -> Column:

@@ -57,21 +57,23 @@ class HypothesisOverlapScorer:
         all_grams = list(dict.fromkeys(g for gs in grams for g in gs))
 
         def literal(values: list[str]) -> Column:
-            return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
-
-        def cosine(gs: list[str]) -> Column:
-            norm = F.sqrt(F.col("_n") * float(len(gs)))
-            shared = F.size(F.array_intersect("_shared", literal(gs))).cast("double")
-            return F.when((F.col("_n") > 0) & F.lit(len(gs) > 0), shared / F.nullif(norm, F.lit(0.0))).otherwise(0.0)
-
-        cosines = (
-            df.withColumn("_grams", F.array_distinct(X.char_trigrams(F.lower(F.coalesce(F.col(text), F.lit(""))))))
-            .withColumn("_n", F.size("_grams").cast("double"))
-            .withColumn("_shared", F.array_intersect("_grams", literal(all_grams)))
-            .withColumn("_cosine", F.array(*[cosine(gs) for gs in grams]))
+            return F.array(*map(F.lit, values)).cast("array<string>")
+
+        found = df.withColumn("_grams", F.array_distinct(X.char_trigrams(F.lower(F.coalesce(F.col(text), F.lit(""))))))
+        # pinned, because the lambda below would otherwise repeat the intersection for each label
+        found = A.pinned(
+            found, df.columns, _n=F.size("_grams").cast("double"), _shared=F.array_intersect("_grams", literal(all_grams))
+        )
+        hypotheses = F.array(*[F.struct(literal(gs).alias("g"), F.lit(float(len(gs))).alias("size")) for gs in grams])
+        cosine = F.transform(
+            hypotheses,
+            lambda h: F.when(
+                (F.col("_n") > 0) & (h.size > 0),
+                F.size(F.array_intersect("_shared", h.g)) / F.sqrt(F.col("_n") * h.size),
+            ).otherwise(0.0),
         )
         return A.pinned(
-            cosines,
+            found.withColumn("_cosine", cosine),
             df.columns,
             entailment=F.transform("_cosine", lambda x: rounded(self.scale * x)),
             contradiction=F.transform("_cosine", lambda x: rounded(self.scale * (1 - x))),

@@ -93,33 +93,40 @@ def clean_column(df: DataFrame, text: str, excluded: Sequence[str] = (), target:
     return df.withColumn(target, X.drop_words(X.clean(F.col(text)), dropped))
 
 
-#: A lookup table of at most this many rows is broadcast; a larger one is joined by a salted shuffle.
-BROADCAST_ROWS = 200_000
-SALTS = 32
+#: Lookup tables of at most this many rows are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: str, spread: str) -> DataFrame:
-    """Left join with a lookup table of one row per key, safe for keys that hold a large share of the rows.
+def frequent_first_join(
+    rows: DataFrame, table: DataFrame, on: str, frequency: str = "n", bound: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Left join with a lookup table that also tells how many rows each key has.
 
-    The table's size is counted. Beyond the bound, rows of one key are spread over SALTS tasks by another column and
-    the table is copied once per salt.
+    A table of up to ``bound`` rows is broadcast. Of a larger one the frequent keys are: at most ``bound`` keys can
+    each hold 1/bound of the rows. Only rows of the other keys are shuffled, and none of those keys is large.
     """
-    if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, "left")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [on, "_salt"], "left").drop("_salt")
+    size, total = table.agg(F.count("*"), F.sum(frequency)).first()
+    lookup = table.drop(frequency)
+    if size <= bound:
+        return rows.join(F.broadcast(lookup), on, "left")
+    is_frequent = F.col(frequency) >= F.lit(total / bound)
+    frequent = F.broadcast(table.where(is_frequent).drop(frequency))
+    rare = table.where(~is_frequent).drop(frequency)
+    return rows.join(frequent, on).unionByName(
+        rows.join(frequent.select(on), on, "left_anti").join(rare, on, "left")
+    )
 
 
 def clean_stemmed_column(
     df: DataFrame, key: str, text: str, excluded: Sequence[str] = (), target: str = "clean_text"
 ) -> DataFrame:
     """(key, clean text) with stemmed words, in order. Each distinct word is stemmed once."""
-    cleaned = clean_column(df.select(key, text), text, excluded, "_clean")
+    cleaned = clean_column(df.select(key, F.coalesce(text, F.lit("")).alias(text)), text, excluded, "_clean")
     placed = cleaned.select(key, F.posexplode_outer(F.split("_clean", " ")).alias("pos", "word"))
-    stems = materialize(add_stems(placed.select("word").where("word <> ''").distinct()), "stems")
-    joined = lookup_join(placed, stems, "word", key)
-    item = F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))
+    # the empty word of empty texts is counted like any other, since it can be the most frequent one
+    counted = placed.groupBy("word").agg(F.count("*").alias("n"))
+    joined = frequent_first_join(placed, materialize(add_stems(counted), "stems"), "word")
+    item = F.when(F.col("stem") != "", F.struct("pos", "stem"))
     return joined.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.stem), " ").alias(target)
     )

@@ -51,21 +51,14 @@ def nli(spark: SparkSession, sf: str, spread: bool = True) -> DataFrame:
         F.array(*map(F.lit, CATEGORIES)), F.floor(F.sqrt((F.col("doc_id") % 144).cast("double"))).cast("int") + 1
     )
     label = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = docs.join(table(spark, sf, "labels"), "doc_id").select(
+    docs = documents(spark, sf, spread).select("doc_id", "text")
+    return docs.join(table(spark, sf, "labels"), "doc_id").select(
         F.col("doc_id").alias("seq"),
         "text",
         category.alias("category"),
         label.alias("label"),
         F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
     )
-    return rows.repartition(spark.sparkContext.defaultParallelism) if spread and small(spark, sf) else rows
-
-
-def small(spark: SparkSession, sf: str) -> bool:
-    from parley.sources.tables import SMALL_INPUT_BYTES, file_sizes
-
-    return file_sizes(spark, f"{sf.rstrip('/')}/documents.parquet").agg(F.sum("bytes")).first()[0] <= SMALL_INPUT_BYTES
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:

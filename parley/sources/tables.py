@@ -27,16 +27,22 @@ def list_files(df: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("rows"))
 
 
+def is_small(df: DataFrame, path: str) -> bool:
+    """Whether a table has fewer files than there are cores and SMALL_INPUT_BYTES at most."""
+    spark = df.sparkSession
+    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
+        return False
+    return file_sizes(spark, path).agg(F.sum("bytes")).first()[0] <= SMALL_INPUT_BYTES
+
+
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """Read a parquet table.
 
-    ``spread`` is for work that is heavy per row: an input of at most SMALL_INPUT_BYTES, which one row group and
-    so one core would read, is dealt out to all cores. Beyond that the scan is parallel by itself and nothing moves.
+    ``spread`` is for work that is heavy per row: a small input, which one row group and so one core would read, is
+    dealt out to all cores. Beyond that the scan is parallel by itself and nothing moves.
     """
     df = spark.read.parquet(path)
-    if spread and file_sizes(spark, path).agg(F.sum("bytes")).first()[0] <= SMALL_INPUT_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread and is_small(df, path) else df
 
 
 def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType | None = None) -> DataFrame:
