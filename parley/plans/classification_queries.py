@@ -236,49 +236,58 @@ def label_pair_counts(spark, sf):
 TOP_K = 10
 
 
-def evaluation_rows(spark, sf):
-    """Test entailments of the ten most frequent categories, and those categories."""
-    test = Q.entailments(X.nli(spark, sf)).where("split = 'test'")
-    labels = [r["category"] for r in Q.top_categories(test, TOP_K, exclude=["general knowledge"]).collect()]
+def evaluation_rows(spark, sf, k=TOP_K, grouped=False):
+    """Test entailments of the ``k`` most frequent categories (or category groups), and those categories."""
+    test = entailment_rows(spark, sf, grouped).where("split = 'test'")
+    labels = [r["category"] for r in Q.top_categories(test, k, exclude=["general knowledge"]).collect()]
     return test.where(F.col("category").isin(labels)).select("seq", "text", "category"), labels
 
 
-def tuned_scorer(spark, sf, labels):
-    train = Q.entailments(X.nli(spark, sf)).where("split = 'train'")
+def entailment_rows(spark, sf, grouped=False):
+    rows = Q.entailments(X.nli(spark, sf))
+    return Q.group_categories(rows) if grouped else rows
+
+
+def tuned_scorer(spark, sf, labels, grouped=False):
+    train = entailment_rows(spark, sf, grouped).where("split = 'train'")
     return fit_naive_bayes(train, "text", "category", labels, VOCAB)
 
 
-def both_predictions(spark, sf):
+def both_predictions(spark, sf, k=TOP_K, grouped=False):
     """(model, category, predicted_class) of the untrained and the fitted scorer; written once for all metrics."""
     from parley.session import materialize
 
-    rows, labels = evaluation_rows(spark, sf)
+    rows, labels = evaluation_rows(spark, sf, k, grouped)
     parts = [
         K.predict(rows, scorer, "text", "seq").select(
             F.lit(model).alias("model"), "seq", "category", "predicted_class", "predicted_scores"
         )
-        for model, scorer in (("base", HypothesisOverlapScorer(labels)), ("tuned", tuned_scorer(spark, sf, labels)))
+        for model, scorer in (("base", HypothesisOverlapScorer(labels)), ("tuned", tuned_scorer(spark, sf, labels, grouped)))
     ]
     return materialize(parts[0].unionByName(parts[1]), "predictions"), labels
 
 
-EVAL_TOP = f"""{X.NLI}, ent AS (SELECT * FROM nli WHERE label = 2),
+def eval_top(k: int = TOP_K, category: str = "category") -> str:
+    return f"""{X.NLI}, ent AS (SELECT seq, text, split, {category} AS category FROM nli WHERE label = 2),
 top AS (SELECT category, count(*) AS n FROM ent WHERE split = 'test' AND category <> 'general knowledge'
-  GROUP BY category ORDER BY n DESC, category LIMIT {TOP_K}),
+  GROUP BY category ORDER BY n DESC, category LIMIT {k}),
 toplab AS (SELECT category AS label, row_number() OVER (ORDER BY n DESC, category) - 1 AS pos FROM top),
 test AS (SELECT seq, text, category FROM ent WHERE split = 'test' AND category IN (SELECT category FROM top)),
 train AS (SELECT category, text FROM ent WHERE split = 'train'),
 src AS (SELECT seq AS id, text FROM test)"""
 
 
-def _eval(part: str) -> str:
+def from_data(part: str) -> str:
     """Replace the literal label rows of a part by the ranked categories of the data."""
-    marker = P.label_rows(["?"])
-    return part.replace(f"{marker} AS v(pos, label)", "toplab").replace(f"+ 1) AS p", f"+ {TOP_K}) AS p")
+    rows = P.label_rows(["?"])
+    return part.replace(f"{rows} AS v(pos, label)", "toplab").replace(
+        "(SELECT count(*) FROM known) + 1)", "(SELECT count(*) FROM known) + (SELECT count(*) FROM toplab))"
+    )
 
 
-BASE_PRED = f"base AS (WITH {_eval(P.overlap(['?']))} SELECT id, label, score FROM ranked WHERE r = 1)"
-TUNED_PRED = f"tuned AS (WITH {_eval(P.naive_bayes(['?'], VOCAB))} SELECT id, label, score FROM ranked WHERE r = 1)"
+EVAL_TOP = eval_top()
+BASE_PRED = f"base AS (WITH {from_data(P.overlap(['?']))} SELECT id, label, score FROM ranked WHERE r = 1)"
+TUNED_PRED = f"tuned AS (WITH {from_data(P.naive_bayes(['?'], VOCAB))} SELECT id, label, score FROM ranked WHERE r = 1)"
 
 
 def eval_sql(which: str) -> str:
@@ -287,7 +296,8 @@ def eval_sql(which: str) -> str:
 pred AS (SELECT test.category AS true_class, {which}.label AS predicted_class FROM test JOIN {which} ON {which}.id = test.seq)"""
 
 
-BOTH = f"""{EVAL_TOP}, {BASE_PRED}, {TUNED_PRED},
+def both_sql(top: str = EVAL_TOP) -> str:
+    return f"""{top}, {BASE_PRED}, {TUNED_PRED},
 predb AS (SELECT test.category AS true_class, base.label AS predicted_class FROM test JOIN base ON base.id = test.seq),
 predt AS (SELECT test.category AS true_class, tuned.label AS predicted_class FROM test JOIN tuned ON tuned.id = test.seq)"""
 
@@ -375,7 +385,7 @@ def accuracy_percent(spark, sf):
 
 @query(
     "matrix_comparison",
-    f"""WITH {BOTH},
+    f"""WITH {both_sql()},
 b AS (SELECT true_class, predicted_class, count(*) AS n FROM predb GROUP BY ALL),
 t AS (SELECT true_class, predicted_class, count(*) AS n FROM predt GROUP BY ALL)
 SELECT coalesce(b.true_class, t.true_class) AS true_class, coalesce(b.predicted_class, t.predicted_class) AS predicted_class,
@@ -388,24 +398,38 @@ def matrix_comparison(spark, sf):
     return M.compare_matrices(counts.where("model = 'base'"), counts.where("model = 'tuned'"))
 
 
-@query(
-    "model_comparison",
-    f"""WITH {BOTH},
+def comparison_sql(top: str = EVAL_TOP) -> str:
+    return f"""WITH {both_sql(top)},
 mb AS (WITH {P.class_table('predb')} {P.BUNDLE}), mt AS (WITH {P.class_table('predt')} {P.BUNDLE})
 SELECT mb.accuracy AS base_accuracy, mb.f1_macro AS base_f1_macro, mt.accuracy AS tuned_accuracy,
   mt.f1_macro AS tuned_f1_macro, round_even(mt.accuracy - mb.accuracy, 5) AS accuracy_gain,
-  round_even(mt.f1_macro - mb.f1_macro, 5) AS f1_macro_gain FROM mb, mt""",
-)
-def model_comparison(spark, sf):
-    predicted, _ = both_predictions(spark, sf)
+  round_even(mt.f1_macro - mb.f1_macro, 5) AS f1_macro_gain FROM mb, mt"""
+
+
+def comparison(spark, sf, k=TOP_K, grouped=False):
+    predicted, _ = both_predictions(spark, sf, k, grouped)
     bundles = M.metrics_bundle(M.prediction_counts(predicted, "category", "predicted_class", ["model"]), ["model"])
     compared = M.compare_metrics(round_metrics(bundles), "base", "tuned")
-    gains = [c for c in compared.columns if c.endswith("_gain")]
     return compared.select(
-        *[F.bround(c, 5).alias(c) if c in gains else F.col(c) for c in compared.columns]
+        *[F.bround(c, 5).alias(c) if c.endswith("_gain") else F.col(c) for c in compared.columns]
     )
 
 
+@query("model_comparison", comparison_sql())
+def model_comparison(spark, sf):
+    return comparison(spark, sf)
+
+
+@query("model_comparison_twelve", comparison_sql(eval_top(12)))
+def model_comparison_twelve(spark, sf):
+    return comparison(spark, sf, 12)
+
+
+@query("model_comparison_groups", comparison_sql(eval_top(6, P.category_groups())))
+def model_comparison_groups(spark, sf):
+    return comparison(spark, sf, 6, grouped=True)
+
+
 # ---- other back ends ---------------------------------------------------------------------------------------------
 
 def _load_length_model():

@@ -107,10 +107,7 @@ def category_swapped(spark, sf):
     return Q.swap_value(X.nli(spark, sf, False), "category", "coding", "code").select("seq", "category")
 
 
-GROUPED = """CASE WHEN category IN ('business', 'finance') THEN 'business and finance'
-       WHEN category IN ('language', 'writing') THEN 'language and writing'
-       WHEN category IN ('popular culture', 'music', 'entertainment') THEN 'culture and entertainment'
-       WHEN category IN ('technology', 'ai') THEN 'technology and ai' ELSE category END"""
+GROUPED = P.category_groups()
 
 
 @query("category_groups", f"WITH {X.NLI} SELECT seq, {GROUPED} AS category FROM nli")

@@ -90,3 +90,10 @@ cls AS (SELECT *, tp + fn AS support, 2 * tp / (2 * tp + fp + fn) AS f1 FROM cls
 
 BUNDLE = """SELECT CAST(sum(support) AS BIGINT) AS n, round_even(sum(tp) / sum(support), 6) AS accuracy,
   round_even(avg(f1), 6) AS f1_macro, round_even(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM cls"""
+
+
+def category_groups() -> str:
+    return """CASE WHEN category IN ('business', 'finance') THEN 'business and finance'
+       WHEN category IN ('language', 'writing') THEN 'language and writing'
+       WHEN category IN ('popular culture', 'music', 'entertainment') THEN 'culture and entertainment'
+       WHEN category IN ('technology', 'ai') THEN 'technology and ai' ELSE category END"""
