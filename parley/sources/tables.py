@@ -32,7 +32,7 @@ def is_small(df: DataFrame, path: str) -> bool:
     spark = df.sparkSession
     if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
         return False
-    return file_sizes(spark, path).agg(F.sum("bytes")).first()[0] <= SMALL_INPUT_BYTES
+    return sum(r["bytes"] for r in file_sizes(spark, path).collect()) <= SMALL_INPUT_BYTES
 
 
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
