@@ -27,7 +27,7 @@ def number_turns(messages: DataFrame, chunk: int = CHUNK, carried: DataFrame | N
     ``carried`` gives user messages that came before these rows, per conversation.
     """
     require_columns(messages, "conversation_id", "pos", "role")
-    chunk_no = F.floor(F.col("pos") / chunk).alias("_chunk")
+    chunk_no = F.call_function("div", F.col("pos"), F.lit(chunk)).alias("_chunk")
     is_user = (F.col("role") == "user").cast("bigint")
     per_chunk = messages.groupBy("conversation_id", chunk_no).agg(F.sum(is_user).alias("_users"))
     conv = Window.partitionBy("conversation_id")
@@ -168,7 +168,7 @@ def nest_messages(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Nested rows of at most ``segment`` messages, in order; a longer conversation has several rows."""
     item = F.struct("pos", "role", "content")
     return (
-        messages.groupBy("conversation_id", "language", F.floor(F.col("pos") / segment).alias("segment"))
+        messages.groupBy("conversation_id", "language", F.call_function("div", F.col("pos"), F.lit(segment)).alias("segment"))
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .select(
             "conversation_id",

@@ -1,6 +1,7 @@
 """Order-based operators that never sort a whole table in one task.
 
-Random order is the md5 order of a seeded unique key, so every run (and the SQL oracle) agrees on it.
+Random order is the md5 order of a seeded key, so every run (and the SQL oracle) agrees on it. Keys have to be unique
+and not NULL.
 Cuts at a rank ("the n smallest") are found by narrowing a bucket histogram on the key column alone; the wide
 rows are then filtered by a literal bound, without any shuffle. Only operators that must number every row
 shuffle it, by buckets of the order.
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Buckets per narrowing round; bounds the histogram that reaches the driver.
 HISTOGRAM_BUCKETS = 1 << 12
+#: The same for md5 texts: 16**3 buckets of leading hex digits.
+HISTOGRAM_DIGITS = 3
 #: A range with at most this many keys is sorted directly.
 DIRECT_SORT_KEYS = 1 << 18
 #: Leading hex digits of the md5 that name a bucket: 16**4 = 65,536 buckets of even size.
@@ -27,17 +30,12 @@ def hash_order(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _hash_number(hashed: Column) -> Column:
-    """The first 60 bits of an md5, which order like the text itself."""
-    return F.conv(F.left(hashed, F.lit(15)), 16, 10).cast("bigint")
-
-
 @dataclass(frozen=True)
 class Cut:
     """Rows at or below ``bound`` of ``order`` are the first ``taken`` of ``total`` rows."""
 
     order: Column
-    bound: int | None
+    bound: int | str | None
     taken: int
     total: int
 
@@ -49,59 +47,75 @@ class Cut:
         return self.order <= F.lit(self.bound)
 
 
-def cut_at_rank(
-    df: DataFrame,
-    order: Column,
-    n: int | None = None,
-    share: float | None = None,
-    span: tuple[int, int] | None = None,
-) -> Cut:
-    """The value of a unique integer ``order`` that ends the first ``n`` rows (or int(total * share) rows).
+def _whole(order: Column, n: int, total: int) -> Cut | None:
+    """The cut that takes no row or all rows, if ``n`` asks for one of them."""
+    return Cut(order, None, max(0, min(n, total)), total) if n >= total or n <= 0 else None
+
+
+def _bucket_of_rank(counts: dict, rank: int) -> tuple:
+    """The bucket that holds a rank, the rows in buckets before it and the rows in it."""
+    before = 0
+    for bucket in sorted(counts):
+        if before + counts[bucket] >= rank:
+            return bucket, before, counts[bucket]
+        before += counts[bucket]
+    raise ValueError(f"rank {rank} is beyond {before} rows")
+
+
+def cut_at_rank(df: DataFrame, order: Column, n: int) -> Cut:
+    """The value of a unique integer ``order`` that ends the first ``n`` rows.
 
     Each round counts rows in at most HISTOGRAM_BUCKETS equal ranges (map-side combined) and narrows to the
-    range holding the rank, so only key values of one small range are ever sorted. ``span`` names bounds known
-    beforehand and saves the pass that finds them.
+    range holding the rank, so only key values of one small range are ever sorted.
     """
     keys = df.select(order.alias("o"))
-    if span:
-        (low, high), inside = span, None
-    else:
-        low, high, inside = keys.agg(F.min("o"), F.max("o"), F.count("o")).first()
-    total, before = inside, 0
-    while True:
-        if total is not None:
-            n = int(total * share) if share is not None else n
-            if n >= total or n <= 0:
-                return Cut(order, None, max(0, min(n, total)), total)
-            if inside <= DIRECT_SORT_KEYS or high <= low:
-                break
+    low, high, total = keys.agg(F.min("o"), F.max("o"), F.count("o")).first()
+    whole = _whole(order, n, total)
+    if whole:
+        return whole
+    rank, inside = n, total
+    while inside > DIRECT_SORT_KEYS and high > low:
         width = (high - low) // HISTOGRAM_BUCKETS + 1
         bucket = F.call_function("div", F.col("o") - F.lit(low), F.lit(width))
         ranged = keys.where(F.col("o").between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*"))
-        counts = dict(ranged.collect())
-        if total is None:
-            total = sum(counts.values())
-            n = int(total * share) if share is not None else n
-            if n >= total or n <= 0:
-                continue
-        for b in sorted(counts):
-            if before + counts[b] >= n:
-                break
-            before += counts[b]
-        inside = counts[b]
+        b, before, inside = _bucket_of_rank(dict(ranged.collect()), rank)
+        rank -= before
         low, high = low + b * width, min(high, low + (b + 1) * width - 1)
-    rest = keys.where(F.col("o").between(low, high)).orderBy("o").limit(n - before)
+    rest = keys.where(F.col("o").between(low, high)).orderBy("o").limit(rank)
     return Cut(order, rest.agg(F.max("o")).first()[0], n, total)
 
 
-def _random_cut(df: DataFrame, key: str, seed: int | str, n: int | None = None, share: float | None = None) -> Cut:
-    """Cut of the random order, whose span is known."""
-    return cut_at_rank(df, _hash_number(hash_order(F.col(key), seed)), n, share, span=(0, (1 << 60) - 1))
+def random_cut(
+    df: DataFrame, key: str, seed: int | str, n: int | None = None, share: float | None = None
+) -> Cut:
+    """The md5 that ends the first ``n`` rows (or int(total * share) rows) of the random order.
+
+    Like cut_at_rank, with the leading hex digits of the md5 as buckets.
+    """
+    order = hash_order(F.col(key), seed)
+    keys = df.select(order.alias("h"))
+    prefix, rank, inside, total = "", None, None, None
+    while inside is None or (inside > DIRECT_SORT_KEYS and len(prefix) < 30):
+        digits = F.substring("h", len(prefix) + 1, HISTOGRAM_DIGITS)
+        ranged = keys.where(F.startswith("h", F.lit(prefix))).groupBy(digits.alias("b")).agg(F.count("*"))
+        counts = dict(ranged.collect())
+        if total is None:
+            total = sum(counts.values())
+            n = int(total * share) if share is not None else n
+            whole = _whole(order, n, total)
+            if whole:
+                return whole
+            rank = n
+        b, before, inside = _bucket_of_rank(counts, rank)
+        rank -= before
+        prefix += b
+    rest = keys.where(F.startswith("h", F.lit(prefix))).orderBy("h").limit(rank)
+    return Cut(order, rest.agg(F.max("h")).first()[0], n, total)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, strict: bool = True) -> DataFrame:
     """Exactly ``n`` random rows without replacement; ``strict`` raises when there are fewer."""
-    cut = _random_cut(df, key, seed, n)
+    cut = random_cut(df, key, seed, n)
     if strict and n > cut.total:
         raise ValueError(f"cannot take {n} rows out of {cut.total}")
     return df.where(cut.inside())
@@ -133,14 +147,14 @@ def row_window(df: DataFrame, start: int, size: int, seq: str) -> DataFrame:
 
 def positional_split(df: DataFrame, key: str, eval_share: float, seed: int = 42) -> DataFrame:
     """Add ``split``: the first int(N * (1 - eval_share)) rows of the random order train, the others evaluate."""
-    cut = _random_cut(df, key, seed, share=1 - eval_share)
+    cut = random_cut(df, key, seed, share=1 - eval_share)
     return df.withColumn("split", F.when(cut.inside(), "train").otherwise("eval"))
 
 
 def share_split(df: DataFrame, key: str, test_share: float, seed: int = 38) -> DataFrame:
     """Add ``split``: ceil(N * test_share) rows of the random order test, the others train."""
     total = df.count()
-    cut = _random_cut(df, key, seed, total - math.ceil(total * test_share))
+    cut = random_cut(df, key, seed, total - math.ceil(total * test_share))
     return df.withColumn("split", F.when(cut.inside(), "train").otherwise("test"))
 
 
@@ -178,8 +192,8 @@ def length_batches(
     """
     mega = batch_size * mega_factor
     ranked = number_rows(df.withColumn("_len", length), key, seed, "_seq").withColumn(
-        "mega_batch", F.floor((F.col("_seq") - 1) / mega)
+        "mega_batch", F.call_function("div", F.col("_seq") - 1, F.lit(mega))
     )
     place = F.row_number().over(Window.partitionBy("mega_batch").orderBy(F.desc("_len"), key))
-    batch = F.col("mega_batch") * mega_factor + F.floor((place - 1) / batch_size)
+    batch = F.col("mega_batch") * mega_factor + F.call_function("div", place - 1, F.lit(batch_size))
     return ranked.withColumn("batch", batch).drop("_len", "_seq")
