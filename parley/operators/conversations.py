@@ -17,6 +17,8 @@ from parley.schemas import require_columns
 CHUNK = 1 << 16
 #: Messages per nested row when rows are built from messages.
 SEGMENT = 1 << 10
+#: Id tables of at most this many ids are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 # ---- turns over message rows -------------------------------------------------------------------------------------
@@ -155,11 +157,20 @@ def multi_turn(messages: DataFrame) -> DataFrame:
     )
 
 
-def with_ids(df: DataFrame, ids: list[str] | DataFrame, column: str = "conversation_id") -> DataFrame:
-    """Keep rows whose id is listed. A list becomes a pushed-down filter; a table a semi join."""
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select(column), column, "left_semi")
-    return df.where(F.col(column).isin(list(ids)))
+def with_ids(
+    df: DataFrame, ids: list[str] | DataFrame, column: str = "conversation_id", bound: int = BROADCAST_IDS
+) -> DataFrame:
+    """Keep rows whose id is listed. A list becomes a pushed-down filter; a table a semi join.
+
+    Up to ``bound`` distinct ids are broadcast, after counting them, so rows of a very frequent id stay where they are.
+    A larger table is joined by a shuffle, in which Spark splits the partitions of frequent ids.
+    """
+    if not isinstance(ids, DataFrame):
+        return df.where(F.col(column).isin(list(ids)))
+    wanted = ids.select(column).distinct()
+    if wanted.limit(bound + 1).count() <= bound:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, column, "left_semi")
 
 
 # ---- nested rows -------------------------------------------------------------------------------------------------

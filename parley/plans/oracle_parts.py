@@ -9,6 +9,11 @@ from parley.functions.text import PLAIN_TEMPLATE
 WORDS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
+# every run of three characters: the disjoint runs from the first, the second and the third character on
+TRIGRAMS = """(regexp_extract_all({t}, '(?s)...') || regexp_extract_all(substr({t}, 2), '(?s)...')
+  || regexp_extract_all(substr({t}, 3), '(?s)...'))"""
+
+
 def words(c: str) -> str:
     return WORDS.format(c=c)
 
@@ -33,7 +38,7 @@ ranked AS (SELECT *, x / sum(x) OVER (PARTITION BY id) AS score,
 
 def overlap(labels: Sequence[str], template: str = PLAIN_TEMPLATE, scale: float = 10.0, multi_label: bool = False) -> str:
     """From src(id, text) to ranked, by trigram overlap."""
-    grams = "list_distinct(list_transform(range(1, length({t}) - 1), lambda i: substring({t}, i, 3)))"
+    grams = f"list_distinct({TRIGRAMS})"
     return f"""hyp AS (SELECT pos, label, lower(replace({quoted(template)}, '{{}}', label)) AS h
   FROM {label_rows(labels)} AS v(pos, label)),
 lab AS (SELECT pos, label, {grams.format(t='h')} AS g FROM hyp),

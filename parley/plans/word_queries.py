@@ -139,7 +139,7 @@ def tfidf(spark, sf):
 
 
 LETTERS = r"' ' || regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') || ' '"
-GRAMS = "list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))"
+GRAMS = P.TRIGRAMS.format(t="s")
 PROFILE = f"""s AS (SELECT doc_id, lang, {LETTERS} AS s FROM documents),
 g AS (SELECT doc_id, lang, unnest({GRAMS}) AS gram FROM s),
 n AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 5 <> 0 GROUP BY lang, gram),

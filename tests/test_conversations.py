@@ -109,3 +109,4 @@ def test_transcript_skips_other_roles(messages):
 def test_ids_by_list_and_by_table(spark, messages):
     ids = spark.createDataFrame([("long",), ("long",)], "conversation_id string")
     assert C.with_ids(messages, ["long"]).count() == C.with_ids(messages, ids).count() == 10
+    assert C.with_ids(messages, ids, bound=0).count() == 10
