@@ -159,33 +159,28 @@ def fit_naive_bayes(
     )
 
 
-_LOADED: dict[str, Callable] = {}
-
-
 @dataclass(frozen=True)
 class ModelScorer:
     """A user's model, called on Arrow batches.
 
-    ``load`` is called once per Python worker and returns ``model(texts, labels) -> (entailment, contradiction)``, two
+    ``load`` is called once per task and returns ``model(texts, labels) -> (entailment, contradiction)``, two
     lists of per-label lists.
     """
 
     labels: Sequence[str]
     load: Callable[[], Callable]
-    name: str = "model"
 
     def score(self, df: DataFrame, text: str, key: str | None = None) -> DataFrame:
-        labels, load, name = list(self.labels), self.load, self.name
+        labels, load = list(self.labels), self.load
         logits = T.ArrayType(T.DoubleType())
         schema = T.StructType(
             df.schema.fields + [T.StructField("entailment", logits), T.StructField("contradiction", logits)]
         )
 
         def run(batches):
-            if name not in _LOADED:
-                _LOADED[name] = load()
+            model = load()
             for batch in batches:
-                entailment, contradiction = _LOADED[name](batch[text].tolist(), labels)
+                entailment, contradiction = model(batch[text].tolist(), labels)
                 yield batch.assign(entailment=list(entailment), contradiction=list(contradiction))
 
         return df.mapInPandas(run, schema)

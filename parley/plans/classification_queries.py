@@ -432,15 +432,6 @@ def model_comparison_groups(spark, sf):
 
 # ---- other back ends ---------------------------------------------------------------------------------------------
 
-def _load_length_model():
-    """A stand-in for a user's model: labels score by how often their first letter occurs."""
-    def model(texts, labels):
-        counts = [[float(t.lower().count(l[0])) for l in labels] for t in texts]
-        return counts, [[-x for x in row] for row in counts]
-
-    return model
-
-
 @query(
     "model_backend",
     f"""WITH lab AS (SELECT * FROM {P.label_rows(LABELS)} AS v(pos, label)),
@@ -449,5 +440,16 @@ s AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, label AS predicted_class FROM s WHERE r = 1""",
 )
 def model_backend(spark, sf):
-    scorer = ModelScorer(LABELS, _load_length_model, "letters")
+    def load():
+        """A stand-in for a user's model: labels score by how often their first letter occurs.
+
+        It is defined here so that it travels to the Python workers by value.
+        """
+        def model(texts, labels):
+            counts = [[float(t.lower().count(l[0])) for l in labels] for t in texts]
+            return counts, [[-x for x in row] for row in counts]
+
+        return model
+
+    scorer = ModelScorer(LABELS, load)
     return K.predict(short(spark, sf), scorer, "text", "doc_id").select("doc_id", "predicted_class")

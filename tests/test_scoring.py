@@ -70,7 +70,7 @@ def test_naive_bayes_keeps_texts_without_known_words(spark, texts):
 
 
 def test_binary_tie_is_class_zero(spark):
-    even = ModelScorer(["no", "yes"], lambda: lambda ts, ls: ([[1.0, 1.0] for _ in ts], [[0.0, 0.0] for _ in ts]), "even")
+    even = ModelScorer(["no", "yes"], lambda: lambda ts, ls: ([[1.0, 1.0] for _ in ts], [[0.0, 0.0] for _ in ts]))
     df = spark.createDataFrame([(0, "a")], "id int, text string")
     row = K.classify_binary_column(df, even, "text", "id", "t", {0: "no", 1: "yes"}).first()
     assert (row["pred_label_t"], row["prob_t"]) == ("no", 0.5)
