@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import quality
+from parley.llm import bpe, language_id, quality
+from parley.llm.exprs import crc_remainder
 
 QUERIES = {}
 ORACLES = {}
@@ -28,3 +30,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.judged(docs).drop("text", "clean_text")
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    remainder = crc_remainder("doc_id", 4)
+    filters = language_id.learned(docs.filter(remainder != 2))
+    found = language_id.identified(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
