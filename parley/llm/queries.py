@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import bpe, language_id, quality
+from parley.llm import bpe, chat, language_id, quality, sharding, warc
 from parley.llm.exprs import crc_remainder
+from parley.session import fresh_path, materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +47,29 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op4_warc", warc.ORACLE)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, folder, "pages"), archive)
+    read = materialize(warc.facts(warc.parsed(warc.records(spark, archive))), "warc-facts")
+    return warc.resolved(read).withColumnRenamed("id", "page_id")
+
+
+@query("op5_sharding", sharding.ORACLE)
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assigned(table(spark, folder, "documents"))
+
+
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+@query("op9_chat", chat.oracle(f"VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')"))
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)],
+                                  "conv_id long, turn long, role string, text string")
+    out = fresh_path(spark, "chat")
+    chat.write_formatted(chat.events_of(turns.unionByName(extra)), out)
+    return chat.read_back(spark.read.parquet(out))
