@@ -29,7 +29,9 @@ from parley.llm.codepoints import CHUNK, SEPARATOR, classes
 #: A vocabulary file is sent to every worker, so its size is bounded.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 250_000
+#: Characters that are encoded at once; results leave the worker at the same pace.
+BATCH_CHARS = 1 << 19
 #: Bytes of a slice up to which slices are merged side by side; longer ones use a heap.
 PLAIN_MERGE = 40
 LETTER, DIGIT, OTHER, APOSTROPHE_1, APOSTROPHE_2, LEADING_SPACE, LAST_BLANK, BLANK, END = range(9)
@@ -314,10 +316,9 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the tokens, gathered from the vocabulary by their offsets; CHUNK ids at a time."""
-        numbers = np.frombuffer(ids, "<u4").astype(np.int64)
-        parts = []
+        numbers, parts = np.frombuffer(ids, "<u4"), []
         for a in range(0, len(numbers), CHUNK):
-            own = numbers[a:a + CHUNK]
+            own = numbers[a:a + CHUNK].astype(np.int64)
             sizes = self.lengths[own]
             ends = np.cumsum(sizes)
             at = np.repeat(self.offsets[own] - (ends - sizes), sizes) + np.arange(int(ends[-1]))
@@ -352,6 +353,19 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(content)
 
 
+def _in_batches(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts in order, about BATCH_CHARS characters at a time; null texts as empty ones."""
+    pending, held = [], 0
+    for text in texts:
+        pending.append(text or "")
+        held += len(pending[-1])
+        if held >= BATCH_CHARS:
+            yield pending
+            pending, held = [], 0
+    if pending:
+        yield pending
+
+
 def encoder(shared) -> Callable[[Column], Column]:
     """Function from a text column to binary ids, little-endian unsigned 32-bit."""
 
@@ -359,20 +373,29 @@ def encoder(shared) -> Callable[[Column], Column]:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
         for batch in batches:
-            found, pending, held = [], [], 0
-            for text in batch:
-                pending.append(text or "")
-                held += len(pending[-1])
-                if held >= CHUNK:
-                    found += codec.encode(pending)
-                    pending, held = [], 0
-            if pending:
-                found += codec.encode(pending)
-            yield pd.Series(found, dtype=object)
+            for texts in _in_batches(batch):
+                yield pd.Series(codec.encode(texts), dtype=object)
 
     return encode
 
 
+def recoder(shared) -> Callable[[Column], Column]:
+    """Function from a text column to a struct of its binary ids and the bytes that they decode to.
+
+    One worker does both; an encoder and a decoder in one plan would need two for each task.
+    """
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def recode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(shared)
+        for batch in batches:
+            for texts in _in_batches(batch):
+                ids = codec.encode(texts)
+                yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
+
+    return recode
+
+
 def _per_value(shared, method: str) -> Callable[[Column], Column]:
     @F.pandas_udf("binary")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -403,7 +426,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its key, n_tokens, digest of the ids and digest of the bytes decoded from them."""
     shared = vocabulary(docs.sparkSession, path)
-    ids = docs.select(F.col(key), encoder(shared)(F.col(text)).alias("ids"))
-    back = ids.withColumn("decoded", decoder(shared)(F.col("ids")))
-    return back.select(key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = docs.select(F.col(key), recoder(shared)(F.col(text)).alias("coded"))
+    return coded.select(key, (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("coded.ids", 256).alias("ids_sha256"),
+                        F.sha2("coded.decoded", 256).alias("decoded_sha256"))
