@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat, language_id, quality, sharding, warc
+from parley.llm import bpe, chat, language_id, quality, sharding, toxicity, warc
 from parley.llm.exprs import crc_remainder
 from parley.session import fresh_path, materialize
 
@@ -73,3 +73,12 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_path(spark, "chat")
     chat.write_formatted(chat.events_of(turns.unionByName(extra)), out)
     return chat.read_back(spark.read.parquet(out))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    remainder = crc_remainder("doc_id", 5)
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.learned(docs, labels.filter(remainder != 0))
+    return toxicity.scored(docs, model).withColumn("held_out", remainder == 0).drop("text")
