@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat, language_id, quality, sharding, toxicity, warc
+from parley.llm import bpe, chat, language_id, quality, sharding, toxicity, vector_dedup, warc
 from parley.llm.exprs import crc_remainder
 from parley.session import fresh_path, materialize
 
@@ -82,3 +82,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
     model = toxicity.learned(docs, labels.filter(remainder != 0))
     return toxicity.scored(docs, model).withColumn("held_out", remainder == 0).drop("text")
+
+
+@query("op7_vector_dedup")
+def op7_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.deduplicated(table(spark, folder, "embeddings"))
