@@ -27,7 +27,8 @@ def words_of(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(slow)
 
 
 def crc_remainder(column: str, modulus: int) -> Column:
