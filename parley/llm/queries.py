@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat, language_id, near_dedup, quality, sharding, toxicity, vector_dedup, warc
+from parley.llm import bpe, chat, language_id, mixing, near_dedup, quality, sharding, toxicity, vector_dedup, warc
 from parley.llm.exprs import crc_remainder
 from parley.session import fresh_path, materialize
 
@@ -92,3 +92,9 @@ def op7_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.labelled(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return mixing.mixed(docs, docs, "lang", mixing.TARGETS)
