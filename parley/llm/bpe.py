@@ -7,8 +7,8 @@ text are scanned side by side and their results combined. The state before a cha
 The slices go through pair merging once per distinct slice and worker; the cache is emptied when it is full.
 
 Edge cases: a null text encodes like an empty one (no ids); decoding null ids gives empty bytes. Texts of any length are
-scanned in chunks that hand their state on. Repeated rows are encoded one by one, other columns pass through, and
-a result column must be given a name that is free.
+scanned in chunks that hand their state on. Repeated rows are encoded one by one. Other columns pass through ``encoded``,
+but for one that is named like its result.
 """
 
 from __future__ import annotations
@@ -417,9 +417,7 @@ def offsetter(shared) -> Callable[[Column], Column]:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of a text column."""
-    if ids.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {ids} is taken")
+    """Add the ids of a text column; a column of that name is replaced."""
     return docs.withColumn(ids, encoder(vocabulary(docs.sparkSession, path))(F.col(text)))
 
 

@@ -36,6 +36,12 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def columns_but(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns of a table without those that have one of the names (compared without case)."""
+    dropped = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in dropped]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

@@ -11,8 +11,8 @@ labelled rows (SAMPLE_PER_LANGUAGE expected rows of each language); texts are ju
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row every text is ``und``.
 A text whose n-grams are all unknown gets the language with most labelled rows, score 0. Ties go to the smaller name.
-Rows with null label are not learned from. Repeated rows are judged one by one; other columns pass through, and result
-columns must have free names. Texts over CHUNK code points are read in pieces, all of which count.
+Rows with null label are not learned from. Repeated rows are judged one by one. Other columns pass through; one that is
+named like a result is replaced by it. Texts over CHUNK code points are read in pieces, all of which count.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.codepoints import END, LETTER, SEPARATOR, classes, codes_of, in_chunks
+from parley.llm.exprs import columns_but, free_name
 
 #: Expected number of labelled rows of each language that the filters are learned from.
 SAMPLE_PER_LANGUAGE = 1000
@@ -221,8 +222,6 @@ def predictor(docs: DataFrame, filters: Filters) -> Column:
 
 def identified(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """Add lang_pred, score and coverage."""
-    clashing = {c.lower() for c in docs.columns} & {"lang_pred", "score", "coverage", "language_found"}
-    if clashing:
-        raise ValueError(f"columns {sorted(clashing)} are results of this operator")
-    found = docs.withColumn("language_found", predictor(docs, filters)(F.col(text)))
-    return found.select(*[F.col(c) for c in docs.columns], "language_found.*")
+    others, struct = columns_but(docs, ["lang_pred", "score", "coverage"]), free_name(docs, "language_found")
+    found = docs.select(*others, predictor(docs, filters)(F.col(text)).alias(struct))
+    return found.select(*others, f"{struct}.*")

@@ -12,7 +12,7 @@ rates cover all documents.
 Edge cases: a null or blank text has no tokens, the posterior of an empty text and the rate that follows from it. Domains
 without labelled rows are left out and the other targets scaled up; labelled domains without a target get target 0. With
 fewer than two labelled domains there is nothing to choose between and every rate is 1. Repeated rows get equal rates.
-Other columns pass through; result columns must have free names. An empty table stays empty.
+Other columns pass through ``resampled``. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.exprs import words_of
+from parley.llm.exprs import free_name, words_of
 from parley.session import materialize
 
 SAMPLE_PER_DOMAIN = 500
@@ -165,22 +165,19 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str,
 
 def resampled(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float], key: str = "doc_id",
               text: str = "text") -> DataFrame:
-    """The documents as often as their rates say; same columns.
-
-    The rate is computed in the row, so that no text is shuffled.
-    """
+    """The documents as often as their rates say; same columns."""
     classifier = learned(labelled, domain, text, key)
     if classifier.model is None:
         return docs
     members = materialize(posteriors(docs, classifier, key, text), "mixing-members")
     y, _ = fitted_rates(members, target_shares(classifier.domains, targets))
-    copies = members.select(F.col(key).alias("mixed_key"), copies_of(_rate(y), F.col(key)).alias("mixed_copies"))
+    of, n, time = (free_name(docs, name) for name in ("mixed_key", "mixed_copies", "mixed_time"))
+    copies = members.select(F.col(key).alias(of), copies_of(_rate(y), F.col(key)).alias(n))
     # rows with one copy, by far the most, need no join; equal keys with different texts are rounded together
-    changed = copies.filter("mixed_copies != 1").groupBy("mixed_key").agg(F.max("mixed_copies").alias("mixed_copies"))
-    placed = docs.join(changed, docs[key].eqNullSafe(F.col("mixed_key")), "left")
-    times = F.explode(F.sequence(F.lit(1), F.coalesce("mixed_copies", F.lit(1)), F.lit(1))).alias("mixed_time")
-    return (placed.filter(F.coalesce("mixed_copies", F.lit(1)) > 0).select(*[docs[c] for c in docs.columns], times)
-            .drop("mixed_time"))
+    changed = copies.filter(F.col(n) != 1).groupBy(of).agg(F.max(n).alias(n))
+    placed = docs.join(changed, F.col(key).eqNullSafe(F.col(of)), "left").filter(F.coalesce(n, F.lit(1)) > 0)
+    times = F.explode(F.sequence(F.lit(1), F.coalesce(n, F.lit(1)), F.lit(1))).alias(time)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop(time)
 
 
 #: Shares of the token total that the query and the pipeline mix to.

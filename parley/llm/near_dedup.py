@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.exprs import ascii_lower, let, words_of
+from parley.llm.exprs import ascii_lower, free_name, let, words_of
 from parley.session import materialize
 
 SHINGLE_WORDS = 5
@@ -190,7 +190,8 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows with null id and no copy under an id all stay.
     """
     found = materialize(labelled(docs, key, text), "near-copies")
-    removed = found.filter(f"not kept and {key} is not null").select(F.col(key).alias("removed")).distinct()
+    name = free_name(docs, "removed")
+    removed = found.filter(f"not kept and {key} is not null").select(F.col(key).alias(name)).distinct()
     named = docs.filter(F.col(key).isNotNull())
-    stay = named.join(removed, F.col(key) == F.col("removed"), "left_anti").dropDuplicates([key])
+    stay = named.join(removed, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
     return stay.unionByName(docs.filter(F.col(key).isNull()))

@@ -5,7 +5,7 @@ much of its text is rejected, as is one that fails the base rules on length and
 of the row: no shuffle, no Python.
 
 Edge cases: a null text counts as an empty one (no words, rejected by length; its cleaned text is empty). Repeated rows
-are judged one by one. Other columns pass through; a column named like a result of ``judged`` raises ValueError.
+are judged one by one. Other columns pass through ``judged``; one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.exprs import BLANKS, let, words_of
+from parley.llm.exprs import BLANKS, columns_but, let, words_of
 
 #: Base rules of the contract.
 MIN_WORDS = 50
@@ -131,24 +131,21 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_chars, base_failed, kept and clean_text."""
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_chars", "base_failed", "kept",
              "clean_text"]
-    clashing = {c.lower() for c in docs.columns} & set(added)
-    if clashing:
-        raise ValueError(f"columns {sorted(clashing)} are results of this operator")
     found = let(let(F.coalesce(F.col(text), F.lit("")), measured), lambda m: F.struct(
         *[m[c].alias(c) for c in added[:5]], chars_of(words_of(m["clean_text"])).alias("kept_chars"),
         ((m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT))
         .alias("base_failed"), m["clean_text"].alias("clean_text")))
     # inline evaluates the struct once; reading fields of a plain struct column would repeat it per field
-    rows = docs.select("*", F.inline(F.array(found)))
+    rows = docs.select(*columns_but(docs, added), F.inline(F.array(found)))
     enough = F.col("kept_chars") * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT
     return rows.withColumn("kept", ~F.col("base_failed") & enough)
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their cleaned text; same columns as before, n_chars counted anew."""
-    source = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+    source = docs.toDF(*[f"in_{c}" for c in docs.columns])
     passed = judged(source, "in_text").filter("kept")
-    columns = {c: F.col(f"in_{c}") for c in docs.columns}
+    columns = {c: F.col(f"`in_{c}`") for c in docs.columns}
     columns["text"] = F.col("clean_text")
     if "n_chars" in columns:
         columns["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)

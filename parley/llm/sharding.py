@@ -8,8 +8,8 @@ levels only read the rows of buckets that are still too large. Rows with equal k
 of the key's hash come 32 bits that number equal rows by place in the input: a hot key is split like any other bucket.
 
 Edge cases: a single row above the limit is a shard of its own and marked ``oversized``. A null key hashes like an empty one,
-a null text has 0 bytes. An empty table has no shards. Other columns pass through ``assigned``; names that it adds
-must be free.
+a null text has 0 bytes. An empty table has no shards. Other columns pass through ``write_shards``; one named
+``shard_id`` is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.exprs import columns_but, free_name
 from parley.session import materialize
 
 #: Bytes of text in a shard at most.
@@ -100,8 +101,10 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
 
     Keys must be unique here: a row finds its shard by its key.
     """
-    shards = assigned(docs, key, text, limit).select(F.col(key).alias("shard_key"), "shard_id")
-    placed = docs.join(shards, docs[key].eqNullSafe(F.col("shard_key"))).drop("shard_key")
+    own = free_name(docs, "shard_key")
+    shards = assigned(docs, key, text, limit).select(F.col(key).alias(own), "shard_id")
+    others = docs.select(*columns_but(docs, ["shard_id"]))
+    placed = others.join(shards, F.col(key).eqNullSafe(F.col(own))).drop(own)
     placed.repartition("shard_id").write.partitionBy("shard_id").parquet(folder)
 
 

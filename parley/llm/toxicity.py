@@ -11,7 +11,7 @@ from fixed prior values, which stay where the sample says nothing. Texts are sco
 
 Edge cases: a null or empty text has no clause and gets the base score. Without labelled rows the prior weights and an
 empty insult list are used. Rows with a null label are not learned from; a document labelled several times takes its
-largest label. Other columns pass through; result columns must have free names.
+largest label. Other columns pass through; one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.exprs import ascii_lower, let, words_of
+from parley.llm.exprs import ascii_lower, columns_but, free_name, let, words_of
 from parley.session import materialize
 
 #: Expected number of labelled rows that patterns and weights are learned from, and of patterns kept at most.
@@ -292,10 +292,8 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mode
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add score (0 to 1), predicted (1 from 0.5) and the number of matched clauses by mark."""
-    added = ["score", "predicted", *[f"{m}_clauses" for m in MARKS], "toxicity_found"]
-    clashing = {c.lower() for c in docs.columns} & set(added)
-    if clashing:
-        raise ValueError(f"columns {sorted(clashing)} are results of this operator")
+    others = columns_but(docs, ["score", "predicted", *[f"{m}_clauses" for m in MARKS]])
+    struct = free_name(docs, "toxicity_found")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"{m}_clauses long" for m in MARKS)
 
@@ -308,6 +306,5 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = {f"{m}_clauses": np.rint(np.expm1(features[:, k + 1])).astype(int) for k, m in enumerate(MARKS)}
             yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(features @ model.weights, -30, 30))), **found})
 
-    rows = docs.withColumn("toxicity_found", score(F.col(text)))
-    rows = rows.select(*[F.col(c) for c in docs.columns], "toxicity_found.*")
+    rows = docs.select(*others, score(F.col(text)).alias(struct)).select(*others, f"{struct}.*")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
