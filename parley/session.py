@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", app: str = "parley", **conf: str) -> SparkSession:
+def build_session(master: str | None = None, app: str = "parley", **conf: str) -> SparkSession:
     """A session with the settings the library is tested with.
 
-    On a cluster the session comes from spark-submit; shuffle partitions are then left to AQE.
+    Master and shuffle partitions are set only when given, so that those of spark-submit hold; without any, Spark's own
+    defaults do.
     """
     settings = {
         "spark.ui.enabled": "false",
@@ -19,10 +19,11 @@ def build_session(master: str = "local[*]", app: str = "parley", **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
-    builder = SparkSession.builder.master(master).appName(app)
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -33,30 +34,34 @@ def build_session(master: str = "local[*]", app: str = "parley", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only used where the setting is absent and the session is local.
+    Where the setting is absent, a local session works beside its warehouse; a cluster has to name a folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="parley-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, when the session is built")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/parley/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/parley/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several plans reuse and read it back.
 
-    Survives executor loss, cuts the lineage, and later reads prune its columns.
+    Survives executor loss, cuts the lineage, and later reads prune its columns. The files stay until ``clean_up``.
     """
     path = fresh_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Tables read from there are gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/parley/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

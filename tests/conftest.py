@@ -1,12 +1,11 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
-from parley.session import build_session  # noqa: E402
+from parley.session import build_session, clean_up  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +14,6 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = build_session("local[4]", "parley-tests", spark__sql__shuffle__partitions="4",
                             spark__driver__memory="4g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parley-tests-"))
     yield session
+    clean_up(session)
     session.stop()
