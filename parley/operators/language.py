@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
+from parley.operators.lookup import with_weight_sums
 from parley.session import materialize
 
 SCORE_DIGITS = 6
@@ -21,45 +22,41 @@ def letters(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class LanguageProfile:
-    """``weights``: per trigram a log weight ``w0..`` per language; at most languages x size rows."""
+    """``weights``: per trigram its frequency ``n`` and a log weight ``w0..`` per language."""
 
     languages: Sequence[str]
     weights: DataFrame
 
 
 def profile_counts(df: DataFrame, text: str, language: str, languages: Sequence[str]) -> DataFrame:
-    """Per trigram its count in each language (``n0..``)."""
+    """Per trigram its count in each language (``n0..``) and in all (``n``)."""
     grams = df.where(F.col(language).isin(list(languages))).select(
         language, F.explode(X.char_trigrams(letters(F.col(text)))).alias("gram")
     )
     return grams.groupBy("gram").agg(
-        *[F.count_if(F.col(language) == l).alias(f"n{i}") for i, l in enumerate(languages)]
+        F.count("*").alias("n"), *[F.count_if(F.col(language) == l).alias(f"n{i}") for i, l in enumerate(languages)]
     )
 
 
 def fit_language_profile(
-    df: DataFrame, text: str, language: str, languages: Sequence[str], size: int = 300
+    df: DataFrame, text: str, language: str, languages: Sequence[str], size: int | None = None
 ) -> LanguageProfile:
-    """Keep the ``size`` most frequent trigrams of each language and weigh them by smoothed log frequency.
+    """Weigh all trigrams by smoothed log frequency; with ``size`` only the most frequent ones of each language.
 
-    The rank filter runs on each partition before the shuffle, so no language is ever gathered whole.
+    The driver gets one total per language.
     """
     ks = range(len(languages))
     counts = materialize(profile_counts(df, text, language, languages), "trigram-counts")
-    long = counts.select(
-        "gram", F.inline(F.array(*[F.struct(F.lit(i).alias("l"), F.col(f"n{i}").alias("n")) for i in ks]))
-    ).where("n > 0")
-    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "gram"))
-    top = long.withColumn("r", place).where(F.col("r") <= size).select("gram").distinct()
-    kept = counts.join(F.broadcast(top), "gram", "left_semi")
-    whole = Window.partitionBy()  # at most languages x size rows
-    weights = kept.select(
-        "gram",
-        *[
-            F.log((F.col(f"n{i}") + 1) / (F.sum(f"n{i}").over(whole) + F.count("*").over(whole))).alias(f"w{i}")
-            for i in ks
-        ],
-    )
+    if size is not None:
+        long = counts.select(
+            "gram", F.inline(F.array(*[F.struct(F.lit(i).alias("l"), F.col(f"n{i}").alias("n")) for i in ks]))
+        ).where("n > 0")
+        place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "gram"))
+        top = long.withColumn("place", place).where(F.col("place") <= size).select("gram").distinct()
+        counts = materialize(counts.join(top, "gram", "left_semi"), "trigram-counts")
+    sums = counts.agg(F.count("*").alias("size"), *[F.sum(f"n{i}").alias(f"n{i}") for i in ks]).first()
+    total = [float(max(1, (sums[f"n{i}"] or 0) + sums["size"])) for i in ks]
+    weights = counts.select("gram", "n", *[F.log((F.col(f"n{i}") + 1) / F.lit(total[i])).alias(f"w{i}") for i in ks])
     return LanguageProfile(list(languages), materialize(weights, "language-profile"))
 
 
@@ -68,18 +65,14 @@ def detect_language(
 ) -> DataFrame:
     """Add the language with the largest sum of trigram weights; NULL when nothing matches a profile.
 
-    Trigrams of the whole text meet the broadcast profile and combine to one row per text before the shuffle. The
-    text itself is not carried along.
+    The trigrams of the whole text are summed inside the row. The text itself is not carried along.
     """
     ks = range(len(profile.languages))
-    small = [c for c in df.columns if c != text]
-    grams = df.select(*small, F.explode_outer(X.char_trigrams(letters(F.col(text)))).alias("gram"))
-    sums = (
-        grams.join(F.broadcast(profile.weights), "gram", "left")
-        .groupBy(*small)
-        .agg(*[F.bround(F.sum(f"w{i}"), SCORE_DIGITS).alias(f"w{i}") for i in ks])
-    )
-    scores = F.array(*[F.col(f"w{i}") for i in ks])
+    table = profile.weights.select(
+        F.col("gram").alias("item"), "n", F.array(*[F.col(f"w{i}") for i in ks]).alias("w"))
+    summed = with_weight_sums(df, X.char_trigrams(letters(F.col(text))), table, key, len(profile.languages))
+    scores = F.transform("_sums", lambda x: F.bround(x, SCORE_DIGITS))
     names = F.array(*map(F.lit, profile.languages))
     best = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
-    return sums.select(*small, F.when(F.col("w0").isNotNull(), best).alias(target))
+    small = [c for c in df.columns if c != text]
+    return summed.select(*small, F.when(F.col("_known") > 0, best).alias(target))

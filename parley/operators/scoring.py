@@ -7,17 +7,18 @@ of all labels stay in the row of their text, so scoring needs no pairs of rows.
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import arrays as A
 from parley.functions import text as X
+from parley.operators.lookup import with_weight_sums
 from parley.session import materialize
 
 #: Logits are rounded before ranking, so that sums in another order rank alike.
@@ -82,10 +83,10 @@ class HypothesisOverlapScorer:
 
 @dataclass(frozen=True)
 class NaiveBayesScorer:
-    """Multinomial naive Bayes over a vocabulary of fixed size.
+    """Multinomial naive Bayes over all words of the training rows.
 
-    ``weights`` has one row per word (at most the vocabulary size, so it is safe to broadcast) with the log weights
-    ``e0..`` of the word in each class and ``c0..`` in all other classes.
+    ``weights`` has one row per word with its frequency ``n`` and the log weights ``e0..`` of the word in each class and
+    ``c0..`` in all other classes. Words that training has not seen have no weight.
     """
 
     labels: Sequence[str]
@@ -94,43 +95,36 @@ class NaiveBayesScorer:
     log_prior_rest: Sequence[float]
 
     def score(self, df: DataFrame, text: str, key: str) -> DataFrame:
-        """Words meet the broadcast weights, and their sums combine before the shuffle to one row per text.
-
-        The text itself is not carried through that shuffle, so it is not in the result.
-        """
+        """Sums of the words' weights, taken inside the row; the text stays in it."""
         ks = range(len(self.labels))
-        small = [c for c in df.columns if c != text]
-        tokens = df.select(*small, F.explode_outer(X.words(F.col(text))).alias("word"))
-        hits = tokens.join(F.broadcast(self.weights), "word", "left")
-        sums = [F.sum(F.coalesce(F.col(f"{p}{i}"), F.lit(0.0))).alias(f"{p}{i}") for p in "ec" for i in ks]
-        scored = hits.groupBy(*small).agg(*sums)
-        return scored.select(
-            *small,
-            F.array(*[rounded(F.col(f"e{i}") + self.log_prior[i]) for i in ks]).alias("entailment"),
-            F.array(*[rounded(F.col(f"c{i}") + self.log_prior_rest[i]) for i in ks]).alias("contradiction"),
+        table = self.weights.select(
+            F.col("word").alias("item"), "n", F.array(*[F.col(f"{p}{i}") for p in "ec" for i in ks]).alias("w"))
+        summed = with_weight_sums(df, X.words(F.col(text)), table, key, 2 * len(self.labels))
+        sums, size = F.col("_sums"), len(self.labels)
+        return summed.select(
+            *df.columns,
+            F.array(*[rounded(sums[i] + self.log_prior[i]) for i in ks]).alias("entailment"),
+            F.array(*[rounded(sums[size + i] + self.log_prior_rest[i]) for i in ks]).alias("contradiction"),
         )
 
 
-def naive_bayes_counts(train: DataFrame, text: str, category: str, labels: Sequence[str], vocab_size: int) -> DataFrame:
-    """Per word of the vocabulary its count in each class (``n0..``) and in all (``n``).
+def naive_bayes_counts(
+    train: DataFrame, text: str, category: str, labels: Sequence[str], vocab_size: int | None = None
+) -> DataFrame:
+    """Per training word its count in each class (``n0..``) and in all (``n``).
 
-    The vocabulary is the ``vocab_size`` most frequent training words, ties by word.
+    With ``vocab_size`` only the most frequent words, ties by word.
     """
-    tokens = train.select(category, F.explode(X.words(F.col(text))).alias("word"))
+    tokens = train.where(F.col(category).isin(list(labels))).select(category, F.explode(X.words(F.col(text))).alias("word"))
     per_class = [F.count_if(F.col(category) == label).alias(f"n{i}") for i, label in enumerate(labels)]
-    return (
-        tokens.where(F.col(category).isin(list(labels)))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"), *per_class)
-        .orderBy(F.desc("n"), "word")
-        .limit(vocab_size)
-    )
+    counts = tokens.groupBy("word").agg(F.count("*").alias("n"), *per_class)
+    return counts if vocab_size is None else counts.orderBy(F.desc("n"), "word").limit(vocab_size)
 
 
 def fit_naive_bayes(
-    train: DataFrame, text: str, category: str, labels: Sequence[str], vocab_size: int = 5000
+    train: DataFrame, text: str, category: str, labels: Sequence[str], vocab_size: int | None = None
 ) -> NaiveBayesScorer:
-    """Fit by two grouped counts. What reaches the driver is one count per class."""
+    """Fit by two grouped counts. What reaches the driver is a few numbers per class."""
     labels = list(labels)
     rows = dict(
         train.where(F.col(category).isin(labels)).groupBy(category).agg(F.count("*")).collect()
@@ -138,18 +132,19 @@ def fit_naive_bayes(
     total = sum(rows.values())
     # one more row per class, so that a class without rows keeps a finite prior
     share = [(rows.get(label, 0) + 1) / (total + len(labels)) for label in labels]
-    counts = naive_bayes_counts(train, text, category, labels, vocab_size)
-    whole = Window.partitionBy()  # at most vocab_size rows
-    size = F.count("*").over(whole)
+    counts = materialize(naive_bayes_counts(train, text, category, labels, vocab_size), "word-counts")
+    ks = range(len(labels))
+    sums = counts.agg(F.count("*").alias("size"), F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in ks])
+    whole = {c: v or 0 for c, v in sums.first().asDict().items()}
 
-    def weight(n: Column) -> Column:
-        return F.log((n + 1) / (F.sum(n).over(whole) + size))
+    def weight(n: Column, of: int) -> Column:
+        return F.log((n + 1) / F.lit(float(max(1, of + whole["size"]))))
 
-    ks = range(len(labels))
     weights = counts.select(
         "word",
-        *[weight(F.col(f"n{i}")).alias(f"e{i}") for i in ks],
-        *[weight(F.col("n") - F.col(f"n{i}")).alias(f"c{i}") for i in ks],
+        "n",
+        *[weight(F.col(f"n{i}"), whole[f"n{i}"]).alias(f"e{i}") for i in ks],
+        *[weight(F.col("n") - F.col(f"n{i}"), whole["n"] - whole[f"n{i}"]).alias(f"c{i}") for i in ks],
     )
     return NaiveBayesScorer(
         labels,
@@ -159,11 +154,23 @@ def fit_naive_bayes(
     )
 
 
+#: Models that a Python worker has loaded, by the pickled loader.
+_MODELS: dict[bytes, Callable] = {}
+
+
+def loaded_model(load: Callable[[], Callable], pickled: bytes) -> Callable:
+    """The worker's model of a loader; one is kept."""
+    if pickled not in _MODELS:
+        _MODELS.clear()
+        _MODELS[pickled] = load()
+    return _MODELS[pickled]
+
+
 @dataclass(frozen=True)
 class ModelScorer:
     """A user's model, called on Arrow batches.
 
-    ``load`` is called once per task and returns ``model(texts, labels) -> (entailment, contradiction)``, two
+    ``load`` is called once per Python worker and returns ``model(texts, labels) -> (entailment, contradiction)``, two
     lists of per-label lists.
     """
 
@@ -172,13 +179,14 @@ class ModelScorer:
 
     def score(self, df: DataFrame, text: str, key: str | None = None) -> DataFrame:
         labels, load = list(self.labels), self.load
+        pickled = cloudpickle.dumps(load)
         logits = T.ArrayType(T.DoubleType())
         schema = T.StructType(
             df.schema.fields + [T.StructField("entailment", logits), T.StructField("contradiction", logits)]
         )
 
         def run(batches):
-            model = load()
+            model = loaded_model(load, pickled)
             for batch in batches:
                 entailment, contradiction = model(batch[text].tolist(), labels)
                 yield batch.assign(entailment=list(entailment), contradiction=list(contradiction))
@@ -186,7 +194,10 @@ class ModelScorer:
         return df.mapInPandas(run, schema)
 
 
-def scorer_for(model_path: str, marker: str, backend: Callable[[str], Scorer], fallback: Scorer) -> Scorer:
-    """The backend's scorer when the folder holds its marker file, otherwise the fallback."""
-    saved = os.path.isdir(model_path) and os.path.exists(os.path.join(model_path, marker))
+def scorer_for(
+    spark: SparkSession, model_path: str, marker: str, backend: Callable[[str], Scorer], fallback: Scorer
+) -> Scorer:
+    """The backend's scorer when the folder holds its marker file, otherwise the fallback; on any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(model_path, marker)
+    saved = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     return backend(model_path) if saved else fallback

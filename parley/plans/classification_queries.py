@@ -15,7 +15,6 @@ from parley.plans.registry import query
 from parley.schemas import LABEL_NAMES
 
 LABELS = X.CATEGORIES
-VOCAB = 2000
 # Class names of the two binary classifiers.
 REQUEST = {0: "question", 1: "request"}
 TEST = {0: "learn", 1: "test"}
@@ -117,9 +116,9 @@ def wide_scores(spark, sf):
 FROM documents d JOIN ranked ON ranked.id = d.doc_id WHERE ranked.r = 1""",
 )
 def scores_joined_to_rows(spark, sf):
-    rows = X.table(spark, sf, "documents").select("doc_id", "lang", "source")
-    scored = K.wide_scores(short(spark, sf), HypothesisOverlapScorer(LABELS), "text", "doc_id")
-    return rows.join(scored.select("doc_id", "highest_score_label"), "doc_id")
+    rows = X.documents(spark, sf).select("doc_id", "text", "lang", "source")
+    scored = K.wide_scores(rows, HypothesisOverlapScorer(LABELS), "text", "doc_id")
+    return scored.select("doc_id", "lang", "source", "highest_score_label")
 
 
 # ---- binary classification ---------------------------------------------------------------------------------------
@@ -127,14 +126,14 @@ def scores_joined_to_rows(spark, sf):
 def binary_model(spark, sf, label, names):
     train = X.binary(spark, sf, label).where("doc_id % 5 <> 0")
     named = train.withColumn("class", F.element_at(Q.literal_map(names), F.col("label")))
-    return fit_naive_bayes(named, "text", "class", list(names.values()), VOCAB)
+    return fit_naive_bayes(named, "text", "class", list(names.values()))
 
 
 def binary_sql(label, names, src) -> str:
     return f"""train AS (SELECT CASE l.{label} WHEN 0 THEN '{names[0]}' ELSE '{names[1]}' END AS category, d.text
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 5 <> 0),
 src AS ({src}),
-{P.naive_bayes(list(names.values()), VOCAB)}"""
+{P.naive_bayes(list(names.values()))}"""
 
 
 BINARY = """pr AS (SELECT id, max(score) FILTER (WHERE pos = 0) AS p0, max(score) FILTER (WHERE pos = 1) AS p1
@@ -150,7 +149,7 @@ SELECT id AS doc_id, CASE WHEN p1 > p0 THEN 'request' ELSE 'question' END AS pre
 def binary_column(spark, sf):
     model = binary_model(spark, sf, "toxic", REQUEST)
     out = K.classify_binary_column(short(spark, sf), model, "text", "doc_id", "rq", REQUEST)
-    return out.withColumn("prob_rq", F.bround("prob_rq", 6))
+    return out.select("doc_id", "pred_label_rq", F.bround("prob_rq", 6).alias("prob_rq"))
 
 
 TEST_ROWS = "SELECT d.doc_id AS id, d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 5 = 0"
@@ -216,10 +215,10 @@ def pair_sql() -> str:
 
 
 def label_pairs(spark, sf):
-    docs = short(spark, sf)
+    """The documents with the labels of two models, both added to the same rows."""
+    docs = X.documents(spark, sf).select("doc_id", "text")
     rq = K.classify_binary_column(docs, binary_model(spark, sf, "toxic", REQUEST), "text", "doc_id", "rq", REQUEST)
-    tl = K.classify_binary_column(docs, binary_model(spark, sf, "quality", TEST), "text", "doc_id", "tl", TEST)
-    return rq.select("doc_id", "pred_label_rq").join(tl.select("doc_id", "pred_label_tl"), "doc_id")
+    return K.classify_binary_column(rq, binary_model(spark, sf, "quality", TEST), "text", "doc_id", "tl", TEST)
 
 
 @query(
@@ -250,7 +249,7 @@ def entailment_rows(spark, sf, grouped=False):
 
 def tuned_scorer(spark, sf, labels, grouped=False):
     train = entailment_rows(spark, sf, grouped).where("split = 'train'")
-    return fit_naive_bayes(train, "text", "category", labels, VOCAB)
+    return fit_naive_bayes(train, "text", "category", labels)
 
 
 def both_predictions(spark, sf, k=TOP_K, grouped=False):
@@ -287,7 +286,7 @@ def from_data(part: str) -> str:
 
 EVAL_TOP = eval_top()
 BASE_PRED = f"base AS (WITH {from_data(P.overlap(['?']))} SELECT id, label, score FROM ranked WHERE r = 1)"
-TUNED_PRED = f"tuned AS (WITH {from_data(P.naive_bayes(['?'], VOCAB))} SELECT id, label, score FROM ranked WHERE r = 1)"
+TUNED_PRED = f"tuned AS (WITH {from_data(P.naive_bayes(['?']))} SELECT id, label, score FROM ranked WHERE r = 1)"
 
 
 def eval_sql(which: str) -> str:

@@ -50,12 +50,12 @@ sc AS (SELECT id, pos, label, round_even({scale!r} * co, 6) AS e, round_even({sc
 {ranked(multi_label)}"""
 
 
-def naive_bayes_model(labels: Sequence[str], vocab: int) -> str:
+def naive_bayes_model(labels: Sequence[str]) -> str:
     """From train(category, text) to lab, prior and weights(word, pos, n, nc, e, c)."""
     return f"""lab AS (SELECT pos, label FROM {label_rows(labels)} AS v(pos, label)),
 known AS (SELECT category, text FROM train WHERE category IN (SELECT label FROM lab)),
 tok AS (SELECT category, unnest({words('text')}) AS word FROM known),
-voc AS (SELECT word, count(*) AS n FROM tok GROUP BY word ORDER BY n DESC, word LIMIT {vocab}),
+voc AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
 cnt AS (SELECT word, category, count(*) AS nc FROM tok GROUP BY word, category),
 grid AS (SELECT voc.word, lab.pos, voc.n, coalesce(cnt.nc, 0) AS nc
   FROM voc CROSS JOIN lab LEFT JOIN cnt ON cnt.word = voc.word AND cnt.category = lab.label),
@@ -78,8 +78,8 @@ sc AS (SELECT src.id, prior.pos, prior.label, round_even(ln(prior.p) + coalesce(
   FROM src CROSS JOIN prior LEFT JOIN sums ON sums.id = src.id AND sums.pos = prior.pos)"""
 
 
-def naive_bayes(labels: Sequence[str], vocab: int, multi_label: bool = False) -> str:
-    return f"{naive_bayes_model(labels, vocab)},\n{naive_bayes_scores()},\n{ranked(multi_label)}"
+def naive_bayes(labels: Sequence[str], multi_label: bool = False) -> str:
+    return f"{naive_bayes_model(labels)},\n{naive_bayes_scores()},\n{ranked(multi_label)}"
 
 
 def class_table(pairs: str = "pred") -> str:

@@ -4,14 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import classify as K
+from parley.operators import lookup
 from parley.operators import metrics as M
 from parley.operators.scoring import (
     HypothesisOverlapScorer,
     ModelScorer,
     fit_naive_bayes,
+    loaded_model,
     python_trigrams,
     scorer_for,
 )
+from parley.schemas import TRAINING_LOG
 
 LABELS = ["coding", "riddle", "writing"]
 
@@ -76,11 +79,44 @@ def test_binary_tie_is_class_zero(spark):
     assert (row["pred_label_t"], row["prob_t"]) == ("no", 0.5)
 
 
-def test_backend_choice(tmp_path):
+def test_backend_choice(spark, tmp_path):
     fallback = HypothesisOverlapScorer(LABELS)
-    assert scorer_for(str(tmp_path), "model.bin", lambda p: None, fallback) is fallback
+    assert scorer_for(spark, str(tmp_path), "model.bin", lambda p: None, fallback) is fallback
     (tmp_path / "model.bin").write_text("")
-    assert scorer_for(str(tmp_path), "model.bin", lambda p: p, fallback) == str(tmp_path)
+    assert scorer_for(spark, str(tmp_path), "model.bin", lambda p: p, fallback) == str(tmp_path)
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 1000])
+def test_rare_words_count_like_frequent_ones(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lookup, "FREQUENT_ITEMS", frequent)
+    weights = spark.createDataFrame([("a", 9, [1.0, 2.0]), ("b", 5, [0.5, 0.0]), ("c", 1, [4.0, 8.0]), ("x" * 99, 7, [1.0, 1.0])],
+                                    "item string, n bigint, w array<double>")
+    rows = spark.createDataFrame([(1, "a b a"), (2, "c c z"), (3, ""), (4, None), (5, "a c " + "x" * 99), (5, "a c " + "x" * 99)],
+                                 "id int, text string")
+    out = lookup.with_weight_sums(rows, F.split("text", " "), weights, "id", 2).collect()
+    assert sorted((r["id"], r["_sums"], r["_known"]) for r in out) == [
+        (1, [2.5, 4.0], 3), (2, [8.0, 16.0], 2), (3, [0.0, 0.0], 0), (4, [0.0, 0.0], 0),
+        (5, [6.0, 11.0], 3), (5, [6.0, 11.0], 3)]
+
+
+def test_a_model_is_loaded_once_per_worker():
+    loads = []
+    for _ in range(3):
+        loaded_model(lambda: loads.append(1) or "model", b"one")
+    assert len(loads) == 1
+
+
+def test_matrix_per_model(spark):
+    rows = [("m1", "a", "a", 3), ("m2", "a", "a", 4), ("m2", "b", "a", 1)]
+    counts = spark.createDataFrame(rows, "model string, true_class string, predicted_class string, n bigint")
+    got = {(r["model"], r["true_class"], r["predicted_class"]): r["n"]
+           for r in M.confusion_matrix(counts, ["a", "b"], ["model"]).collect()}
+    assert len(got) == 8 and got[("m1", "a", "a")] == 3 and got[("m2", "a", "a")] == 4 and got[("m1", "b", "a")] == 0
+
+
+def test_nan_is_never_best(spark):
+    log = spark.createDataFrame([("r1", 1, 0.1, "f", float("nan")), ("r2", 2, 0.1, "f", 0.5), ("r3", 3, 0.1, "f", None)], TRAINING_LOG)
+    assert M.best_run(log, "f").first()[0] == M.best_run(log, "f", greater_is_better=False).first()[0] == "r2"
 
 
 def test_filter_on_a_label_does_not_copy_the_scoring(texts):
