@@ -17,6 +17,8 @@ from parley.schemas import require_columns
 CHUNK = 1 << 16
 #: Messages per nested row when rows are built from messages.
 SEGMENT = 1 << 10
+#: Phrases that a table of phrases may hold.
+PHRASE_LIMIT = 10_000
 #: Id tables of at most this many ids are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -130,8 +132,19 @@ def contains_any(c: Column, phrases: list[str], ignore_case: bool = False) -> Co
     return F.exists(F.array(*map(F.lit, wanted)), lambda p: F.contains(text, p))
 
 
-def exclude_phrases(df: DataFrame, column: str, phrases: list[str], ignore_case: bool = False) -> DataFrame:
-    """Drop rows whose text holds any phrase; a NULL text is kept."""
+def exclude_phrases(
+    df: DataFrame, column: str, phrases: list[str] | DataFrame, ignore_case: bool = False
+) -> DataFrame:
+    """Drop rows whose text holds any phrase; a NULL text is kept.
+
+    Phrases are a list, or a table with a column ``phrase`` as read from a file. A table is a list for people to keep:
+    up to PHRASE_LIMIT phrases are read, more are refused.
+    """
+    if isinstance(phrases, DataFrame):
+        rows = phrases.select("phrase").where("phrase is not null").distinct().limit(PHRASE_LIMIT + 1).collect()
+        if len(rows) > PHRASE_LIMIT:
+            raise ValueError(f"more than {PHRASE_LIMIT} phrases")
+        phrases = sorted(r["phrase"] for r in rows)
     return df.where(~F.coalesce(contains_any(F.col(column), phrases, ignore_case), F.lit(False)))
 
 
@@ -148,6 +161,12 @@ def search_messages(messages: DataFrame, term: str) -> DataFrame:
     )
 
 
+def matching_conversations(messages: DataFrame, term: str) -> DataFrame:
+    """All messages of the conversations in which any message holds the term, in any case."""
+    found = messages.where(F.contains(F.lower("content"), F.lit(term.lower()))).select("conversation_id").distinct()
+    return messages.join(found, "conversation_id", "left_semi")
+
+
 def multi_turn(messages: DataFrame) -> DataFrame:
     """Conversations with more than one user message, with that count."""
     return (
@@ -176,9 +195,12 @@ def with_ids(
 # ---- nested rows -------------------------------------------------------------------------------------------------
 
 def nest_messages(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Nested rows of at most ``segment`` messages, in order; a longer conversation has several rows."""
+    """Nested rows of at most ``segment`` messages, in order; a longer conversation has several rows.
+
+    ``segment`` numbers the rows of a conversation, ``turn`` is the number of its user messages in all of them.
+    """
     item = F.struct("pos", "role", "content")
-    return (
+    rows = (
         messages.groupBy("conversation_id", "language", F.call_function("div", F.col("pos"), F.lit(segment)).alias("segment"))
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .select(
@@ -189,12 +211,30 @@ def nest_messages(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
                 "conversation"
             ),
         )
-        .withColumn("turn", F.size(F.filter("conversation", lambda m: m.role == "user")))
+    )
+    users = messages.groupBy("conversation_id").agg(F.sum((F.col("role") == "user").cast("int")).cast("int").alias("turn"))
+    return rows.join(users, "conversation_id")
+
+
+def unnest_messages(conversations: DataFrame) -> DataFrame:
+    """Message rows of nested rows that were cut into segments; positions count within the whole conversation.
+
+    Positions leave room for any segment length, so they order messages but have gaps.
+    """
+    return conversations.select(
+        "conversation_id", "language", "segment", F.posexplode("conversation").alias("_at", "_m")
+    ).select(
+        "conversation_id", "language", "segment",
+        (F.col("segment").cast("bigint") * F.lit(1 << 31) + F.col("_at")).alias("pos"), "_m.role", "_m.content",
     )
 
 
 def add_turns(conversations: DataFrame) -> DataFrame:
-    """Give each message of the array its turn, in one pass over the array."""
+    """Give each message of the array its turn.
+
+    Rows with a ``segment`` continue the turns of the segments before: every row is numbered from 0 on its own and then
+    shifted by the users before it, one number per row. Without it a row is a whole conversation.
+    """
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<role:string,content:string,turn:int>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -202,14 +242,31 @@ def add_turns(conversations: DataFrame) -> DataFrame:
         row = F.struct(m.role.alias("role"), m.content.alias("content"), n.alias("turn"))
         return F.struct(n.alias("n"), F.concat(acc.out, F.array(row)).alias("out"))
 
-    return conversations.withColumn("conversation", F.aggregate("conversation", start, step, lambda acc: acc.out))
+    own = F.aggregate("conversation", start, step, lambda acc: acc.out)
+    if "segment" not in conversations.columns:
+        return conversations.withColumn("conversation", own)
+    shifted = conversations.join(_users_before(conversations), ["conversation_id", "segment"])
+    numbered = F.transform(own, lambda m: F.struct(m.role.alias("role"), m.content.alias("content"), (
+        m.turn + F.col("_before")).cast("int").alias("turn")))
+    return shifted.withColumn("conversation", numbered).select(*conversations.columns)
+
+
+def _users_before(conversations: DataFrame) -> DataFrame:
+    """Per segment the user messages of the segments before it. The window orders one number per segment."""
+    users = F.size(F.filter("conversation", lambda m: m.role == "user"))
+    order = Window.partitionBy("conversation_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    counts = conversations.select("conversation_id", "segment", users.alias("_users"))
+    return counts.select("conversation_id", "segment", F.coalesce(F.sum("_users").over(order), F.lit(0)).alias("_before"))
 
 
 def unwrap_turns(conversations: DataFrame) -> DataFrame:
-    """Prompt and response rows of nested conversations, by one fold over each array and no shuffle.
+    """Prompt and response rows of nested conversations.
 
-    All other columns are kept; ``turn`` becomes ``conversation_turns``.
+    Rows that are whole conversations are folded in place, without a shuffle, and keep all other columns; ``turn``
+    becomes ``conversation_turns``. Rows with a ``segment`` are paired like messages, since a pair may cross segments.
     """
+    if "segment" in conversations.columns:
+        return pair_turns(unnest_messages(conversations), chunk=1 << 31)
     pairs = "array<struct<turn_n:int,prompt:string,response:string>>"
     start = F.struct(
         F.lit(0).alias("n"), F.lit(None).cast("string").alias("open"), F.array().cast(pairs).alias("out")
@@ -254,11 +311,17 @@ def extract_prompts(
 
 
 def search_conversations(conversations: DataFrame, term: str) -> DataFrame:
-    """Nested conversations in which any message holds the term, in any case. Works on streams."""
+    """Nested conversations in which any message holds the term, in any case. Works on streams.
+
+    Of a conversation in segments all rows are kept when one of them holds it.
+    """
     needle = term.lower()
-    return conversations.where(
+    found = conversations.where(
         F.exists("conversation", lambda m: F.contains(F.lower(m.content), F.lit(needle)))
     )
+    if "segment" not in conversations.columns:
+        return found
+    return conversations.join(found.select("conversation_id").distinct(), "conversation_id", "left_semi")
 
 
 def transcript(

@@ -8,6 +8,8 @@ from parley.operators import conversations as C
 from parley.operators import ordering as O
 from parley.plans import fixtures as X
 from parley.plans.registry import query
+from parley.session import fresh_path
+from parley.sources.lists import read_phrases
 
 # Phrases that occur in the given conversations; one of them with regex metacharacters.
 PHRASES = ["the re", "que la", "[your answer]"]
@@ -38,10 +40,7 @@ def turn_pairs(spark, sf):
 
 @query("turn_pairs_nested", PAIR_SQL)
 def turn_pairs_nested(spark, sf):
-    pairs = C.unwrap_turns(X.conversations(spark, sf))
-    return pairs.withColumn("turn_n", F.col("turn_n").cast("bigint")).withColumn(
-        "conversation_turns", F.col("conversation_turns").cast("bigint")
-    )
+    return C.unwrap_turns(X.conversations(spark, sf))
 
 
 @query("turn_ids", f"WITH {PAIRS} SELECT turn_id, turn_n FROM pairs WHERE answers > 0")
@@ -55,8 +54,8 @@ def turn_ids(spark, sf):
 )
 def turns_in_arrays(spark, sf):
     nested = C.add_turns(X.conversations(spark, sf))
-    return nested.select("conversation_id", F.posexplode("conversation").alias("pos", "m")).select(
-        "conversation_id", F.col("pos").cast("bigint").alias("pos"), "m.role",
+    return nested.select("conversation_id", "segment", F.posexplode("conversation").alias("at", "m")).select(
+        "conversation_id", (F.col("segment") * C.SEGMENT + F.col("at")).cast("bigint").alias("pos"), "m.role",
         F.col("m.turn").cast("bigint").alias("turn_n"),
     )
 
@@ -136,9 +135,28 @@ def search(spark, sf):
 
 @query("search_nested", f"WITH s AS ({SEARCH_SQL}) SELECT conversation_id, messages FROM s")
 def search_nested(spark, sf):
-    return C.search_conversations(X.conversations(spark, sf), "TION the").select(
-        "conversation_id", F.size("conversation").cast("bigint").alias("messages")
-    )
+    found = C.search_conversations(X.conversations(spark, sf), "TION the")
+    return found.groupBy("conversation_id").agg(F.sum(F.size("conversation")).alias("messages"))
+
+
+@query(
+    "search_records",
+    f"""WITH {X.MSG} SELECT conversation_id, pos, role, content FROM msg WHERE conversation_id IN
+(SELECT conversation_id FROM msg WHERE contains(lower(content), 'tion the'))""",
+)
+def search_records(spark, sf):
+    found = C.matching_conversations(X.messages(spark, sf), "TION the")
+    return found.select("conversation_id", "pos", "role", "content")
+
+
+@query("prompts_without_listed_phrases", prompt_sql(20, 500, extra=f"AND NOT {PHRASE_SQL.format(c='content')}"))
+def prompts_without_listed_phrases(spark, sf):
+    """Phrases from a file, one a line, taken from the prompts that hold them."""
+    prompts = C.message_prompts(X.messages(spark, sf))
+    path = fresh_path(spark, "phrases")
+    lines = F.explode(F.array(*map(F.lit, PHRASES))).alias("value")
+    X.table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(1).select(lines).write.text(path)
+    return C.exclude_phrases(prompts, "prompt", read_phrases(spark, path))
 
 
 @query(
@@ -179,12 +197,14 @@ def random_multi_turn_conversation(spark, sf):
 @query(
     "transcripts",
     f"""WITH {X.MSG}
-SELECT conversation_id, string_agg(CASE role WHEN 'user' THEN '😎 ' ELSE '🤖 ' END || content, chr(10) ORDER BY pos)
-         AS transcript
-FROM msg WHERE role IN ('user', 'assistant') GROUP BY conversation_id""",
+SELECT conversation_id, CAST(pos // {C.SEGMENT} AS BIGINT) AS segment,
+       string_agg(CASE role WHEN 'user' THEN '😎 ' ELSE '🤖 ' END || content, chr(10) ORDER BY pos) AS transcript
+FROM msg WHERE role IN ('user', 'assistant') GROUP BY conversation_id, pos // {C.SEGMENT}""",
 )
 def transcripts(spark, sf):
-    return X.conversations(spark, sf).select("conversation_id", C.transcript(F.col("conversation")).alias("transcript"))
+    # a conversation of any length is as many texts as it has segments
+    text = C.transcript(F.col("conversation")).alias("transcript")
+    return X.conversations(spark, sf).select("conversation_id", "segment", text).where("transcript <> ''")
 
 
 @query(

@@ -42,8 +42,8 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested rows; no conversation of the given tables exceeds one row."""
-    return nest_messages(messages(spark, sf)).drop("segment")
+    """Nested rows of at most 1,024 messages, numbered by ``segment``."""
+    return nest_messages(messages(spark, sf))
 
 
 def nli(spark: SparkSession, sf: str, spread: bool = True) -> DataFrame:

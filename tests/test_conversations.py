@@ -63,6 +63,33 @@ def test_segments_hold_at_most_their_size_and_lose_nothing(messages):
     assert nested.agg(F.sum(F.size("conversation"))).first()[0] == messages.count()
 
 
+@pytest.mark.parametrize("segment,length", [(2, 7), (1024, 1031)])
+def test_long_nested_conversations_agree_with_messages(spark, segment, length):
+    roles = ["system"] + ["user", "assistant"] * length
+    rows = [("long", i, roles[i], f"m{i}", "English") for i in range(length)]
+    rows += [("short", i, r, f"s{i}", "French") for i, r in enumerate(["user", "user", "assistant"])]
+    messages = spark.createDataFrame(rows, MESSAGES)
+    nested = C.nest_messages(messages, segment)
+    columns = ["conversation_id", "language", "conversation_turns", "turn_n", "turn_id", "prompt", "response"]
+    pairs = sorted(map(tuple, C.pair_turns(messages).select(*columns).collect()))
+    assert sorted(map(tuple, C.unwrap_turns(nested).select(*columns).collect())) == pairs
+    flat = {(r["conversation_id"], r["pos"]): r["turn_n"] for r in C.number_turns(messages).collect()}
+    numbered = C.add_turns(nested)
+    assert numbered.columns == nested.columns
+    got = {(r["conversation_id"], r["segment"] * segment + i): m["turn"]
+           for r in numbered.collect() for i, m in enumerate(r["conversation"])}
+    assert got == flat
+    found = C.search_conversations(nested, "M3")
+    assert found.agg(F.sum(F.size("conversation"))).first()[0] == length
+    assert C.matching_conversations(messages, "M3").count() == length
+
+
+def test_phrases_from_a_table(spark):
+    df = spark.createDataFrame([("say [x] now",), ("say y now",), (None,)], "prompt string")
+    phrases = spark.createDataFrame([("[x]",), (None,), ("  ",)], "phrase string")
+    assert [r[0] for r in C.exclude_phrases(df, "prompt", phrases).collect()] == ["say y now", None]
+
+
 def test_turn_id_keeps_long_numbers(spark):
     row = spark.range(1).select(C.turn_id(F.lit("c"), F.lit(7)), C.turn_id(F.lit("c"), F.lit(12345))).first()
     assert tuple(row) == ("c007", "c12345")
