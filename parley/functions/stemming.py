@@ -1,13 +1,19 @@
-"""Porter2 ("English") stemming as Column expressions.
+"""Porter2 ("English") stemming, for words in a column and for the words inside a text.
 
-The algorithm is the published one (M. F. Porter, "The English (Porter2) stemming algorithm"). It is meant for a table
-of distinct words, which is small beside the texts they come from.
+The algorithm is the published one (M. F. Porter, "The English (Porter2) stemming algorithm"). Column expressions serve a
+table of distinct words; ``stemmed_words`` stems the words of whole texts in place, each once per worker while it is cached.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parley.functions.arrays import pinned
 
@@ -136,3 +142,90 @@ def add_stems(words: DataFrame, column: str = "word", target: str = "stem") -> D
         .otherwise(F.regexp_replace(w, "Y", "y"))
     )
     return pinned(df, words.columns, **{target: stem})
+
+
+# ---- words inside a text -----------------------------------------------------------------------------------------
+
+#: Stems that a worker remembers.
+CACHED_STEMS = 1 << 18
+
+
+def _region(word: str, start: int, special: str = "") -> int:
+    """Where the region after the first non-vowel that follows a vowel starts, at or after a position."""
+    found = re.match(f"{special}.*?{VOWEL}{OTHER}", word[start:])
+    return start + found.end() if found else len(word)
+
+
+def _ending(word: str, suffixes) -> str:
+    """The longest of the suffixes that ends the word, or an empty string."""
+    return max((x for x in suffixes if word.endswith(x)), key=len, default="")
+
+
+def _short(word: str, r1: int) -> bool:
+    return r1 >= len(word) and re.search(SHORT_SYLLABLE, word) is not None
+
+
+def _step_1(w: str, r1: int) -> tuple[str, bool]:
+    """Plurals and participles; also whether the word is one that is left alone after step 1a."""
+    s = _ending(w, ["sses", "ied", "ies", "us", "ss", "s"])
+    if s == "sses":
+        w = w[:-2]
+    elif s in ("ied", "ies"):
+        w = w[:-3] + ("i" if len(w) > 4 else "ie")
+    elif s == "s" and re.search(f"{VOWEL}.+s$", w):
+        w = w[:-1]
+    if w in KEPT_AFTER_1A:
+        return w, True
+    s = _ending(w, ["eedly", "eed", "ingly", "edly", "ing", "ed"])
+    bare = w[:len(w) - len(s)]
+    if s in ("eed", "eedly"):
+        w = bare + "ee" if len(bare) >= r1 else w
+    elif s and re.search(VOWEL, bare):
+        w = bare
+        if re.search("(at|bl|iz)$", w):
+            w += "e"
+        elif re.search("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+            w = w[:-1]
+        elif _short(w, r1):
+            w += "e"
+    return re.sub(f"(.{OTHER})[yY]$", r"\1i", w), False
+
+
+@functools.lru_cache(CACHED_STEMS)
+def stem_word(word: str) -> str:
+    """Stem of one lower-cased word."""
+    if len(word) <= 2:
+        return word
+    if word in EXCEPTIONS:
+        return EXCEPTIONS[word]
+    w = re.sub(f"({VOWEL})y", r"\1Y", re.sub("^y", "Y", word))
+    special = re.match("gener|commun|arsen", w)
+    r1 = special.end() if special else _region(w, 0)
+    r2 = _region(w, r1)
+    w, kept = _step_1(w, r1)
+    if kept:
+        return re.sub("s$", "", word)
+    s = _ending(w, STEP_2)
+    allowed = {"ogi": "logi$", "li": "[cdeghkmnrt]li$"}.get(s, "")
+    if s and len(w) - len(s) >= r1 and re.search(allowed, w):
+        w = w[:len(w) - len(s)] + STEP_2[s]
+    s = _ending(w, STEP_3)
+    if s and len(w) - len(s) >= (r2 if s == "ative" else r1):
+        w = w[:len(w) - len(s)] + STEP_3[s]
+    s = _ending(w, STEP_4)
+    if s and len(w) - len(s) >= r2 and (s != "ion" or re.search("[st]ion$", w)):
+        w = w[:len(w) - len(s)]
+    if w.endswith("e"):
+        at = len(w) - 1
+        if at >= r2 or at >= r1 and not re.search(SHORT_SYLLABLE, w[:-1]):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
+@F.pandas_udf(StringType())
+def stemmed_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The words of a text, separated by blanks, stemmed in place."""
+    for texts in batches:
+        yield texts.map(lambda t: None if t is None else " ".join(map(stem_word, t.split(" "))))

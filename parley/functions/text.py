@@ -23,6 +23,8 @@ CORPUS_EXCLUDED = ["write", "answer", "say", "make", "want", "don", "like", "goo
                    "create", "explain"]
 # The longer list used for counts per cluster.
 CLUSTER_EXCLUDED = CORPUS_EXCLUDED + ["use", "using", "used", "uses", "does", "did", "know"]
+# The list of the analysis with seven clusters.
+TOPIC_EXCLUDED = ["make", "want", "don", "like", "good", "com"]
 # The list used for counts per pair of predicted labels.
 PAIR_EXCLUDED = ["don", "hello"]
 # Fixed value: words with this prefix stand for masked names.

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.functions.stemming import add_stems
-from parley.session import materialize
+from parley.functions.stemming import stemmed_words
 
 
 def tokens(df: DataFrame, text: str, keep: Sequence[str] = (), stop_words: Sequence[str] = X.STOP_WORDS) -> DataFrame:
@@ -120,13 +119,6 @@ def frequent_first_join(
 def clean_stemmed_column(
     df: DataFrame, key: str, text: str, excluded: Sequence[str] = (), target: str = "clean_text"
 ) -> DataFrame:
-    """(key, clean text) with stemmed words, in order. Each distinct word is stemmed once."""
+    """(key, clean text) with stemmed words, in order. Words are stemmed inside the row; nothing is shuffled."""
     cleaned = clean_column(df.select(key, F.coalesce(text, F.lit("")).alias(text)), text, excluded, "_clean")
-    placed = cleaned.select(key, F.posexplode_outer(F.split("_clean", " ")).alias("pos", "word"))
-    # the empty word of empty texts is counted like any other, since it can be the most frequent one
-    counted = placed.groupBy("word").agg(F.count("*").alias("n"))
-    joined = frequent_first_join(placed, materialize(add_stems(counted), "stems"), "word")
-    item = F.when(F.col("stem") != "", F.struct("pos", "stem"))
-    return joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.stem), " ").alias(target)
-    )
+    return cleaned.select(key, stemmed_words("_clean").alias(target))

@@ -6,7 +6,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.functions.stemming import add_stems
+from parley.functions.stemming import add_stems, stem_word
 from parley.operators import language as G
 from parley.operators import words as W
 
@@ -37,6 +37,15 @@ def test_stems(spark):
     assert [tuple(r) for r in wrong] == []
 
 
+def test_stems_inside_texts_equal_stems_of_words(spark):
+    made = [a + b + c for a in ("hop", "gener", "y", "try", "fl", "commun") for b in ("", "i", "ing", "ee", "iz")
+            for c in ("ed", "ation", "ly", "ness", "s", "ies", "al", "ive", "ousli", "e", "ll", "")]
+    words = sorted({*STEMS[::2], *made, "skis", "inning", "logi", "été", "name_"} - {""})
+    df = add_stems(spark.createDataFrame([(w,) for w in words], "word string"))
+    wrong = [(r["word"], r["stem"], stem_word(r["word"])) for r in df.collect() if r["stem"] != stem_word(r["word"])]
+    assert wrong == []
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     texts = ["The cat sat. The CAT ran!", "name_1 likes a cat", "dogs and cats", "", "été été 42"]
