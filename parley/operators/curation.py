@@ -106,9 +106,11 @@ def cast_label(df: DataFrame, column: str = "label", names: Mapping[int, str] =
     """Check labels against the enum and add ``<column>_name``; an unknown id fails the job."""
     name = F.try_element_at(literal_map(names), F.col(column).cast("int"))
     checked = F.when(name.isNull(), F.raise_error(F.concat(F.lit("unknown label "), F.col(column).cast("string"))))
-    return df.withColumn(f"{column}_name", F.coalesce(checked.cast("string"), name)).withColumn(
-        column, F.col(column).cast("int")
-    )
+    # both results carry the check, so that it holds whichever of them is read
+    return df.withColumns({
+        f"{column}_name": F.coalesce(checked.cast("string"), name),
+        column: F.coalesce(checked.cast("int"), F.col(column).cast("int")),
+    })
 
 
 def flip_label_convention(c: Column) -> Column:

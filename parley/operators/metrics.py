@@ -72,13 +72,20 @@ def prefix_metrics(bundle: DataFrame, prefix: str = "eval_") -> DataFrame:
 
 
 def confusion_matrix(counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Long matrix over the label grid: missing cells are 0, pairs outside the labels are dropped."""
+    """Long matrix over the label grid, one per group: missing cells are 0, pairs outside the labels are dropped."""
     grid = counts.sparkSession.createDataFrame(
         [(i, j, t, p) for (i, t), (j, p) in product(enumerate(labels), enumerate(labels))],
         "true_pos int, predicted_pos int, true_class string, predicted_class string",
     )
-    cells = counts.groupBy("true_class", "predicted_class").agg(F.sum("n").alias("n"))
-    return grid.join(cells, ["true_class", "predicted_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    keys = [*by, "true_class", "predicted_class"]
+    cells = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    if by:  # the grid repeats for each group, of which there are as many as models
+        cells_of = counts.select(*by).distinct()
+        labelled = F.explode(F.array(*[F.struct(F.lit(i).alias("true_pos"), F.lit(j).alias("predicted_pos"),
+                                                F.lit(t).alias("true_class"), F.lit(p).alias("predicted_class"))
+                                       for (i, t), (j, p) in product(enumerate(labels), enumerate(labels))]))
+        grid = cells_of.select(*by, labelled.alias("_cell")).select(*by, "_cell.*")
+    return grid.join(cells, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def count_matrix(df: DataFrame, rows: str, columns: str, labels: Sequence[str]) -> DataFrame:
@@ -131,9 +138,12 @@ def planned_tokens(df: DataFrame, seq: str, batch_size: int, max_steps: int, ids
 
 
 def best_run(log: DataFrame, metric: str, greater_is_better: bool = True) -> DataFrame:
-    """The log row with the best value of a metric; the earliest step wins a tie, then the run name."""
+    """The log row with the best value of a metric; the earliest step wins a tie, then the run name.
+
+    NULL and NaN are never best.
+    """
     sign = 1 if greater_is_better else -1
-    rows = log.where(F.col("metric") == metric)
+    rows = log.where((F.col("metric") == metric) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
     best = F.max(F.struct((F.col("value") * sign).alias("v"), (-F.col("step")).alias("s")))
     key = rows.agg(best.alias("b")).select("b.v", "b.s")
     tied = rows.join(

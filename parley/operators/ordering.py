@@ -62,6 +62,16 @@ def _bucket_of_rank(counts: dict, rank: int) -> tuple:
     raise ValueError(f"rank {rank} is beyond {before} rows")
 
 
+def _last_inside(rest: DataFrame, name: str, rank: int, available: int):
+    """The ``rank``-th smallest of the first ``rank + 1`` keys; a key that goes on beyond the cut is refused."""
+    last = [r[0] for r in rest.orderBy(F.desc(name)).limit(2).collect()]
+    if available <= rank:
+        return last[0]
+    if last[0] == last[1]:
+        raise ValueError("keys repeat; the cut needs a key that is unique per row")
+    return last[1]
+
+
 def cut_at_rank(df: DataFrame, order: Column, n: int) -> Cut:
     """The value of a unique integer ``order`` that ends the first ``n`` rows.
 
@@ -81,8 +91,8 @@ def cut_at_rank(df: DataFrame, order: Column, n: int) -> Cut:
         b, before, inside = _bucket_of_rank(dict(ranged.collect()), rank)
         rank -= before
         low, high = low + b * width, min(high, low + (b + 1) * width - 1)
-    rest = keys.where(F.col("o").between(low, high)).orderBy("o").limit(rank)
-    return Cut(order, rest.agg(F.max("o")).first()[0], n, total)
+    rest = keys.where(F.col("o").between(low, high)).orderBy("o").limit(rank + 1)
+    return Cut(order, _last_inside(rest, "o", rank, inside), n, total)
 
 
 def random_cut(
@@ -109,8 +119,8 @@ def random_cut(
         b, before, inside = _bucket_of_rank(counts, rank)
         rank -= before
         prefix += b
-    rest = keys.where(F.startswith("h", F.lit(prefix))).orderBy("h").limit(rank)
-    return Cut(order, rest.agg(F.max("h")).first()[0], n, total)
+    rest = keys.where(F.startswith("h", F.lit(prefix))).orderBy("h").limit(rank + 1)
+    return Cut(order, _last_inside(rest, "h", rank, inside), n, total)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, strict: bool = True) -> DataFrame:

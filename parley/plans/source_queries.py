@@ -45,9 +45,17 @@ def split_published(spark, sf):
     return tables.restore(spark, path).select("seq", "category", "label", "split")
 
 
-@query("csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+@query(
+    "csv_round_trip",
+    """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '  ' || text || chr(9) WHEN 1 THEN '' WHEN 2 THEN NULL ELSE text END AS text,
+  lang, source, n_chars FROM documents""",
+)
 def csv_round_trip(spark, sf):
-    docs = X.table(spark, sf, "documents")
+    """Texts with blanks around them, empty ones and missing ones come back as they were."""
+    text, kind = F.col("text"), F.col("doc_id") % 7
+    docs = X.table(spark, sf, "documents").withColumn(
+        "text", F.when(kind == 0, F.concat(F.lit("  "), text, F.lit("\t"))).when(kind == 1, "")
+        .when(kind == 2, F.lit(None)).otherwise(text))
     path = f"{fresh_path(spark, 'csv')}/details_{tables.date_stamp()}"
     tables.write_csv(docs, path)
     return tables.read_csv(spark, path, docs.schema)
@@ -65,14 +73,27 @@ def parquet_round_trip(spark, sf):
     "SELECT conv_id, role FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations) ORDER BY md5('3:' || conv_id || '/' || turn) LIMIT 30",
 )
 def sample_of_one_file(spark, sf):
-    # the given table has one file, so the sample is over the whole table
-    from parley.operators.ordering import sample_n
-
-    files = [r["path"] for r in tables.file_sizes(spark, f"{sf}/conversations.parquet").select("path").collect()]
-    rows = spark.read.parquet(files[0]).withColumn(
+    keyed = X.table(spark, sf, "conversations").withColumn(
         "k", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     )
-    return sample_n(rows, 30, "k", seed=3).select("conv_id", "role")
+    # written as one file, so that the drawn file holds the rows that SQL knows; tests draw from several
+    path = fresh_path(spark, "one-file")
+    keyed.coalesce(1).write.parquet(path)
+    return tables.sample_one_file(spark, path, 30, "k", seed=3).select("conv_id", "role")
+
+
+@query(
+    "splits_appended",
+    f"""WITH {X.NLI} SELECT split, count(*) AS n, min(seq) AS first FROM
+(SELECT split, seq FROM nli UNION ALL SELECT 'train', seq FROM nli WHERE split = 'test' AND label = 2) GROUP BY split""",
+)
+def splits_appended(spark, sf):
+    """Append and publish as one operation: the test entailments are added to the published train split."""
+    path = fresh_path(spark, "appended")
+    dataset(spark, sf).write.parquet(path)
+    new = Q.entailments(tables.restore(spark, path).where("split = 'test'")).drop("split")
+    tables.append_and_publish(spark, path, new, "train")
+    return tables.restore(spark, path).groupBy("split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
 @query("documents_of_one_file", "SELECT doc_id, lang FROM documents ORDER BY md5('11:' || doc_id) LIMIT 40")
@@ -80,11 +101,12 @@ def documents_of_one_file(spark, sf):
     return tables.sample_one_file(spark, f"{sf}/documents.parquet", 40, "doc_id", seed=11).select("doc_id", "lang")
 
 
-@query("data_files")
+@query("data_files", "SELECT count(*) AS rows, true AS named, true AS sized FROM documents")
 def data_files(spark, sf):
-    return tables.list_files(spark.read.parquet(f"{sf}/documents.parquet")).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "rows"
-    )
+    """The listed files hold all rows, and each has a name and a size."""
+    files = tables.list_files(spark.read.parquet(f"{sf}/documents.parquet"))
+    return files.agg(F.sum("rows").alias("rows"), F.min(F.endswith("path", F.lit(".parquet"))).alias("named"),
+                     F.min(F.col("bytes") > 0).alias("sized"))
 
 
 @query("phrase_list", "SELECT DISTINCT 'phrase of ' || source AS phrase FROM documents")

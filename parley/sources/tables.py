@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.operators.curation import append_to_split
 from parley.operators.ordering import sample_n
 
 #: Inputs up to this size are spread over the cores; larger ones have enough row groups to fill them.
 SMALL_INPUT_BYTES = 256 << 20
 
 
+#: Folder names of the versions of a published dataset.
+VERSION = "v-"
+CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: A missing text is written as nothing, an empty one as two quotes; read back, a missing one first becomes the mark.
+CSV_WRITTEN = {"emptyValue": '""', "nullValue": ""}
+CSV_READ = {"emptyValue": "", "nullValue": "\u0000missing\u0000", "multiLine": "true"}
+
+
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Data files and their sizes in bytes, from the listing alone."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
@@ -70,40 +80,58 @@ def snapshot(dataset: DataFrame, base: str, name: str = "nli", day: date | None
     return path
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a published dataset."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, VERSION + "*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().removeprefix(VERSION)) for f in found or [])
+
+
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest complete version of a dataset, or the folder itself where nothing was published."""
+    numbers = versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/{VERSION}{numbers[-1]:06}" if numbers else path)
 
 
-def publish_split(rows: DataFrame, path: str, split: str) -> None:
-    """Replace one split of a published dataset and keep the others.
+def publish_split(rows: DataFrame, path: str, split: str) -> str:
+    """Replace one split of a published dataset and keep the others; an empty table empties it. Returns the new folder.
 
-    The rows must not come from the folder they replace: a failed write would lose both.
+    The whole dataset is written as a new version, so the rows may come from the one before, readers never see
+    half a dataset, and a failed write leaves no complete version.
     """
-    target = path.rstrip("/") + "/"
-    if any(target in f + "/" for f in rows.inputFiles()):
-        raise ValueError(f"rows are read from {path}; write them to a new folder first")
-    (
-        rows.withColumn("split", F.lit(split))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("split")
-        .parquet(path)
+    spark = rows.sparkSession
+    numbers = versions(spark, path)
+    before = restore(spark, path)
+    new = before.where(F.col("split") != split).unionByName(
+        rows.drop("split").withColumn("split", F.lit(split)), allowMissingColumns=True
     )
+    target = f"{path.rstrip('/')}/{VERSION}{(numbers[-1] if numbers else 0) + 1:06}"
+    # the split is written as a plain column, so that a dataset without rows keeps its schema
+    new.write.parquet(target)
+    return target
+
+
+def append_and_publish(
+    spark: SparkSession, path: str, new_rows: DataFrame, split: str, splits: Sequence[str] = ("train", "test")
+) -> str:
+    """Load a published dataset, check the labels of new records, append them to a split and publish it."""
+    grown = append_to_split(restore(spark, path), new_rows, split, splits)
+    return publish_split(grown.where(F.col("split") == split), path, split)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; nested columns are written as JSON text."""
+    """CSV with a header; nested columns are written as JSON text. Blanks around texts and empty texts are kept."""
     nested = (T.ArrayType, T.MapType, T.StructType)
     columns = [
         F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields
     ]
-    df.select(*columns).write.option("header", True).option("escape", '"').csv(path)
+    df.select(*columns).write.options(**CSV_OPTIONS, **CSV_WRITTEN).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV written by write_csv; texts may span lines."""
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-    return reader.csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS, **CSV_READ).csv(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -45,6 +45,12 @@ def test_append_checks_the_split_and_keeps_duplicates(rows):
         Q.append_to_split(data, rows, "validation")
 
 
+def test_append_refuses_unknown_labels(rows):
+    data = rows.where("label is not null").withColumn("split", F.lit("test"))
+    with pytest.raises(Exception, match="unknown label 9"):
+        Q.append_to_split(data, rows.withColumn("label", F.lit(9)), "train").select("label").collect()
+
+
 def test_top_categories_ties_by_name_and_excludes_before_the_cut(spark):
     df = spark.createDataFrame([(c,) for c in "bbaaccdddd"] + [(None,)], "category string")
     assert [r[0] for r in Q.top_categories(df, 2).collect()] == ["d", "a"]

@@ -98,3 +98,12 @@ def test_empty_table(spark):
     empty = spark.range(0).withColumnRenamed("id", "key")
     assert O.last_n(empty, 3, "key").count() == 0
     assert O.sample_n(empty, 3, "key", strict=False).count() == 0
+
+
+def test_repeated_keys_are_refused(spark):
+    df = spark.createDataFrame([(i // 3,) for i in range(30)], "k bigint")
+    with pytest.raises(ValueError, match="repeat"):
+        O.sample_n(df, 4, "k")
+    with pytest.raises(ValueError, match="repeat"):
+        O.first_n(df, 4, "k")
+    assert O.first_n(df, 6, "k").count() == 6
