@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from parley.operators import classify, conversations, curation, metrics, ordering
 from parley.operators.scoring import Scorer
 from parley.schemas import CONVERSATION
+from parley.streaming import streams
 
 
 @dataclass(frozen=True)
 class Conversations:
-    """A table with one nested row per conversation, at rest or arriving."""
+    """A table of nested conversations, at rest or arriving; with a column ``segment`` a long one has several rows."""
 
     rows: DataFrame
 
@@ -31,10 +32,19 @@ class Conversations:
         """Conversations with the given ids, or else ``n`` random ones. Of a stream the first ``n`` to arrive."""
         if ids:
             return Conversations(conversations.with_ids(self.rows, list(ids)))
+        if n is None:
+            raise ValueError("give a number of conversations or their ids")
         if self.rows.isStreaming:
             return Conversations(self.rows.limit(n))
         return Conversations(ordering.sample_n(self.rows, n, "conversation_id", seed))
 
+    def shuffled_sample(self, n: int, seed: int = 42) -> Conversations:
+        """Of a stream the first ``n`` conversations to arrive, of a table ``n`` random ones, numbered in random order
+        by ``seq``. A stream is read up to what is there now."""
+        if self.rows.isStreaming:
+            return Conversations(streams.first_rows(self.rows, n, "conversation_id", seed))
+        return Conversations(ordering.number_rows(self.sample(n, seed=seed).rows, "conversation_id", seed))
+
     def with_turns(self) -> DataFrame:
         return conversations.add_turns(self.rows)
 

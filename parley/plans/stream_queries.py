@@ -44,7 +44,16 @@ def stream_turn_numbers(spark, sf):
     return S.number_turns_stream(message_stream(spark, sf)).select("conversation_id", "pos", "role", "turn_n")
 
 
-@query("stream_first_rows")
+@query(
+    "stream_first_rows",
+    "SELECT least(100, count(*)) AS rows, least(100, count(*)) AS in_table, least(100, count(*)) AS places FROM conversations",
+)
 def stream_first_rows(spark, sf):
+    """The first rows of a stream: as many as asked for, each from the table, in places 1..n."""
     keyed = message_stream(spark, sf).withColumn("k", F.concat("conversation_id", F.lit("/"), F.col("pos").cast("string")))
-    return S.first_rows(keyed, 100, "k").drop("k", "content")
+    first = S.first_rows(keyed, 100, "k")
+    known = X.messages(spark, sf).select("conversation_id", "pos", "content", F.lit(1).alias("known"))
+    return first.join(known, ["conversation_id", "pos", "content"], "left").agg(
+        F.count("*").alias("rows"), F.count("known").alias("in_table"),
+        F.count_distinct(F.when(F.col("seq") <= 100, F.col("seq"))).alias("places"),
+    )

@@ -71,25 +71,31 @@ class TurnNumbering:
         rows = spark.read.schema("conversation_id string, carried bigint").parquet(*folders)
         return rows.groupBy("conversation_id").agg(F.sum("carried").alias("carried"))
 
-    def _carried(self, spark: SparkSession, batch: int) -> DataFrame | None:
+    def _carried(self, spark: SparkSession, batch: int, ids: DataFrame) -> DataFrame | None:
+        """User messages so far of the given conversations; the state of others is only read when it is compacted."""
         if batch == 0:
             return None
         base = (batch - 1) // COMPACT_EVERY * COMPACT_EVERY
         sums = self._sums(spark, batch, base)
-        if batch % COMPACT_EVERY:
-            return sums
-        path = f"{self.path}/base/batch={batch}"
-        sums.write.mode("overwrite").parquet(path)
-        return spark.read.schema(sums.schema).parquet(path)
+        if batch % COMPACT_EVERY == 0:
+            path = f"{self.path}/base/batch={batch}"
+            # sorted by id, so that row groups without an id of a later batch are skipped
+            sums.sort("conversation_id").write.mode("overwrite").parquet(path)
+            sums = spark.read.schema(sums.schema).parquet(path)
+        return sums.join(ids, "conversation_id", "left_semi")
 
     def __call__(self, messages: DataFrame, batch: int) -> None:
-        carried = self._carried(messages.sparkSession, batch)
-        numbered = number_turns(messages, self.chunk, carried).drop("conversation_turns")
-        numbered.write.mode("overwrite").parquet(f"{self.path}/messages/batch={batch}")
+        messages.persist()
         users = messages.groupBy("conversation_id").agg(
             F.sum((F.col("role") == "user").cast("bigint")).alias("carried")
         )
-        users.write.mode("overwrite").parquet(f"{self.path}/users/batch={batch}")
+        path = f"{self.path}/users/batch={batch}"
+        users.write.mode("overwrite").parquet(path)
+        ids = messages.sparkSession.read.schema(users.schema).parquet(path).select("conversation_id")
+        carried = self._carried(messages.sparkSession, batch, ids)
+        numbered = number_turns(messages, self.chunk, carried).drop("conversation_turns")
+        numbered.write.mode("overwrite").parquet(f"{self.path}/messages/batch={batch}")
+        messages.unpersist()
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (

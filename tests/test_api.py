@@ -33,6 +33,10 @@ def test_conversations(spark, path):
 def test_streamed_conversations(spark, path):
     stream = Conversations.read(spark, path, streaming=True)
     assert drain(stream.sample(2).rows).count() == 2
+    shuffled = stream.shuffled_sample(3).rows
+    assert not shuffled.isStreaming and sorted(r["seq"] for r in shuffled.collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        stream.sample()
     assert drain(stream.prompts()).count() == 21
     assert drain(stream.search("question 5")).count() == 1
 
