@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.exprs import free_name, words_of
+from parley.llm.exprs import words_of
 from parley.session import materialize
 
 SAMPLE_PER_DOMAIN = 500
@@ -165,19 +165,22 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str,
 
 def resampled(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float], key: str = "doc_id",
               text: str = "text") -> DataFrame:
-    """The documents as often as their rates say; same columns."""
+    """The documents as often as their rates say; same columns.
+
+    A rate follows from the posterior and the fitted vector, so it is computed again in the row of its text: no text is
+    shuffled or joined.
+    """
     classifier = learned(labelled, domain, text, key)
     if classifier.model is None:
         return docs
     members = materialize(posteriors(docs, classifier, key, text), "mixing-members")
     y, _ = fitted_rates(members, target_shares(classifier.domains, targets))
-    of, n, time = (free_name(docs, name) for name in ("mixed_key", "mixed_copies", "mixed_time"))
-    copies = members.select(F.col(key).alias(of), copies_of(_rate(y), F.col(key)).alias(n))
-    # rows with one copy, by far the most, need no join; equal keys with different texts are rounded together
-    changed = copies.filter(F.col(n) != 1).groupBy(of).agg(F.max(n).alias(n))
-    placed = docs.join(changed, F.col(key).eqNullSafe(F.col(of)), "left").filter(F.coalesce(n, F.lit(1)) > 0)
-    times = F.explode(F.sequence(F.lit(1), F.coalesce(n, F.lit(1)), F.lit(1))).alias(time)
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop(time)
+    # the classifier adds columns of its own, which the prefix keeps apart
+    rows = docs.toDF(*[f"in_{c}" for c in docs.columns]).withColumn("words", _words(F.col(f"in_{text}")))
+    found = classifier.model.transform(rows).withColumn("posterior", vector_to_array("posterior"))
+    placed = found.withColumn("copies", copies_of(_rate(y), F.col(f"in_{key}"))).filter("copies > 0")
+    times = placed.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return times.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
 #: Shares of the token total that the query and the pipeline mix to.
