@@ -7,6 +7,7 @@ only reduced to their minimum, which combines before the shuffle. The driver get
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,22 @@ def components(links: DataFrame) -> DataFrame:
         before = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of links between nodes 0..n-1."""
+    above = list(range(n))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = top(x), top(y)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            kept.append((x, y))
+    return kept

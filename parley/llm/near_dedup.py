@@ -8,10 +8,11 @@ Lists stay short by a prefix rule: two sets of similarity 0.75 share at least ``
 chance below 1e-8, exactly so for short documents), so they meet in the lists of their rarest values. Frequent values
 of shared passages, which come last, are in a prefix only where nearly the whole document is frequent.
 
-A list is not paired off. In rounds, its first members are compared with the others, and members that are already in one
-component are not compared again: a group of copies of any size is settled by about one comparison per member. The number of
-first members grows fourfold each round until a list is one component or all its pairs of different components were
-compared, so no link that would join two components is lost.
+A list is not paired off. Its FIRST_MEMBERS first members are compared with the others, which settles most groups of copies
+by about one comparison per member, as members of one component need not be compared again. What is left, lists with several
+components, is cut into pools that share no list. In a pool, members outside its largest component are compared with all
+others in blocks of bounded size, by one matrix product of the shared values; a block hands on a spanning forest of its links,
+never the pairs. So no link that would join two components is lost.
 
 Edge cases: a null or blank text has the empty set and no links. Rows with equal id are one document: they share a
 component, and texts that differ under one id are linked by it. A row with null id joins the component of a class with
@@ -21,10 +22,12 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.components import components
+from parley.llm.components import components, forest
 from parley.llm.exprs import ascii_lower, free_name, let, words_of
 from parley.session import materialize
 
@@ -36,9 +39,12 @@ SKETCH = 64
 MIN_SHARED = 28
 #: Sets up to this size only have partners whose sketch is their whole set.
 WHOLE_SETS = SKETCH * MIN_PERCENT // 100
-#: First members of a list that are compared in the first round, and their growth.
+#: First members of a list that are compared with all others.
 FIRST_MEMBERS = 2
-GROWTH = 4
+#: Members and hashes on one side of a block, and values that one matrix product takes.
+BLOCK_MEMBERS = 512
+BLOCK_HASHES = 1 << 20
+BLOCK_VALUES = 1 << 13
 
 
 def shingle_set(text: Column) -> Column:
@@ -125,30 +131,112 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.filter(similar).select("a", "b").distinct()
 
 
-def _round_pairs(lists: DataFrame, labels: DataFrame, before: int, first: int) -> tuple[DataFrame, int]:
-    """Pairs that members up to rank ``first`` (and beyond ``before``) of unsettled lists have with members of other
-    components, and the size of the largest unsettled list."""
+def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists whose members are in several components, with the component of each member."""
     placed = lists.join(labels, lists["rep"] == labels["node"], "left").withColumn(
         "component", F.coalesce("label", "rep")).drop("node", "label")
-    open_lists = (placed.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.max("members").alias("size"))
-                  .filter((F.col("low") != F.col("high")) & (F.col("size") > before)).select("v", "size"))
-    placed = materialize(placed.join(open_lists, "v"), "shingle-open")
-    largest = placed.agg(F.max("size")).first()[0] or 0
+    unsettled = (placed.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                 .filter("low != high").select("v"))
+    return materialize(placed.join(unsettled, "v", "left_semi"), "shingle-open")
+
+
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first members of each list with its other members."""
     # members with most shared values come first: the original of a group of copies has what the others share
     order = Window.partitionBy("v").orderBy(F.desc("shared"), "rep")
-    centers = (placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
-               .filter(F.col("rank") > before).select("v", F.col("rep").alias("center"), F.col("n").alias("n_center"),
-                                                      F.col("component").alias("of_center")))
+    first = (lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= FIRST_MEMBERS)
+             .select("v", F.col("rep").alias("center"), F.col("n").alias("n_center"),
+                     F.col("component").alias("of_center")))
     sizes_fit = F.least("n", "n_center") * 100 >= F.greatest("n", "n_center") * MIN_PERCENT
-    pairs = (placed.join(centers, "v").filter((F.col("component") != F.col("of_center")) & sizes_fit)
-             .select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
-    return pairs, largest
+    return (lists.join(first, "v").filter((F.col("component") != F.col("of_center")) & sizes_fit)
+            .select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct())
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of hashes that each set of one side shares with each of the other."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    values_a, values_b = np.concatenate(left), np.concatenate(right)
+    rows_a = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    rows_b = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    shared = np.intersect1d(values_a, values_b)
+    if not len(shared):
+        return counts
+    place_a, place_b = np.searchsorted(shared, values_a), np.searchsorted(shared, values_b)
+    in_a = shared[np.minimum(place_a, len(shared) - 1)] == values_a
+    in_b = shared[np.minimum(place_b, len(shared) - 1)] == values_b
+    place_a, rows_a, place_b, rows_b = place_a[in_a], rows_a[in_a], place_b[in_b], rows_b[in_b]
+    for start in range(0, len(shared), BLOCK_VALUES):
+        width = min(BLOCK_VALUES, len(shared) - start)
+        sides = []
+        for place, rows, n in ((place_a, rows_a, len(left)), (place_b, rows_b, len(right))):
+            own = (place >= start) & (place < start + width)
+            side = np.zeros((n, width), np.float32)
+            side[rows[own], place[own] - start] = 1
+            sides.append(side)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def _block_links(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Spanning forest of the links between the members of a block that are of one pool and different components."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    sets_a, sets_b = left["shingles"].tolist(), right["shingles"].tolist()
+    common = _common(sets_a, sets_b)
+    sizes = np.array([len(x) for x in sets_a])[:, None] + np.array([len(x) for x in sets_b])
+    similar = common * 100 >= (sizes - common) * MIN_PERCENT
+    similar &= left["pool"].to_numpy()[:, None] == right["pool"].to_numpy()
+    similar &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()
+    a, b = np.nonzero(similar)
+    nodes, places = np.unique(np.concatenate([left["rep"], right["rep"]]), return_inverse=True)
+    edges = forest(places[:len(left)][a], places[len(left):][b], len(nodes))
+    return pd.DataFrame({"a": [nodes[x] for x, _ in edges], "b": [nodes[y] for _, y in edges]}).astype("int64")
+
+
+def _pool_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within pools of lists."""
+    edges = lists.join(lists.groupBy("v").agg(F.min("rep").alias("low")), "v").select(F.col("rep").alias("a"),
+                                                                                     F.col("low").alias("b"))
+    pools = components(edges).select(F.col("node").alias("rep"), F.col("label").alias("pool"))
+    members = materialize(lists.select("rep", "n", "component").distinct().join(pools, "rep"), "shingle-members")
+    sizes = members.groupBy("pool", "component").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"))
+    pool = sizes.groupBy("pool").agg(F.sum("size").alias("all"), F.sum("hashes").alias("all_hashes"),
+                                     F.max(F.struct("size", "component", "hashes")).alias("largest"))
+
+    def blocks(n: Column, hashes: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK_MEMBERS), F.ceil(hashes / BLOCK_HASHES)).cast("int")
+
+    # the small pools share groups of about a block, so that a task is not one pool of three
+    small = (F.col("all") * 8 <= BLOCK_MEMBERS) & (F.col("all_hashes") * 8 <= BLOCK_HASHES)
+    totals = pool.filter(small).agg(F.sum("all"), F.sum("all_hashes")).first()
+    bins = max(1, -(-(totals[0] or 0) // BLOCK_MEMBERS), -(-(totals[1] or 0) // BLOCK_HASHES))
+    pool = pool.select(
+        "pool", F.col("largest.component").alias("main"),
+        F.when(small, -1 - F.pmod(F.xxhash64("pool"), F.lit(bins))).otherwise(F.col("pool")).alias("of"),
+        blocks(F.col("all"), F.col("all_hashes")).alias("n_all"),
+        blocks(F.col("all") - F.col("largest.size"), F.col("all_hashes") - F.col("largest.hashes")).alias("n_rest"))
+    rows = members.join(pool, "pool").join(sets.select("rep", "shingles"), "rep")
+
+    def side(rows: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        return rows.select("of", F.pmod(F.xxhash64("rep"), F.col(n_own)).cast("int").alias(own),
+                           F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other),
+                           "rep", "component", "pool", "shingles")
+
+    rest = side(rows.filter("component != main"), "x", "y", "n_rest", "n_all")
+    whole = side(rows, "y", "x", "n_all", "n_rest")
+    whole = whole.toDF(*whole.columns)  # new column identities, as both sides come from the same rows
+    return (rest.groupBy("of", "x", "y").cogroup(whole.groupBy("of", "x", "y"))
+            .applyInPandas(_block_links, "a long, b long"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the links of before, which labels stand for, and new ones."""
+    return materialize(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)),
+                       "shingle-labels")
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, n_shingles, component_id and kept."""
-    spark = docs.sparkSession
     rows, classes = _classes(docs, key, text)
     lists = _lists(classes)
     sets = _full_sets(docs, lists, key, text)
@@ -160,21 +248,10 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     links = materialize(twice.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(
         by_id.filter("low != high").select(F.col("low").alias("a"), F.col("high").alias("b"))), "shingle-links")
     labels = components(links)
-    tested = spark.createDataFrame([], "a long, b long")
-    before, first = 0, FIRST_MEMBERS
-    while True:
-        pairs, largest = _round_pairs(lists, labels, before, first)
-        if not largest:
-            break
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "shingle-round")
-        found = materialize(_confirmed(pairs, sets), "shingle-links")
-        if not found.isEmpty():
-            labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-                                            .unionByName(found)), "shingle-labels")
-        if first >= largest:
-            break
-        tested = tested.unionByName(pairs)
-        before, first = first, first * GROWTH
+    pairs = materialize(_first_pairs(lists.withColumn("component", F.col("rep"))), "shingle-first")
+    labels = _joined(labels, materialize(_confirmed(pairs, sets), "shingle-links"))
+    unsettled = _unsettled(lists, labels)
+    labels = _joined(labels, materialize(_pool_links(unsettled, sets), "shingle-links"))
     facts = (reps.join(labels, reps["rep"] == labels["node"], "left")
              .select("h1", "h2", F.coalesce("label", "rep").alias("component")))
     joined = rows.withColumn("h1", F.when(F.col("n") > 0, F.col("h1"))).join(facts, ["h1", "h2"], "left")

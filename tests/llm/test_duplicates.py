@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from parley.llm import near_dedup, vector_dedup
-from parley.llm.components import components
+from parley.llm.components import components, forest
 
 
 def reachable(nodes, links):
@@ -94,14 +94,22 @@ def test_near_copies_equal_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_later_rounds_lose_no_link(spark, monkeypatch):
+def test_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "FIRST_MEMBERS", 1)
-    monkeypatch.setattr(near_dedup, "GROWTH", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_VALUES", 16)
     rows = list(enumerate(variants(random.Random(3))[:200]))
     got = near_dedup.labelled(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == expected(rows)[1]
 
 
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(30)]
+    got = near_dedup._common(sets[:12], sets[12:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
+
+
 def test_near_copies_edge_cases(spark):
     words = " ".join(f"w{k}" for k in range(30))
     other = " ".join(f"v{k}" for k in range(30))
@@ -165,5 +173,5 @@ def test_vector_edge_cases(spark):
 def test_forest_connects_what_the_links_connect():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 60, 90), rng.integers(0, 60, 90)
-    kept = vector_dedup.forest(a, b, 60)
+    kept = forest(a, b, 60)
     assert reachable(range(60), kept) == reachable(range(60), list(zip(a.tolist(), b.tolist()))) and len(kept) < 60
