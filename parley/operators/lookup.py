@@ -25,9 +25,10 @@ def with_weight_sums(df: DataFrame, items: Column, weights: DataFrame, key: str,
     ``weights`` has columns item, n (its frequency) and w (array of ``width`` doubles).
     """
     short = F.length("item") <= ITEM_CHARS
-    top = weights.where(short).orderBy(F.desc("n"), "item").limit(FREQUENT_ITEMS).collect()
-    table = np.array([r["w"] for r in top], float).reshape(len(top), width)
-    shared = df.sparkSession.sparkContext.broadcast(({r["item"]: k for k, r in enumerate(top)}, table))
+    top = weights.where(short).orderBy(F.desc("n"), "item").limit(FREQUENT_ITEMS).select("item", "n", "w").toArrow()
+    names = top["item"].to_pylist()
+    table = top["w"].combine_chunks().flatten().to_numpy().reshape(len(names), width) if names else np.zeros((0, width))
+    shared = df.sparkSession.sparkContext.broadcast(({name: k for k, name in enumerate(names)}, table))
 
     @F.pandas_udf("sums array<double>, known long, others array<struct<item: string, n: long>>")
     def summed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -48,8 +49,8 @@ def with_weight_sums(df: DataFrame, items: Column, weights: DataFrame, key: str,
 
     looked = df.withColumn("_items", items).withColumn("_looked", summed(F.col("_items")))
     looked = looked.withColumn("_texthash", F.xxhash64("_items"))
-    if top:
-        last_n, last = top[-1]["n"], top[-1]["item"]
+    if names:
+        last_n, last = top["n"][-1].as_py(), names[-1]
         weights = weights.where(~(short & ((F.col("n") > last_n) | ((F.col("n") == last_n) & (F.col("item") <= last)))))
     # rows that repeat a key with the same text have the same items, so the maximum is the number in one row
     asked = (looked.select(F.col(key).alias("_key"), F.col("_texthash").alias("_hash"), F.inline("_looked.others"))
