@@ -1,8 +1,8 @@
 """Connected components of a table of links, by stars that are contracted in turn.
 
 Each round first links every larger neighbour of a node to the smallest node around it, then every node and its smaller
-neighbours to the smallest of them, until nothing changes; the links then are stars around the smallest nodes. Groups are
-only reduced to their minimum, which combines before the shuffle. The driver gets two numbers per round.
+neighbours to the smallest of them, until the links are stars around the smallest nodes. Groups are only reduced to their
+minimum, which combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from parley.session import materialize
 
 
-def _summary(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
-                    F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("s")).first()
-    return row["n"], row["x"], row["s"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node on the left has one link and no node is on both sides."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("left"), F.lit(0).alias("right")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("left"), F.lit(1).alias("right")))
+    nodes = ends.groupBy("node").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    return nodes.filter((F.col("left") + F.col("right") > 1) & (F.col("left") > 0)).isEmpty()
 
 
-def _stars(edges: DataFrame, least: Column) -> DataFrame:
-    minima = edges.groupBy("a").agg(F.least(F.min("b"), least).alias("low"))
-    return edges.join(minima, "a")
+def _minima(edges: DataFrame, least: Column) -> DataFrame:
+    """Links with the smallest node around their left end."""
+    return edges.join(edges.groupBy("a").agg(F.least(F.min("b"), least).alias("low")), "a")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,20 +34,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     ordered = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(ordered, "links")
-    before = _summary(edges)
-    while before[0]:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (_stars(both, F.col("a")).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-                 .filter("a != b").distinct())
+        large = (_minima(both, F.col("a")).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+                 .filter("a != b"))
         # after the large step a > b holds; the small step links a node and its smaller neighbours to the smallest
-        small = _stars(large, F.min("b"))
+        small = _minima(large, F.min("b"))
         down = small.select("a", F.col("low").alias("b")).unionByName(
             small.select(F.col("b").alias("a"), F.col("low").alias("b"))).filter("a != b").distinct()
         edges = materialize(down, "links")
-        after = _summary(edges)
-        if after == before:
-            break
-        before = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 

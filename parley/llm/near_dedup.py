@@ -247,9 +247,8 @@ def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     twice = by_id.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     links = materialize(twice.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(
         by_id.filter("low != high").select(F.col("low").alias("a"), F.col("high").alias("b"))), "shingle-links")
-    labels = components(links)
     pairs = materialize(_first_pairs(lists.withColumn("component", F.col("rep"))), "shingle-first")
-    labels = _joined(labels, materialize(_confirmed(pairs, sets), "shingle-links"))
+    labels = materialize(components(links.unionByName(_confirmed(pairs, sets))), "shingle-labels")
     unsettled = _unsettled(lists, labels)
     labels = _joined(labels, materialize(_pool_links(unsettled, sets), "shingle-links"))
     facts = (reps.join(labels, reps["rep"] == labels["node"], "left")
