@@ -4,7 +4,8 @@ Texts are cut into pre-tokens without a regular expression. Every code point bec
 other, apostrophe of a contraction, blank before a word, ...), each symbol is a transition function of an eight-state
 automaton, and functions compose associatively: the finite set of all compositions is tabulated, so that blocks of the
 text are scanned side by side and their results combined. The state before a character says whether a token starts there.
-The slices go through pair merging once per distinct slice and worker; the cache is emptied when it is full.
+The slices go through pair merging once per distinct slice and task; the cache is emptied when it is full and when the task
+ends, since workers live on and serve other operators.
 
 Edge cases: a null text encodes like an empty one (no ids); decoding null ids gives empty bytes. Texts of any length are
 scanned in chunks that hand their state on. Repeated rows are encoded one by one. Other columns pass through ``encoded``,
@@ -28,7 +29,7 @@ from parley.llm.codepoints import CHUNK, SEPARATOR, classes
 
 #: A vocabulary file is sent to every worker, so its size is bounded.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens that a worker remembers.
+#: Pre-tokens that a task remembers.
 CACHE_SIZE = 250_000
 #: Characters that are encoded at once; results leave the worker at the same pace.
 BATCH_CHARS = 1 << 19
@@ -372,9 +373,12 @@ def encoder(shared) -> Callable[[Column], Column]:
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
-        for batch in batches:
-            for texts in _in_batches(batch):
-                yield pd.Series(codec.encode(texts), dtype=object)
+        try:
+            for batch in batches:
+                for texts in _in_batches(batch):
+                    yield pd.Series(codec.encode(texts), dtype=object)
+        finally:
+            codec.forget()
 
     return encode
 
@@ -388,10 +392,13 @@ def recoder(shared) -> Callable[[Column], Column]:
     @F.pandas_udf("ids binary, decoded binary")
     def recode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(shared)
-        for batch in batches:
-            for texts in _in_batches(batch):
-                ids = codec.encode(texts)
-                yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
+        try:
+            for batch in batches:
+                for texts in _in_batches(batch):
+                    ids = codec.encode(texts)
+                    yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
+        finally:
+            codec.forget()
 
     return recode
 
