@@ -159,6 +159,18 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("rank", [8, 64])
+def test_vectors_of_few_directions_lose_no_link(spark, monkeypatch, rank):
+    monkeypatch.setattr(vector_dedup, "ROWS_PER_LIST", 20)
+    rng = np.random.default_rng(rank)
+    vectors = groups(rng, 800, rank) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_dedup.deduplicated(rows.repartition(3)).collect()}
+    links, labels = brute(vectors)
+    assert {k: r.n_links for k, r in got.items()} == dict(enumerate(links.tolist()))
+    assert {k: r.component_id for k, r in got.items()} == labels
+
+
 def test_vector_edge_cases(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]),
             (7, [None, 1.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [0.0, -1.0]), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]),
