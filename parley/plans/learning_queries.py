@@ -201,8 +201,11 @@ def embedding_components(spark, sf):
 
 
 def english(spark, sf):
-    rows = X.documents(spark, sf).where("lang = 'en'").select("doc_id", "text")
-    return W.clean_column(rows, "text", T.CORPUS_EXCLUDED)
+    return X.documents(spark, sf).where("lang = 'en'").select("doc_id", "text")
+
+
+def stemmed_english(spark, sf, excluded=T.CORPUS_EXCLUDED):
+    return W.clean_stemmed_column(english(spark, sf), "doc_id", "text", excluded)
 
 
 @query(
@@ -210,7 +213,7 @@ def english(spark, sf):
     "SELECT count(*) AS documents, count(DISTINCT doc_id) AS distinct_documents, true AS ids_in_range FROM documents WHERE lang = 'en'",
 )
 def topic_clusters(spark, sf):
-    out = U.topic_clusters(english(spark, sf), "doc_id", "clean_text", 5)
+    out = U.topic_clusters(stemmed_english(spark, sf), "doc_id", "clean_text", 5)
     return out.agg(F.count("*").alias("documents"), F.countDistinct("doc_id").alias("distinct_documents"),
                    F.min(F.col("cluster").between(1, 5)).alias("ids_in_range"))
 
@@ -221,31 +224,52 @@ def cluster_words_sql(excluded: list[str], prefix: bool) -> str:
 SELECT word, count(*) AS frequency FROM t WHERE {kept} GROUP BY word ORDER BY frequency DESC, word LIMIT 40"""
 
 
-def words_over_clusters(docs, clusters, excluded, prefix):
+def words_by_cluster(spark, sf, k, corpus_excluded, excluded, prefix):
+    """Word counts of each cluster of stemmed texts; the counted words are those of the texts as they are."""
+    clusters = U.topic_clusters(stemmed_english(spark, sf, corpus_excluded), "doc_id", "clean_text", k)
+    return W.word_counts(english(spark, sf).join(clusters, "doc_id"), "text", ["cluster"], excluded, prefix=prefix)
+
+
+def words_by_seven(spark, sf):
+    """Seven clusters with the short word list of that analysis, which keeps masked names."""
+    return words_by_cluster(spark, sf, 7, T.TOPIC_EXCLUDED, T.TOPIC_EXCLUDED, None)
+
+
+def words_by_five(spark, sf):
+    return words_by_cluster(spark, sf, 5, T.CORPUS_EXCLUDED, T.CLUSTER_EXCLUDED, T.MASKED_NAME_PREFIX)
+
+
+def words_over_clusters(counts):
     """Word counts per cluster, added up again: each document is in one cluster, so they are the counts of the corpus."""
-    counts = W.word_counts(docs.join(clusters, "doc_id"), "text", ["cluster"], excluded, prefix=prefix)
     return W.top_words(counts.groupBy("word").agg(F.sum("frequency").alias("frequency")), 40)
 
 
 @query("top_words_by_cluster", cluster_words_sql(T.TOPIC_EXCLUDED, False))
 def top_words_by_cluster(spark, sf):
-    """Seven clusters with the short word list of that analysis, which keeps masked names."""
-    docs = english(spark, sf)
-    return words_over_clusters(docs, U.topic_clusters(docs, "doc_id", "clean_text", 7), T.TOPIC_EXCLUDED, None)
+    return words_over_clusters(words_by_seven(spark, sf))
 
 
 @query("top_words_by_five_clusters", cluster_words_sql(T.CLUSTER_EXCLUDED, True))
 def top_words_by_five_clusters(spark, sf):
-    docs = english(spark, sf)
-    return words_over_clusters(docs, U.topic_clusters(docs, "doc_id", "clean_text", 5), T.CLUSTER_EXCLUDED,
-                               T.MASKED_NAME_PREFIX)
+    return words_over_clusters(words_by_five(spark, sf))
+
+
+# No SQL states the clusters; tests compare the words of each cluster with plain counts.
+
+@query("words_of_each_cluster")
+def words_of_each_cluster(spark, sf):
+    """The most frequent words of each of the seven clusters."""
+    return W.top_words(words_by_seven(spark, sf), 10, ["cluster"]).select("cluster", "word", "frequency")
+
+
+@query("words_of_each_of_five_clusters")
+def words_of_each_of_five_clusters(spark, sf):
+    return W.top_words(words_by_five(spark, sf), 20, ["cluster"]).select("cluster", "word", "frequency")
 
 
 @query("topic_flow", f"SELECT {PROJECTION}, 5 AS clusters FROM documents WHERE lang = 'en'")
 def topic_flow(spark, sf):
     """Stemmed texts, TF-IDF, five clusters and the projection of the topic vectors on two components."""
-    docs = X.documents(spark, sf).where("lang = 'en'").select("doc_id", "text")
-    stemmed = W.clean_stemmed_column(docs, "doc_id", "text", T.CORPUS_EXCLUDED)
-    vectors = U.topic_vectors(stemmed, "doc_id", "clean_text", 500)
+    vectors = U.topic_vectors(stemmed_english(spark, sf), "doc_id", "clean_text", 500)
     placed = U.pca_2d(U.kmeans_clusters(vectors, 5)).select("doc_id", "cluster", "pc1", "pc2")
     return projection_facts(placed, F.countDistinct("cluster").cast("int").alias("clusters"))
