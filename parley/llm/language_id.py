@@ -41,6 +41,10 @@ MIN_DOCUMENTS = 3
 #: ... and its share of documents is at least this part of the largest share in any language.
 MIN_SHARE = 0.25
 UNKNOWN = "und"
+#: One part in so many of the labelled rows is left out of a fit that measures coverage.
+PARTS = 4
+#: A floor lies this far below the least coverage measured.
+FLOOR = 0.95
 
 
 @dataclass
@@ -225,3 +229,23 @@ def identified(docs: DataFrame, filters: Filters, text: str = "text") -> DataFra
     others, struct = columns_but(docs, ["lang_pred", "score", "coverage"]), free_name(docs, "language_found")
     found = docs.select(*others, predictor(docs, filters)(F.col(text)).alias(struct))
     return found.select(*others, f"{struct}.*")
+
+
+def coverage_floors(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
+                    per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, float]:
+    """Per language, a floor just below the coverage of its labelled rows that are left out of a fit on the others.
+
+    A language has none if no row of it is left out or none of those is recognised.
+    """
+    labelled = docs.filter(F.col(label).isNotNull()).select(label, text, key)
+    left_out = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(PARTS)) == 0
+    filters = learned(labelled.filter(~left_out), label, text, key, per_language)
+    if not filters.names:
+        return {}
+    wanted = F.create_map(*[F.lit(x) for name, n in zip(filters.names, filters.rows.tolist())
+                            for x in (name, min(1.0, per_language * (PARTS - 1) / n))])
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.filter(left_out).filter(draw < wanted[F.col(label)])
+    found = identified(rows, filters, text).filter((F.col("lang_pred") == F.col(label)) & (F.col("coverage") > 0))
+    least = found.groupBy("lang_pred").agg(F.min("coverage").alias("least")).collect()
+    return {r["lang_pred"]: FLOOR * r["least"] for r in least}

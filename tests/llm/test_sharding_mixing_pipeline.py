@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parley.llm import mixing, near_dedup, quality, sharding
@@ -144,3 +145,17 @@ def test_pipeline_edge_cases(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
         assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() == 3
+
+
+@pytest.mark.parametrize("unlearned", ["de"])
+def test_languages_without_labels_go_and_clean_documents_stay(spark, unlearned):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null")
+    cleaned = corpus_pipeline.quality_rules(spark, docs, sf).cache()
+    true = {r.doc_id: r.lang for r in cleaned.select("doc_id", "lang").collect()}
+    # a tenth of the other documents has no label either
+    hidden = cleaned.withColumn("lang", F.when((F.col("lang") != unlearned) & (F.col("doc_id") % 10 != 0), F.col("lang")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, hidden, sf).select("doc_id", "lang").collect()}
+    assert [k for k in got if true[k] == unlearned] == []
+    assert sorted(got) == sorted(k for k in true if true[k] != unlearned)
+    assert all(got[k] == true[k] for k in got)
