@@ -267,9 +267,18 @@ def words_of_each_of_five_clusters(spark, sf):
     return W.top_words(words_by_five(spark, sf), 20, ["cluster"]).select("cluster", "word", "frequency")
 
 
+def topic_projection(spark, sf, k, excluded):
+    """Stemmed texts, TF-IDF, k clusters and the projection of the topic vectors on two components."""
+    vectors = U.topic_vectors(stemmed_english(spark, sf, excluded), "doc_id", "clean_text")
+    placed = U.pca_2d(U.kmeans_clusters(vectors, k)).select("doc_id", "cluster", "pc1", "pc2")
+    return projection_facts(placed, F.countDistinct("cluster").cast("int").alias("clusters"))
+
+
 @query("topic_flow", f"SELECT {PROJECTION}, 5 AS clusters FROM documents WHERE lang = 'en'")
 def topic_flow(spark, sf):
-    """Stemmed texts, TF-IDF, five clusters and the projection of the topic vectors on two components."""
-    vectors = U.topic_vectors(stemmed_english(spark, sf), "doc_id", "clean_text", 500)
-    placed = U.pca_2d(U.kmeans_clusters(vectors, 5)).select("doc_id", "cluster", "pc1", "pc2")
-    return projection_facts(placed, F.countDistinct("cluster").cast("int").alias("clusters"))
+    return topic_projection(spark, sf, 5, T.CORPUS_EXCLUDED)
+
+
+@query("topic_flow_of_seven", f"SELECT {PROJECTION}, 7 AS clusters FROM documents WHERE lang = 'en'")
+def topic_flow_of_seven(spark, sf):
+    return topic_projection(spark, sf, 7, T.TOPIC_EXCLUDED)

@@ -39,3 +39,15 @@ def test_clusters_are_of_stemmed_texts(spark, monkeypatch):
     want = dict(L.stemmed_english(spark, SF).collect())
     assert dict(seen[0].collect()) == want and dict(seen[2].collect()) == want
     assert dict(seen[1].collect()) == dict(L.stemmed_english(spark, SF, T.TOPIC_EXCLUDED).collect())
+
+
+@pytest.mark.parametrize("k,excluded", [(5, T.CORPUS_EXCLUDED), (7, T.TOPIC_EXCLUDED)])
+def test_topic_flow_uses_every_term_up_to_the_reference_limit(spark, monkeypatch, k, excluded):
+    name = {5: "topic_flow", 7: "topic_flow_of_seven"}[k]
+    seen = []
+    rows = spark.createDataFrame([(i, f"a{i} " + " ".join(f"term{j}x" for j in range(i * 7, i * 7 + 8))) for i in range(120)],
+                                 "doc_id long, clean_text string")
+    monkeypatch.setattr(L, "stemmed_english", lambda spark, sf, words: seen.append(words) or rows)
+    monkeypatch.setattr(U, "pca_2d", lambda df: seen.append(df.first().features.size) or df.selectExpr("*", "doc_id + 0D pc1", "pow(doc_id, 2) pc2"))
+    out = QUERIES[name](spark, SF).first()
+    assert seen == [excluded, 841 + 120] and out.rows == 120 and out.clusters == k
