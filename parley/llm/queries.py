@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat, language_id, mixing, near_dedup, quality, sharding, toxicity, vector_dedup, warc
+from parley.llm import (
+    bpe, chat, cross_polytope, language_id, mixing, near_dedup, quality, sharding, toxicity, vector_dedup, warc,
+)
 from parley.llm.exprs import crc_remainder
 from parley.session import fresh_path, materialize
 
@@ -98,3 +100,9 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return mixing.mixed(docs, docs, "lang", mixing.TARGETS)
+
+
+@query("op11_nearest_neighbours")
+def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return cross_polytope.nearest(rows, rows.filter("vec_id % 20 = 0"))
