@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    bpe, chat, cross_polytope, language_id, mixing, near_dedup, quality, sharding, toxicity, vector_dedup, warc,
+    bpe, chat, collocations, cross_polytope, language_id, mixing, near_dedup, quality, sharding, spelling, toxicity,
+    vector_dedup, warc,
 )
 from parley.llm.exprs import crc_remainder
 from parley.session import fresh_path, materialize
@@ -106,3 +107,13 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op11_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return cross_polytope.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@query("op13_collocations", collocations.ORACLE)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+@query("op12_spelling_variants", spelling.ORACLE)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
