@@ -5,21 +5,20 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
+from parley.operators.projection import principal_components, projected
 from parley.operators.words import vocabulary
 from parley.session import materialize
 
 
 #: Bound on the iterations of a fit, far beyond what convergence takes.
 MAX_ITERATIONS = 1000
-#: Features of a projection; their covariance takes 8 bytes each squared on the driver.
-MAX_PCA_FEATURES = 6000
 
 
 def array_vectors(df: DataFrame, column: str, target: str = "features") -> DataFrame:
@@ -67,18 +66,8 @@ def kmeans_cost(df: DataFrame, k: int, seed: int = 42, features: str = "features
 
 
 def pca_2d(df: DataFrame, features: str = "features") -> DataFrame:
-    """Add ``pc1`` and ``pc2`` of the centred features.
-
-    The covariance is d x d on the driver, so more than MAX_PCA_FEATURES features are refused.
-    """
-    first = df.select(features).first()
-    if first is not None and first[0].size > MAX_PCA_FEATURES:
-        raise ValueError(f"{first[0].size} features; at most {MAX_PCA_FEATURES} fit the driver")
-    centred = StandardScaler(withMean=True, withStd=False, inputCol=features, outputCol="_centred")
-    shifted = centred.fit(df).transform(df)
-    projected = PCA(k=2, inputCol="_centred", outputCol="_pc").fit(shifted).transform(shifted)
-    pc = vector_to_array("_pc")
-    return projected.withColumn("pc1", pc[0]).withColumn("pc2", pc[1]).drop("_centred", "_pc")
+    """Add ``pc1`` and ``pc2`` of the centred features, which may be sparse and of any width."""
+    return projected(df, principal_components(df, 2, features), features)
 
 
 def topic_clusters(df: DataFrame, key: str, text: str, k: int, max_features: int = 5000, seed: int = 42) -> DataFrame:

@@ -70,7 +70,7 @@ def detect_language(
     ks = range(len(profile.languages))
     table = profile.weights.select(
         F.col("gram").alias("item"), "n", F.array(*[F.col(f"w{i}") for i in ks]).alias("w"))
-    summed = with_weight_sums(df, X.char_trigrams(letters(F.col(text))), table, key, len(profile.languages))
+    summed = with_weight_sums(df, text, lambda c: X.char_trigrams(letters(c)), table, key, len(profile.languages))
     scores = F.transform("_sums", lambda x: F.bround(x, SCORE_DIGITS))
     names = F.array(*map(F.lit, profile.languages))
     best = F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))

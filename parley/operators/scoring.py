@@ -99,7 +99,7 @@ class NaiveBayesScorer:
         ks = range(len(self.labels))
         table = self.weights.select(
             F.col("word").alias("item"), "n", F.array(*[F.col(f"{p}{i}") for p in "ec" for i in ks]).alias("w"))
-        summed = with_weight_sums(df, X.words(F.col(text)), table, key, 2 * len(self.labels))
+        summed = with_weight_sums(df, text, X.words, table, key, 2 * len(self.labels))
         sums, size = F.col("_sums"), len(self.labels)
         return summed.select(
             *df.columns,

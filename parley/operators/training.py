@@ -11,23 +11,17 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions import text as X
+from parley.operators.pairs import pair_items
 from parley.schemas import TRAINING_LOG
 
 
 #: A fit ends when an iteration changes its loss by less than this share; the iterations allowed are far beyond that.
-TOLERANCE = 1e-3
+TOLERANCE = 1e-6
 
 
 def pair_features(df: DataFrame, premise: str, hypothesis: str, size: int = 1 << 12) -> DataFrame:
     """Hashed counts of premise words, hypothesis words and words found in both, as ``features``."""
-    left, right = X.words(F.col(premise)), X.words(F.col(hypothesis))
-    marked = F.concat(
-        left,
-        F.transform(right, lambda w: F.concat(F.lit("h "), w)),
-        F.transform(F.array_intersect(left, right), lambda w: F.concat(F.lit("b "), w)),
-    )
-    rows = df.withColumn("_words", marked)
+    rows = df.withColumn("_words", pair_items(F.col(premise), F.col(hypothesis)))
     return HashingTF(numFeatures=size, inputCol="_words", outputCol="features").transform(rows).drop("_words")
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions import text as T
 from parley.functions.arrays import round_doubles
 from parley.operators import classify as K
 from parley.operators import curation as Q
 from parley.operators import metrics as M
+from parley.operators import nli as N
+from parley.operators.pairs import PairScorer, fit_pair_bayes
 from parley.operators.scoring import HypothesisOverlapScorer, ModelScorer, fit_naive_bayes
 from parley.plans import fixtures as X
 from parley.plans import oracle_parts as P
+from parley.plans.curation_queries import contradictions
 from parley.plans.registry import query
 from parley.schemas import LABEL_NAMES
 
@@ -319,6 +323,37 @@ def evaluation_tuned(spark, sf):
     return round_metrics(M.metrics_bundle(M.prediction_counts(predicted, "category", "predicted_class")))
 
 
+def pair_eval_sql() -> str:
+    head, tail = T.PLAIN_TEMPLATE.split("{}")
+    return f"""{EVAL_TOP},
+pairs AS (WITH {contradictions(2)} SELECT rows.text, rows.hypothesis, rows.labels FROM rows JOIN nli ON nli.seq = rows.seq
+  WHERE nli.split = 'train'),
+words AS (SELECT labels, {P.words('text')} AS l, {P.words('hypothesis')} AS r FROM pairs),
+items AS (SELECT labels, unnest(l || list_transform(r, lambda w: 'h ' || w)
+  || list_transform(list_intersect(l, r), lambda w: 'b ' || w)) AS item FROM words),
+counts AS (SELECT item, count(*) FILTER (WHERE labels = 2) AS n0, count(*) FILTER (WHERE labels = 0) AS n1 FROM items GROUP BY item),
+weights AS (SELECT item, ln((n0 + 1) / (sum(n0) OVER () + count(*) OVER ())) AS e FROM counts),
+asked AS (SELECT seq, t.pos, t.label, {P.words('text')} AS l, {P.words(f"'{head}' || t.label || '{tail}'")} AS r FROM test, toplab t),
+asked_items AS (SELECT seq, pos, label, unnest(l || list_transform(r, lambda w: 'h ' || w)
+  || list_transform(list_intersect(l, r), lambda w: 'b ' || w)) AS item FROM asked),
+sums AS (SELECT a.seq, a.pos, a.label, sum(w.e) AS e FROM asked_items a LEFT JOIN weights w ON w.item = a.item GROUP BY ALL),
+best AS (SELECT seq, label FROM sums QUALIFY row_number() OVER (
+  PARTITION BY seq ORDER BY round_even(coalesce(e, 0) + (SELECT ln((count(*) FILTER (WHERE labels = 2) + 1) / (count(*) + 2))
+    FROM pairs), 6) DESC, pos) = 1),
+pred AS (SELECT test.category AS true_class, best.label AS predicted_class FROM test JOIN best ON best.seq = test.seq)"""
+
+
+@query("evaluation_pair_model", f"WITH {pair_eval_sql()}, {P.class_table()} {P.BUNDLE}")
+def evaluation_pair_model(spark, sf):
+    """A model of premise and hypothesis pairs, fitted on entailments and contradictions, ranks the labels of test texts."""
+    rows, labels = evaluation_rows(spark, sf)
+    train = Q.entailments(X.nli(spark, sf)).where("split = 'train'")
+    made = N.contradiction_rows(train, "seq", LABELS, 2)
+    scorer = PairScorer(labels, fit_pair_bayes(made, "text", "hypothesis"))
+    predicted = K.predict(rows, scorer, "text", "seq")
+    return round_metrics(M.metrics_bundle(M.prediction_counts(predicted, "category", "predicted_class")))
+
+
 @query(
     "evaluation_details",
     f"""WITH {EVAL_TOP}, {TUNED_PRED} SELECT test.seq, test.category, tuned.label AS predicted_class,

@@ -93,7 +93,7 @@ def test_rare_words_count_like_frequent_ones(spark, monkeypatch, frequent):
                                     "item string, n bigint, w array<double>")
     rows = spark.createDataFrame([(1, "a b a"), (2, "c c z"), (3, ""), (4, None), (5, "a c " + "x" * 99), (5, "a c " + "x" * 99)],
                                  "id int, text string")
-    out = lookup.with_weight_sums(rows, F.split("text", " "), weights, "id", 2).collect()
+    out = lookup.with_weight_sums(rows, "text", lambda c: F.split(c, " "), weights, "id", 2).collect()
     assert sorted((r["id"], r["_sums"], r["_known"]) for r in out) == [
         (1, [2.5, 4.0], 3), (2, [8.0, 16.0], 2), (3, [0.0, 0.0], 0), (4, [0.0, 0.0], 0),
         (5, [6.0, 11.0], 3), (5, [6.0, 11.0], 3)]
