@@ -68,18 +68,21 @@ def parquet_round_trip(spark, sf):
     return tables.restore(spark, path).select("vec_id", "label", F.size("embedding").alias("size"))
 
 
-@query(
-    "sample_of_one_file",
-    "SELECT conv_id, role FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations) ORDER BY md5('3:' || conv_id || '/' || turn) LIMIT 30",
-)
+@query("sample_of_one_file", "SELECT 4 AS files, least(30, count(*)) AS rows, 1 AS drawn_from, 0 AS unknown FROM conversations")
 def sample_of_one_file(spark, sf):
-    keyed = X.table(spark, sf, "conversations").withColumn(
-        "k", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-    )
-    # written as one file, so that the drawn file holds the rows that SQL knows; tests draw from several
-    path = fresh_path(spark, "one-file")
-    keyed.coalesce(1).write.parquet(path)
-    return tables.sample_one_file(spark, path, 30, "k", seed=3).select("conv_id", "role")
+    """Rows drawn from one of several files: as many as asked for, all of one file, all of the table."""
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    keyed = X.table(spark, sf, "conversations").select("conv_id", "turn", "role", key.alias("k"))
+    path = fresh_path(spark, "some-files")
+    # the turns of a conversation are spread, so that each file has enough rows whatever the key
+    keyed.repartition(4, "k").withColumn("file", F.spark_partition_id()).write.parquet(path)
+    drawn = tables.sample_one_file(spark, path, 30, "k", seed=3)
+    known = keyed.select("k", F.lit(1).alias("known")).distinct()
+    facts = drawn.join(known, "k", "left").agg(
+        F.count("*").alias("rows"), F.countDistinct("file").cast("int").alias("drawn_from"),
+        F.count_if(F.col("known").isNull()).cast("int").alias("unknown"))
+    files = tables.file_sizes(spark, path).agg(F.count("*").cast("int").alias("files"))
+    return files.join(F.broadcast(facts))
 
 
 @query(
@@ -96,6 +99,30 @@ def splits_appended(spark, sf):
     return tables.restore(spark, path).groupBy("split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
+VERSIONED = f"""WITH {X.NLI}, lowered AS (SELECT seq, 'train' AS split FROM nli WHERE split = 'train' AND label = 2),
+history AS (
+  SELECT 1 AS version, split, seq FROM lowered UNION ALL SELECT 1, split, seq FROM nli WHERE split = 'test'
+  UNION ALL SELECT 2, split, seq FROM lowered UNION ALL SELECT 2, 'test', seq FROM nli WHERE split = 'test' AND label <> 1
+  UNION ALL SELECT 3, split, seq FROM lowered UNION ALL SELECT 3, 'test', seq FROM nli WHERE split = 'test' AND label <> 1
+  UNION ALL SELECT 3, 'train', seq FROM nli WHERE label = 1)
+SELECT version, split, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM history GROUP BY version, split"""
+
+
+@query("versions_restored", VERSIONED)
+def versions_restored(spark, sf):
+    """A split published, the other published, rows appended; every version is restored."""
+    path = fresh_path(spark, "versions")
+    data = dataset(spark, sf)
+    data.write.parquet(path)
+    tables.publish_split(Q.entailments(data).where("split = 'train'"), path, "train")
+    tables.publish_split(data.where("split = 'test' AND label <> 1"), path, "test")
+    tables.append_and_publish(spark, path, data.where("label = 1").drop("split"), "train")
+    restored = [tables.restore(spark, path, v).select(F.lit(v).alias("version"), "split", "seq")
+                for v in tables.versions(spark, path)]
+    rows = restored[0].unionByName(restored[1]).unionByName(restored[2])
+    return rows.groupBy("version", "split").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
 @query("documents_of_one_file", "SELECT doc_id, lang FROM documents ORDER BY md5('11:' || doc_id) LIMIT 40")
 def documents_of_one_file(spark, sf):
     return tables.sample_one_file(spark, f"{sf}/documents.parquet", 40, "doc_id", seed=11).select("doc_id", "lang")

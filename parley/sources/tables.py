@@ -1,24 +1,20 @@
-"""Tables at rest: reading, inspecting, snapshots and publishing of splits."""
+"""Tables at rest: reading, inspecting, snapshots, CSV; publishing of splits is in ``published``."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.curation import append_to_split
 from parley.operators.ordering import sample_n
+from parley.sources.published import append_and_publish, publish_split, restore, versions  # noqa: F401
 
 #: Inputs up to this size are spread over the cores; larger ones have enough row groups to fill them.
 SMALL_INPUT_BYTES = 256 << 20
 
 
-#: Folder names of the versions of a published dataset.
-VERSION = "v-"
 CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 #: A missing text is written as nothing, an empty one as two quotes; read back, a missing one first becomes the mark.
 CSV_WRITTEN = {"emptyValue": '""', "nullValue": ""}
@@ -42,7 +38,7 @@ def is_small(df: DataFrame, path: str) -> bool:
     spark = df.sparkSession
     if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
         return False
-    return sum(r["bytes"] for r in file_sizes(spark, path).collect()) <= SMALL_INPUT_BYTES
+    return file_sizes(spark, path).agg(F.sum("bytes")).first()[0] <= SMALL_INPUT_BYTES
 
 
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
@@ -63,8 +59,8 @@ def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType
 
 def sample_one_file(spark: SparkSession, path: str, n: int, key: str, seed: int = 42, strict: bool = True) -> DataFrame:
     """``n`` random rows of one randomly chosen file; the other files are not read."""
-    files = sorted(r["path"] for r in file_sizes(spark, path).select("path").collect())
-    chosen = random.Random(seed).choice(files)
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.element_at(F.split("path", "/"), -1)))
+    chosen = file_sizes(spark, path).orderBy(draw, "path").select("path").first()["path"]
     return sample_n(spark.read.parquet(chosen), n, key, seed, strict)
 
 
@@ -80,46 +76,6 @@ def snapshot(dataset: DataFrame, base: str, name: str = "nli", day: date | None
     return path
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions of a published dataset."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, VERSION + "*/_SUCCESS"))
-    return sorted(int(f.getPath().getParent().getName().removeprefix(VERSION)) for f in found or [])
-
-
-def restore(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a dataset, or the folder itself where nothing was published."""
-    numbers = versions(spark, path)
-    return spark.read.parquet(f"{path.rstrip('/')}/{VERSION}{numbers[-1]:06}" if numbers else path)
-
-
-def publish_split(rows: DataFrame, path: str, split: str) -> str:
-    """Replace one split of a published dataset and keep the others; an empty table empties it. Returns the new folder.
-
-    The whole dataset is written as a new version, so the rows may come from the one before, readers never see
-    half a dataset, and a failed write leaves no complete version.
-    """
-    spark = rows.sparkSession
-    numbers = versions(spark, path)
-    before = restore(spark, path)
-    new = before.where(F.col("split") != split).unionByName(
-        rows.drop("split").withColumn("split", F.lit(split)), allowMissingColumns=True
-    )
-    target = f"{path.rstrip('/')}/{VERSION}{(numbers[-1] if numbers else 0) + 1:06}"
-    # the split is written as a plain column, so that a dataset without rows keeps its schema
-    new.write.parquet(target)
-    return target
-
-
-def append_and_publish(
-    spark: SparkSession, path: str, new_rows: DataFrame, split: str, splits: Sequence[str] = ("train", "test")
-) -> str:
-    """Load a published dataset, check the labels of new records, append them to a split and publish it."""
-    grown = append_to_split(restore(spark, path), new_rows, split, splits)
-    return publish_split(grown.where(F.col("split") == split), path, split)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; nested columns are written as JSON text. Blanks around texts and empty texts are kept."""
     nested = (T.ArrayType, T.MapType, T.StructType)

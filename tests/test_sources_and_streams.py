@@ -7,7 +7,7 @@ from parley.operators import clusters as U
 from parley.operators import conversations as C
 from parley.schemas import MESSAGES
 from parley.session import fresh_path
-from parley.sources import lists, tables
+from parley.sources import lists, published, tables
 from parley.streaming import streams as S
 
 
@@ -50,6 +50,68 @@ def test_append_and_publish_checks_labels(spark, dataset):
     assert tables.restore(spark, path).count() == 21
 
 
+def files_below(spark, path):
+    return {r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()}
+
+
+def test_publishing_writes_only_its_split_and_old_versions_stay(spark, dataset):
+    path = fresh_path(spark, "published")
+    dataset.write.partitionBy("split").parquet(path)
+    plain = files_below(spark, path)
+    published.publish_split(dataset.where("split = 'test'").limit(3), path, "test")
+    first = files_below(spark, f"{path}/_published/data")
+    published.publish_split(dataset.where("split = 'train'").limit(4).withColumn("more", F.lit(1)), path, "train")
+    published.append_rows(dataset.limit(2), path, "test")
+    assert plain == files_below(spark, path) and first < files_below(spark, f"{path}/_published/data")
+    sizes = [dict(published.restore(spark, path, v).groupBy("split").count().collect()) for v in published.versions(spark, path)]
+    assert sizes == [{"test": 3, "train": 15}, {"test": 3, "train": 4}, {"test": 5, "train": 4}]
+    assert published.restore(spark, path).where("more = 1").count() == 4
+    assert spark.read.parquet(path).count() == 20
+
+
+def test_of_two_writers_of_a_split_one_gets_a_conflict(spark, dataset):
+    path = fresh_path(spark, "raced")
+    dataset.write.parquet(path)
+    base = published.publish_split(dataset.where("split = 'test'"), path, "test")
+    published.publish_split(dataset.limit(1), path, "test", base)
+    with pytest.raises(published.Conflict, match="changed in version 2, after version 1"):
+        published.publish_split(dataset.limit(2), path, "test", base)
+    # another split and appended rows do not conflict
+    assert published.publish_split(dataset.limit(3), path, "train", base) == 3
+    assert published.append_rows(dataset.limit(2), path, "test") == 4
+    assert dict(published.restore(spark, path).groupBy("split").count().collect()) == {"test": 3, "train": 3}
+
+
+def test_a_writer_that_loses_the_race_for_a_number_tries_the_next(spark, dataset, monkeypatch):
+    path = fresh_path(spark, "raced")
+    dataset.write.parquet(path)
+    real, raced = published._put, []
+
+    def slow(spark, path, content):
+        if not raced:  # another writer commits between the read of the manifest and its replacement
+            raced.append(content["version"])
+            published.append_rows(dataset.limit(1), path, "train")
+        return real(spark, path, content)
+
+    monkeypatch.setattr(published, "_put", slow)
+    assert published.publish_split(dataset.limit(2), path, "test") == 2 and raced == [1]
+    assert dict(published.restore(spark, path).groupBy("split").count().collect()) == {"test": 2, "train": 16}
+    assert not real(spark, path, {**published.manifest(spark, path), "version": 1})
+
+
+def test_publishing_without_a_plain_dataset(spark, dataset):
+    path = fresh_path(spark, "new")
+    published.publish_split(dataset.where("split = 'test'"), path, "test")
+    assert dict(published.restore(spark, path).groupBy("split").count().collect()) == {"test": 5}
+
+
+def test_one_of_several_files_is_drawn(spark, dataset):
+    path = fresh_path(spark, "files")
+    dataset.repartition(4).withColumn("file", F.spark_partition_id()).write.parquet(path)
+    drawn = [{r["file"] for r in tables.sample_one_file(spark, path, 2, "seq", seed).collect()} for seed in range(6)]
+    assert all(len(d) == 1 for d in drawn) and len(set().union(*drawn)) > 1
+
+
 def test_split_read_is_pruned(spark, dataset):
     path = tables.snapshot(dataset, fresh_path(spark, "base"))
     plan = tables.read_split(spark, path, "test")._jdf.queryExecution().executedPlan().toString()
