@@ -23,8 +23,10 @@ from __future__ import annotations
 import math
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from parley.llm.exprs import ascii_lower
 from parley.session import materialize
@@ -87,6 +89,24 @@ def _neighbourhood(word: Column, symbols: int) -> Column:
     return F.concat(F.array(word), deleted, *larger)
 
 
+@F.arrow_udf(BooleanType())
+def one_edit_apart(words: pa.Array, others: pa.Array) -> pa.Array:
+    """Whether two words differ by one edit, in time that grows with their length (an edit distance's grows faster)."""
+
+    def apart(a: str, b: str) -> bool:
+        if len(a) > len(b):
+            a, b = b, a
+        if a == b or len(b) - len(a) > 1:
+            return False
+        same, differs = 0, len(a) + 1  # the common beginning is at least ``same`` long and shorter than ``differs``
+        while differs - same > 1:
+            middle = (same + differs) // 2
+            same, differs = (middle, differs) if a[same:middle] == b[same:middle] else (same, middle)
+        return a[same + (len(a) == len(b)):] == b[same + 1:]
+
+    return pa.array([apart(a, b) for a, b in zip(words.to_pylist(), others.to_pylist())], pa.bool_())
+
+
 def _short_pairs(words: DataFrame, symbols: int) -> DataFrame:
     """Pairs of near words of up to LONG code points, each once."""
     words = words.filter(F.length("word") <= LONG).withColumn("code", reduced(F.col("word"), symbols))
@@ -115,7 +135,7 @@ def _long_pairs(words: DataFrame) -> DataFrame:
     met = asking.join(known, ["of", "first", "part"]).filter((F.col("size") > F.col("of")) | (F.col("word") < F.col("other")))
     half = F.floor(F.col("of") / 2).cast("int")
     both = F.substr("word", F.lit(1), half) == F.substr("other", F.lit(1), half)
-    near = met.filter((F.col("first") | ~both) & (F.levenshtein("word", "other", 1) == 1))
+    near = met.filter((F.col("first") | ~both) & one_edit_apart("word", "other"))
     return near.select("word", "n", "other", "other_n")
 
 

@@ -20,10 +20,16 @@ COLUMNS = {
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                            "kept"],
 }
+#: Queries with rows of their own.
+OTHERS = {
+    "op11_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
+    "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+}
 SOURCES = {"op4_warc": "pages", "op7_vector_dedup": "embeddings", "op9_chat": "conversations"}
 
 
-@pytest.mark.parametrize("name", [n for n in COLUMNS if n in ORACLES])
+@pytest.mark.parametrize("name", [n for n in [*COLUMNS, *OTHERS] if n in ORACLES])
 def test_query_equals_oracle(spark, name):
     ok, note = compare(spark, connect(SF), SF, name, QUERIES[name], ORACLES[name])
     assert ok, note
@@ -38,6 +44,11 @@ def test_one_row_for_each_of_the_table(spark, name):
     assert got.count() == want
 
 
+@pytest.mark.parametrize("name", OTHERS)
+def test_columns_of_other_rows(spark, name):
+    assert QUERIES[name](spark, SF).columns == OTHERS[name]
+
+
 def test_quality_runs_no_python(spark):
     plan = QUERIES["op10_quality_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
