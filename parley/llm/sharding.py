@@ -74,37 +74,41 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     return shards
 
 
+def _placed(docs: DataFrame, key: str, text: str, bytes_: str, bits: str) -> DataFrame:
+    """The documents with the bytes of their text and the bits that place them."""
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
+    return docs.withColumns({bytes_: size, bits: F.concat(hash_bits(F.col(f"`{key}`")), row_bits())})
+
+
 def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """Narrow table of a row's key, bytes, shard_id, shard_bytes, shard_rows and oversized."""
-    rows = materialize(docs.select(
-        F.col(key).alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
-        F.concat(hash_bits(F.col(key)), row_bits()).alias("bits")), "shard-rows")
-    return _with_shard(rows, directory(rows, limit))
-
-
-def _with_shard(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """Join every row with the one shard whose id begins its bits: the join is on the id, per length that occurs."""
-    shards = materialize(shards.withColumn("length", F.length("shard_id")), "shards")
-    lengths = [r["length"] for r in shards.select("length").distinct().collect()]  # at most KEY_BITS + ROW_BITS + 1
-    if not lengths:
-        return rows.select(rows.columns[0], "bytes", F.lit("").alias("shard_id"), F.lit(0).cast("long").alias(
-            "shard_bytes"), F.lit(0).cast("long").alias("shard_rows"), F.lit(False).alias("oversized")).limit(0)
-    # shards are prefix-free, so of a row's prefixes exactly one is a shard
-    prefixes = F.array(*[F.left(F.col("bits"), F.lit(n)) for n in sorted(lengths)])
-    return (rows.select(rows.columns[0], "bytes", F.explode(prefixes).alias("shard_id"))
-            .join(shards.drop("length"), "shard_id")
-            .select(rows.columns[0], "bytes", "shard_id", "shard_bytes", "shard_rows", "oversized"))
+    narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = materialize(_placed(narrow, "key", "text", "bytes", "bits").drop("text"), "shard-rows")
+    found = _with_shard(rows, directory(rows, limit), "bits")
+    return found.select(F.col("key").alias(key), "bytes", "shard_id", "shard_bytes", "shard_rows", "oversized")
+
+
+def _with_shard(rows: DataFrame, shards: DataFrame, bits: str) -> DataFrame:
+    """Rows with the columns of the one shard whose id begins their bits; the shards are prefix-free."""
+    shards = materialize(shards, "shards")
+    lengths = sorted(r["n"] for r in shards.select(F.length("shard_id").alias("n")).distinct().collect())
+    # the lengths are at most KEY_BITS + ROW_BITS + 1 numbers, each a plain join on a prefix
+    prefixes = F.array(*[F.left(F.col(bits), F.lit(n)) for n in lengths]).cast("array<string>")
+    return rows.withColumn("shard_id", F.explode(prefixes)).join(shards, "shard_id")
 
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT_BYTES) -> None:
     """Write the documents partitioned by shard_id.
 
-    Keys must be unique here: a row finds its shard by its key.
+    The bits that place a row are written with it, so rows with equal or null keys go to their own shards.
     """
-    own = free_name(docs, "shard_key")
-    shards = assigned(docs, key, text, limit).select(F.col(key).alias(own), "shard_id")
     others = docs.select(*columns_but(docs, ["shard_id"]))
-    placed = others.join(shards, F.col(key).eqNullSafe(F.col(own))).drop(own)
+    size, bits = free_name(others, "shard_row_bytes"), free_name(others, "shard_row_bits")
+    rows = materialize(_placed(others, key, text, size, bits), "shard-rows")
+    found = directory(rows.select(F.col(f"`{size}`").alias("bytes"), F.col(f"`{bits}`").alias("bits")), limit)
+    found = found.select("shard_id")
+    # a prefix is looked up in a column of its own, and joined with the whole row once it is the right one
+    placed = _with_shard(rows, found, bits).select(*columns_but(others, []), "shard_id")
     placed.repartition("shard_id").write.partitionBy("shard_id").parquet(folder)
 
 

@@ -66,6 +66,22 @@ def test_shard_edge_cases(spark, tmp_path):
     assert back.count() == 4 and sorted(back.columns) == sorted(docs.columns)
 
 
+def test_written_rows_with_repeated_and_null_keys_stay_as_they_are(spark, tmp_path):
+    rows = [(7, "a" * 40), (7, "b" * 40), (None, "c" * 90), (None, "d"), (None, None), (8, "e")] + [(9, "f" * 50)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = str(tmp_path / "repeated")
+    sharding.write_shards(docs, out, limit=100)
+    back = spark.read.option("basePath", out).schema("doc_id long, text string, shard_id string").parquet(out)
+    assert sorted(map(repr, back.select("doc_id", "text").collect())) == sorted(map(repr, docs.collect()))
+    sizes = defaultdict(int)
+    for r in back.collect():
+        sizes[r.shard_id] += len(r.text or "")
+    assert max(sizes.values()) <= 100 and len(sizes) > 20
+    empty = str(tmp_path / "empty")
+    sharding.write_shards(docs.limit(0), empty)
+    assert spark.read.schema(docs.schema).parquet(empty).count() == 0
+
+
 def tongues(rng, lang, n):
     stems = {"aa": ["tra", "lo", "min", "que"], "bb": ["sch", "wer", "ung", "ach"], "cc": ["ki", "nu", "poa", "wai"]}[lang]
     return " ".join("".join(rng.choices(stems, k=2)) for _ in range(n))
