@@ -428,10 +428,14 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return docs.withColumn(ids, encoder(vocabulary(docs.sparkSession, path))(F.col(text)))
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its key, n_tokens, digest of the ids and digest of the bytes decoded from them."""
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Per document: its key, n_tokens, digest of the ids and digest of the bytes decoded from them.
+
+    With ``keep_ids`` also ``ids``, the ids themselves as little-endian unsigned 32-bit integers.
+    """
     shared = vocabulary(docs.sparkSession, path)
     coded = docs.select(F.col(key), recoder(shared)(F.col(text)).alias("coded"))
+    ids = [F.col("coded.ids").alias("ids")] if keep_ids else []
     return coded.select(key, (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("coded.ids", 256).alias("ids_sha256"),
-                        F.sha2("coded.decoded", 256).alias("decoded_sha256"))
+                        F.sha2("coded.decoded", 256).alias("decoded_sha256"), *ids)

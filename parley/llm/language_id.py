@@ -31,8 +31,6 @@ from parley.llm.exprs import columns_but, free_name
 
 #: Expected number of labelled rows of each language that the filters are learned from.
 SAMPLE_PER_LANGUAGE = 1000
-#: Languages a table may have; the masks of a filter row take one 64-bit word for every 64 of them.
-MAX_LANGUAGES = 512
 SIZES = (3, 4)
 ROWS = 1 << 19
 HASHES = 2
@@ -115,9 +113,7 @@ def learned(docs: DataFrame, label: str = "lang", text: str = "text", key: str =
     """Filters from labelled documents. The driver gets the language names and at most ROWS masks."""
     labelled = docs.select(F.col(label).alias("name"), F.col(text).alias("text"), F.col(key).alias("key"))
     labelled = labelled.filter(F.col("name").isNotNull())
-    counts = labelled.groupBy("name").count().orderBy("name").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = labelled.groupBy("name").count().orderBy("name").collect()
     names = [r["name"] for r in counts]
     words = max(1, -(-len(names) // 64))
     masks = np.zeros((ROWS, words), np.uint64)

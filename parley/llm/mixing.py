@@ -17,9 +17,11 @@ Other columns pass through ``resampled``. An empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
@@ -31,13 +33,14 @@ from parley.llm.exprs import words_of
 from parley.session import materialize
 
 SAMPLE_PER_DOMAIN = 500
-MAX_DOMAINS = 64
 FEATURES = 1 << 14
 #: Pull of the rates towards 1, relative to the squared mismatch of token shares.
 PULL = 1e-4
 #: The fit ends when the remaining error of all shares is below this.
 TOLERANCE = 1e-9
 MAX_STEPS = 100
+#: Slope that is left where rounding allows no lower step.
+ACCEPTED = 1e-6
 
 
 @dataclass
@@ -55,9 +58,7 @@ def learned(labelled: DataFrame, domain: str, text: str = "text", key: str = "do
     """Logistic regression on hashed words of a sample of labelled rows."""
     rows = labelled.select(F.col(domain).alias("domain"), F.col(text).alias("text"), F.col(key).alias("key"))
     rows = rows.filter("domain is not null")
-    counts = rows.groupBy("domain").count().orderBy("domain").limit(MAX_DOMAINS + 1).collect()
-    if len(counts) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    counts = rows.groupBy("domain").count().orderBy("domain").collect()
     domains = [r["domain"] for r in counts]
     if len(domains) < 2:
         return Classifier(domains, None)
@@ -86,57 +87,70 @@ def posteriors(docs: DataFrame, classifier: Classifier, key: str = "doc_id", tex
 
 def _rate(y: np.ndarray) -> Column:
     """Projected rate of a document: 1 - posterior . y, not below 0."""
-    total = F.lit(1.0)
-    for d, value in enumerate(y):
-        total = total - F.get("posterior", F.lit(d)) * float(value)
-    return F.greatest(F.lit(0.0), total)
-
-
-def _sums(members: DataFrame, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected token totals of the domains at y, and their curvature over documents with a positive rate."""
-    n, p = len(y), [F.get("posterior", F.lit(d)) for d in range(len(y))]
-    weighted = members.select(F.col("n_tokens").cast("double").alias("w"), _rate(y).alias("r"),
-                              *[p[d].alias(f"p{d}") for d in range(n)])
-    totals = [F.sum(F.col("w") * F.col("r") * F.col(f"p{d}")) for d in range(n)]
-    active = F.when(F.col("r") > 0, F.col("w")).otherwise(0.0)
-    curve = [F.sum(active * F.col(f"p{a}") * F.col(f"p{b}")) for a in range(n) for b in range(a, n)]
-    row = weighted.agg(*totals, *curve).first()
-    values = np.array([v or 0.0 for v in row])
-    matrix, k = np.zeros((n, n)), n
-    for a in range(n):
-        for b in range(a, n):
-            matrix[a, b] = matrix[b, a] = values[k]
-            k += 1
-    return values[:n], matrix
+    weights = F.array(*[F.lit(float(value)) for value in y]).cast("array<double>")
+    products = F.zip_with("posterior", weights, lambda p, w: p * w)
+    return F.greatest(F.lit(0.0), 1 - F.aggregate(products, F.lit(0.0), lambda s, x: s + x))
+
+
+def _sums(members: DataFrame, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Half the tokens times their squared rates, the expected token totals of the domains at y, and the curvature of the
+    totals over documents with a positive rate; summed inside the tasks, for any number of domains."""
+    n = len(y)
+    empty = np.zeros(1 + n + n * n)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = empty.copy()
+        for batch in batches:
+            tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            shares = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), n)
+            rate = np.maximum(0.0, 1 - shares @ y)
+            active = np.where(rate > 0, tokens, 0.0)
+            total += np.concatenate([[0.5 * tokens @ rate ** 2], (tokens * rate) @ shares,
+                                     ((shares * active[:, None]).T @ shares).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "value"])
+
+    rows = members.select("n_tokens", "posterior").mapInArrow(partial, "place long, value double")
+    sums = rows.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    total = empty.copy()
+    total[sums["place"].to_numpy()] = sums["value"].to_numpy()
+    return float(total[0]), total[1:n + 1], total[n + 1:].reshape(n, n)
 
 
 def fitted_rates(members: DataFrame, targets: np.ndarray, tokens: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The vector y of the rates, and the expected token shares that it gives.
 
-    ``targets`` are shares that sum to 1; ``tokens`` is the wanted number of tokens, by default as many as there are.
+    ``targets`` are shares that sum to 1; ``tokens`` is the wanted number of tokens, by default as many as there are. The fit
+    minimises a convex function, so every step must lower it; a fit that ends with a larger slope than ACCEPTED is an error.
     """
     y = np.zeros(len(targets))
-    totals, curve = _sums(members, y)
+    squares, totals, curve = _sums(members, y)
     wanted = tokens or float(totals.sum())
     if wanted <= 0:
         return y, totals
 
+    def cost(squares: float, y: np.ndarray) -> float:
+        return PULL / 2 * float(y @ y) + squares / wanted + float(targets @ y)
+
     def slope(totals: np.ndarray, y: np.ndarray) -> np.ndarray:
         return PULL * y - (totals / wanted - targets)
 
-    now = slope(totals, y)
+    now, height = slope(totals, y), cost(squares, y)
     for _ in range(MAX_STEPS):
         if np.abs(now).max() < TOLERANCE:
             break
         step, size = np.linalg.solve(curve / wanted + PULL * np.eye(len(y)), now), 1.0
-        while True:
+        while size > 1e-8:
             tried = y - size * step
-            totals, curve_tried = _sums(members, tried)
-            after = slope(totals, tried)
-            if np.linalg.norm(after) < np.linalg.norm(now) or size < 1e-4:
+            squares, totals_tried, curve_tried = _sums(members, tried)
+            after, lower = slope(totals_tried, tried), cost(squares, tried)
+            if lower < height or np.abs(after).max() < np.abs(now).max() and lower <= height + 1e-15:
                 break
             size /= 2
-        y, now, curve = tried, after, curve_tried
+        else:
+            break
+        y, now, height, totals, curve = tried, after, lower, totals_tried, curve_tried
+    if np.abs(now).max() > ACCEPTED:
+        raise RuntimeError(f"rates miss the target shares by {np.abs(now).max():.2g}")
     return y, totals / wanted
 
 

@@ -267,7 +267,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     found = materialize(labelled(docs, key, text), "near-copies")
     name = free_name(docs, "removed")
-    removed = found.filter(f"not kept and {key} is not null").select(F.col(key).alias(name)).distinct()
-    named = docs.filter(F.col(key).isNotNull())
-    stay = named.join(removed, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
-    return stay.unionByName(docs.filter(F.col(key).isNull()))
+    removed = found.filter(~F.col("kept") & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias(name)).distinct()
+    own = F.col(f"`{key}`")
+    stay = docs.filter(own.isNotNull()).join(removed, own == F.col(name), "left_anti").dropDuplicates([key])
+    return stay.unionByName(docs.filter(own.isNull()))

@@ -43,7 +43,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     remainder = crc_remainder("doc_id", 4)
     filters = language_id.learned(docs.filter(remainder != 2))
     found = language_id.identified(docs.select("doc_id", "text"), filters)
-    return found.select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "coverage")
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
 
 
 @query("op2_bpe")
@@ -84,7 +84,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     remainder = crc_remainder("doc_id", 5)
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
     model = toxicity.learned(docs, labels.filter(remainder != 0))
-    return toxicity.scored(docs, model).withColumn("held_out", remainder == 0).drop("text")
+    return toxicity.scored(docs, model).withColumn("held_out", F.coalesce(remainder == 0, F.lit(False))).drop("text")
 
 
 @query("op7_vector_dedup")

@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from parley.llm.exprs import ascii_lower, columns_but, free_name, let, words_of
 from parley.session import materialize
 
-#: Expected number of labelled rows that patterns and weights are learned from, and of patterns kept at most.
+#: Expected number of labelled rows that patterns and weights are learned from.
 SAMPLE_ROWS = 10_000
-MAX_PATTERNS = 2_000
 #: Lengths of stems; a whole word is a pattern of its own and is written with a final "$".
 STEMS = (4, 5, 6, 7, 8)
 #: A pattern must be in so many toxic documents and in such a share of them, and that much more often than in others.
@@ -273,7 +272,7 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mode
     ratio = (F.col("toxic") / n_toxic) / ((F.col("clean") + SLACK) / n_clean)
     least = max(MIN_SUPPORT, MIN_SHARE * n_toxic)
     best = (counts.withColumn("ratio", ratio).filter((F.col("toxic") >= least) & (F.col("ratio") >= WEAK_RATIO))
-            .orderBy(F.desc("toxic"), "pattern").limit(MAX_PATTERNS).collect())
+            .orderBy(F.desc("toxic"), "pattern").collect())
     strong = _chosen([(r["pattern"], r["toxic"], r["clean"]) for r in best if r["ratio"] >= MIN_RATIO])
     weak = _chosen([(r["pattern"], r["toxic"], r["clean"]) for r in best if r["ratio"] < MIN_RATIO])
     shared = spark.sparkContext.broadcast((strong, weak))
