@@ -5,7 +5,8 @@ and, as lead columns, the next words of its piece, padded with '' past the end.
 each task before the shuffle. The counts of all shorter phrases are sums over them: a phrase occurs as often as the windows
 that start with it. Windows are shuffled by all their words but the last, so whole windows and the prefixes one word shorter
 are summed in place; a ROLLUP of these sums gives all shorter prefixes and, at its top, the words of a language. (A ROLLUP
-over the windows themselves would shuffle each window once more for the prefix level.)
+over the windows themselves would shuffle each window once more for the prefix level.) Tasks hand on their windows in order,
+so that rows with common words lie together and compress well.
 
 A phrase is scored by the worst of its cuts in two: floor(1000000 * a * a / (l * r)) in exact decimal numbers, where a, l and
 r are the counts of the phrase and its parts, for texts of fewer than 10^16 words. Only phrases found MIN_COUNT times are
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +66,10 @@ def _stretches(text: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
 
 
 def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest: int) -> pa.Table:
-    """Columns lang, w1 .., n: the windows of stretches of text, sorted by their words."""
+    """Columns head, last, n: the windows of stretches of text, sorted by their words.
+
+    The head is the language, a line end, and the words but the last, which are joined by blanks; no word holds either.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     kinds = CLASS[data]
     inside = np.concatenate([[False], kinds == 0, [False]])
@@ -78,7 +83,7 @@ def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest:
     coded = words.dictionary_encode()
     ids, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
     # ids in the order of the words, the pad first
-    order = names.sort_indices() if hasattr(names, "sort_indices") else pa.compute.sort_indices(names)
+    order = pc.sort_indices(names)
     place = np.empty(len(names), np.int32)
     place[order.to_numpy()] = np.arange(1, len(names) + 1, dtype=np.int32)
     names = pa.concat_arrays([pa.array([""], pa.string()), names.take(order)])
@@ -97,8 +102,9 @@ def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest:
         table = table.filter(pa.array(from_end > np.array(uncounted)[text]))
     keys = list(columns)
     sums = table.group_by(keys, use_threads=False).aggregate([([], "count_all")]).sort_by([(k, "ascending") for k in keys])
-    out = [languages.dictionary.take(sums["lang"]), *[names.take(sums[k]) for k in keys[1:]], sums["count_all"]]
-    return pa.table(out, names=[*keys, "n"])
+    head = pc.binary_join_element_wise(*[names.take(sums[k]) for k in keys[1:-1]], " ")
+    head = pc.binary_join_element_wise(languages.dictionary.take(sums["lang"]), head, "\n")
+    return pa.table([head, names.take(sums[keys[-1]]), sums["count_all"]], names=["head", "last", "n"])
 
 
 def _windows(longest: int):
@@ -129,11 +135,21 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     words = [f"w{i + 1}" for i in range(longest)]
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    fields = ", ".join(f"{w} string" for w in words)
-    partial = rows.mapInArrow(_windows(longest), f"lang string, {fields}, n long")
-    # windows that share all words but the last meet in one partition; the sums below need no shuffle
-    windows = partial.repartition("lang", *words[:-1]).groupBy("lang", *words).agg(F.sum("n").alias("n"))
-    prefixes = windows.groupBy("lang", *words[:-1]).agg(F.sum("n").alias("n"))
+    partial = rows.mapInArrow(_windows(longest), "head string, last string, n long")
+    # windows that share all words but the last meet in one partition, where these are summed without another shuffle
+    windows = partial.repartition("head").groupBy("head", "last").agg(F.sum("n").alias("n"))
+    prefix = Window.partitionBy("head")
+    summed = windows.withColumns({"prefix_n": F.sum("n").over(prefix), "first": F.min("last").over(prefix)})
+    one = F.when(F.col("first") == F.col("last"), F.struct(F.lit(None).cast("string").alias("last"), F.col("prefix_n").alias("n")))
+    often = F.when((F.col("last") != "") & (F.col("n") >= min_count), F.struct("last", "n"))
+    # a row for each prefix and each whole window that is found often enough
+    kept = summed.select("head", F.inline(F.array_compact(F.array(one, often))))
+    kept = materialize(kept, "windows")
+    parts = F.split(F.substring_index("head", "\n", -1), " ")
+    language = F.substr("head", F.lit(1), F.length("head") - F.length(F.substring_index("head", "\n", -1)) - 1)
+    kept = kept.select(language.alias("lang"), *[F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(words[:-1])],
+                       F.col("last").alias(words[-1]), "n")
+    windows, prefixes = (kept.filter(F.col(words[-1]).isNotNull()), kept.filter(F.col(words[-1]).isNull()).drop(words[-1]))
     level = F.lit(longest - 2) - F.bit_count(F.grouping_id())
     shorter = prefixes.rollup("lang", *words[:-2]).agg(F.sum("n").alias("n"), level.alias("size")).filter("size >= 0")
 
