@@ -7,20 +7,24 @@ already store one array per conversation; every operator on them is an expressio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
+from parley.operators.bits import bit_set, may_hold
+from parley.operators.phrases import without_phrases
 from parley.schemas import require_columns
 
 #: Message positions per chunk.
 CHUNK = 1 << 16
 #: Messages per nested row when rows are built from messages.
 SEGMENT = 1 << 10
-#: Phrases that a table of phrases may hold.
+#: Phrases that a table of phrases may hold on a stream.
 PHRASE_LIMIT = 10_000
-#: Id tables of at most this many ids are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Bits that the ids of a table are looked up in before a join: 8 MB, filled to a tenth by seven million ids.
+ID_BITS = 1 << 26
 
 
 # ---- turns over message rows -------------------------------------------------------------------------------------
@@ -137,10 +141,12 @@ def exclude_phrases(
 ) -> DataFrame:
     """Drop rows whose text holds any phrase; a NULL text is kept.
 
-    Phrases are a list, or a table with a column ``phrase`` as read from a file. A table is a list for people to keep:
-    up to PHRASE_LIMIT phrases are read, more are refused.
+    Phrases are a list, or a table of any size with a column ``phrase``, which is looked up through an index of its q-grams.
+    On a stream a table must hold at most PHRASE_LIMIT phrases; a larger one is for ``without_phrases`` in a foreachBatch.
     """
     if isinstance(phrases, DataFrame):
+        if not df.isStreaming:
+            return without_phrases(df, column, phrases, ignore_case)
         rows = phrases.select("phrase").where("phrase is not null").distinct().limit(PHRASE_LIMIT + 1).collect()
         if len(rows) > PHRASE_LIMIT:
             raise ValueError(f"more than {PHRASE_LIMIT} phrases")
@@ -177,19 +183,21 @@ def multi_turn(messages: DataFrame) -> DataFrame:
 
 
 def with_ids(
-    df: DataFrame, ids: list[str] | DataFrame, column: str = "conversation_id", bound: int = BROADCAST_IDS
+    df: DataFrame, ids: list[str] | DataFrame, column: str = "conversation_id", bits: int = ID_BITS
 ) -> DataFrame:
     """Keep rows whose id is listed. A list becomes a pushed-down filter; a table a semi join.
 
-    Up to ``bound`` distinct ids are broadcast, after counting them, so rows of a very frequent id stay where they are.
-    A larger table is joined by a shuffle, in which Spark splits the partitions of frequent ids.
+    The ids of a table are first looked up in a set of ``bits`` bits, so that what is joined, and shuffled where Spark does not
+    broadcast the ids, is the wanted rows and a few others. Spark splits the partitions of frequent ids.
     """
     if not isinstance(ids, DataFrame):
         return df.where(F.col(column).isin(list(ids)))
-    wanted = ids.select(column).distinct()
-    if wanted.limit(bound + 1).count() <= bound:
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, column, "left_semi")
+    wanted = ids.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
+    if df.isStreaming:
+        return df.join(wanted, column, "left_semi")
+    number = F.xxhash64(F.col(column))
+    held = may_hold(df.sparkSession, bit_set(wanted, number, bits), bits)
+    return df.where(held(number)).join(wanted, column, "left_semi")
 
 
 # ---- nested rows -------------------------------------------------------------------------------------------------
@@ -235,14 +243,12 @@ def add_turns(conversations: DataFrame) -> DataFrame:
     Rows with a ``segment`` continue the turns of the segments before: every row is numbered from 0 on its own and then
     shifted by the users before it, one number per row. Without it a row is a whole conversation.
     """
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<role:string,content:string,turn:int>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        n = acc.n + (m.role == "user").cast("int")
-        row = F.struct(m.role.alias("role"), m.content.alias("content"), n.alias("turn"))
-        return F.struct(n.alias("n"), F.concat(acc.out, F.array(row)).alias("out"))
+    def numbered(messages: Column, users: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(users)), lambda k: F.transform(
+            _stretch(messages, users, k),
+            lambda m: F.struct(m.role.alias("role"), m.content.alias("content"), k.cast("int").alias("turn")))))
 
-    own = F.aggregate("conversation", start, step, lambda acc: acc.out)
+    own = _with_user_places("conversation", numbered)
     if "segment" not in conversations.columns:
         return conversations.withColumn("conversation", own)
     shifted = conversations.join(_users_before(conversations), ["conversation_id", "segment"])
@@ -251,6 +257,30 @@ def add_turns(conversations: DataFrame) -> DataFrame:
     return shifted.withColumn("conversation", numbered).select(*conversations.columns)
 
 
+def _with_user_places(conversation: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the messages of a nested row and the places, from 1, of those of the user.
+
+    Both are bound by a lambda, so that each is computed once per row however often the body reads it.
+    """
+
+    def places(messages: Column) -> Column:
+        size = F.coalesce(F.size(messages), F.lit(0))
+        every = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda i: F.coalesce(F.get(messages, i - 1).role == "user", F.lit(False)))
+
+    def bound(messages: Column) -> Column:
+        return F.transform(F.array(places(messages)), lambda users: body(messages, users))[0]
+
+    return F.transform(F.array(F.col(conversation)), bound)[0]
+
+
+def _stretch(messages: Column, users: Column, k: Column) -> Column:
+    """The messages of turn k: from its user message to the next one; for turn 0 those before the first."""
+    start = F.when(k > 0, F.get(users, k - 1)).otherwise(F.lit(1))
+    end = F.coalesce(F.get(users, k), F.size(messages) + 1)
+    return F.slice(messages, start, end - start)
+
+
 def _users_before(conversations: DataFrame) -> DataFrame:
     """Per segment the user messages of the segments before it. The window orders one number per segment."""
     users = F.size(F.filter("conversation", lambda m: m.role == "user"))
@@ -267,23 +297,16 @@ def unwrap_turns(conversations: DataFrame) -> DataFrame:
     """
     if "segment" in conversations.columns:
         return pair_turns(unnest_messages(conversations), chunk=1 << 31)
-    pairs = "array<struct<turn_n:int,prompt:string,response:string>>"
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(None).cast("string").alias("open"), F.array().cast(pairs).alias("out")
-    )
-
-    def step(acc: Column, m: Column) -> Column:
-        asks = m.role == "user"
-        answers = (m.role == "assistant") & acc.open.isNotNull()
-        n = acc.n + asks.cast("int")
-        pair = F.struct(n.alias("turn_n"), acc.open.alias("prompt"), m.content.alias("response"))
-        return F.struct(
-            n.alias("n"),
-            F.when(asks, m.content).when(answers, F.lit(None)).otherwise(acc.open).alias("open"),
-            F.when(answers, F.concat(acc.out, F.array(pair))).otherwise(acc.out).alias("out"),
-        )
-
-    folded = F.aggregate("conversation", start, step, lambda acc: acc.out)
+    def paired(messages: Column, users: Column) -> Column:
+        turns = F.when(F.size(users) > 0, F.sequence(F.lit(1), F.size(users))).otherwise(F.array().cast("array<int>"))
+        found = F.transform(turns, lambda k: F.struct(
+            k.alias("turn_n"), F.get(messages, F.get(users, k - 1) - 1).content.alias("prompt"),
+            F.filter(_stretch(messages, users, k), lambda m: m.role == "assistant").alias("answers")))
+        answered = F.filter(found, lambda p: p.prompt.isNotNull() & (F.size(p.answers) > 0))
+        return F.transform(answered, lambda p: F.struct(
+            p.turn_n.alias("turn_n"), p.prompt.alias("prompt"), p.answers[0].content.alias("response")))
+
+    folded = _with_user_places("conversation", paired)
     kept = [c for c in conversations.columns if c not in ("conversation", "turn")]
     return (
         conversations.select(*kept, F.col("turn").alias("conversation_turns"), F.explode(folded).alias("_p"))

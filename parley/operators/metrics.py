@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: probabilities are kept this far from 0 and 1 in the log loss.
 LOG_LOSS_CLIP = 2.220446049250313e-16
@@ -150,3 +154,46 @@ def best_run(log: DataFrame, metric: str, greater_is_better: bool = True) -> Dat
         F.broadcast(key), (F.col("value") * sign == F.col("v")) & (-F.col("step") == F.col("s")), "left_semi"
     )
     return tied.orderBy("run_id").limit(1)
+
+
+# ---- metrics of a user -------------------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class UserMetric:
+    """A metric as a mergeable state of a few numbers.
+
+    ``update(rows)`` gives the state of some rows (a pandas table of ``columns``), ``merge(states)`` adds up a two-dimensional
+    array of states along its rows, and ``finish(state)`` gives the value. States of tasks are combined per group before the
+    shuffle, so a group of any size sends one state from each task.
+    """
+
+    name: str
+    columns: Sequence[str]
+    update: Callable[[pd.DataFrame], np.ndarray]
+    finish: Callable[[np.ndarray], float]
+    merge: Callable[[np.ndarray], np.ndarray] = staticmethod(lambda states: states.sum(0))
+
+
+def user_metric(df: DataFrame, metric: UserMetric, by: Sequence[str]) -> DataFrame:
+    """Rows (by.., metric, value) of a user's metric per group. Groups without rows do not appear; a null is a group."""
+    by, columns = list(by), list(metric.columns)
+    groups = T.StructType([df.schema[c] for c in by])
+    partial_schema = T.StructType([*groups.fields, T.StructField("_state", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*groups.fields, T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType())])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, rows in batch.groupby(by, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                state = np.asarray(metric.update(rows[columns]), float)
+                states[key] = metric.merge(np.stack([states[key], state])) if key in states else state
+        if states:
+            yield pd.DataFrame([[*k, s.tolist()] for k, s in states.items()], columns=[*by, "_state"])
+
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        value = metric.finish(metric.merge(np.stack([np.asarray(s, float) for s in rows["_state"]])))
+        return pd.DataFrame([[*key, metric.name, float(value)]], columns=schema.names)
+
+    states = df.select(*by, *[c for c in columns if c not in by]).mapInPandas(partial, partial_schema)
+    return states.groupBy(*by).applyInPandas(merged, schema)

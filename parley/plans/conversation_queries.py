@@ -111,6 +111,18 @@ def prompts_without_phrases_any_case(spark, sf):
     return C.exclude_phrases(C.message_prompts(X.messages(spark, sf)), "prompt", [p.upper() for p in PHRASES], True)
 
 
+@query(
+    "messages_without_phrase_table",
+    f"""WITH {X.MSG}, phrases AS (SELECT DISTINCT substr(text, 10, 8) AS phrase FROM documents)
+SELECT conversation_id, pos FROM msg WHERE content IS NULL
+  OR NOT EXISTS (SELECT 1 FROM phrases WHERE trim(phrase) <> '' AND contains(content, phrase))""",
+)
+def messages_without_phrase_table(spark, sf):
+    """Messages that hold none of a table of phrases, as many as there are documents."""
+    phrases = X.table(spark, sf, "documents").select(F.substring("text", 10, 8).alias("phrase"))
+    return C.exclude_phrases(X.messages(spark, sf), "content", phrases).select("conversation_id", "pos")
+
+
 @query(
     "phrase_exclusion_report",
     f"WITH {X.MSG} SELECT count(*) AS prompts, "

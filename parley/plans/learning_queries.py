@@ -147,6 +147,37 @@ def label_agreement(spark, sf):
     return bundle.select("n", *[F.bround(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")])
 
 
+def correlation_state(rows):
+    """Counts of true positives, true negatives, false positives and false negatives."""
+    true, predicted = rows["quality"] == 1, rows["toxic"] == 1
+    return [(true & predicted).sum(), (~true & ~predicted).sum(), (~true & predicted).sum(), (true & ~predicted).sum()]
+
+
+def matthews(state) -> float:
+    tp, tn, fp, fn = state
+    below = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+    return (tp * tn - fp * fn) / below ** 0.5 if below else 0.0
+
+
+MATTHEWS = M.UserMetric("matthews", ["quality", "toxic"], correlation_state, matthews)
+
+
+@query(
+    "user_metric_by_group",
+    """WITH c AS (SELECT d.lang, CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS DOUBLE) AS tp,
+  CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS DOUBLE) AS tn,
+  CAST(count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS DOUBLE) AS fp,
+  CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS DOUBLE) AS fn
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY d.lang)
+SELECT lang, 'matthews' AS metric, round_even(coalesce((tp * tn - fp * fn)
+  / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 9) AS value FROM c""",
+)
+def user_metric_by_group(spark, sf):
+    """A metric that a user writes, the correlation of two labels, for the documents of each language."""
+    rows = X.table(spark, sf, "labels").join(X.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return M.user_metric(rows, MATTHEWS, ["lang"]).withColumn("value", F.bround("value", 9))
+
+
 # ---- clusters ----------------------------------------------------------------------------------------------------
 
 def embedding_vectors(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from parley.operators import conversations as C
 from parley.plans import fixtures as X
-from parley.plans.conversation_queries import prompt_sql
+from parley.plans.conversation_queries import PAIR_SQL, prompt_sql
 from parley.plans.registry import query
 from parley.streaming import streams as S
 
@@ -41,7 +41,13 @@ def stream_search(spark, sf):
 
 @query("stream_turn_numbers", f"WITH {X.TURNS} SELECT conversation_id, pos, role, turn_n FROM turns")
 def stream_turn_numbers(spark, sf):
-    return S.number_turns_stream(message_stream(spark, sf)).select("conversation_id", "pos", "role", "turn_n")
+    return S.drain(S.turn_numbers(message_stream(spark, sf)).select("conversation_id", "pos", "role", "turn_n"))
+
+
+@query("stream_turn_pairs", f"SELECT conversation_id, language, turn_n, turn_id, prompt, response FROM ({PAIR_SQL})")
+def stream_turn_pairs(spark, sf):
+    """Pairs of a user message and its first answer, each emitted when the answer arrives."""
+    return S.drain(S.turn_pairs(message_stream(spark, sf)))
 
 
 @query(

@@ -1,42 +1,59 @@
 """Structured Streaming forms of the conversation operators.
 
-Filters and extractions are the batch functions themselves, since they are expressions inside a row. Numbering turns
-needs state: the user messages seen so far per conversation.
+Filters and extractions are the batch functions themselves, since they are expressions inside a row. Turns need state: what
+is known of a conversation is kept in Spark's state store between micro-batches, and expires.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parley.operators.conversations import CHUNK, number_turns
+from parley.operators.conversations import turn_id
 from parley.operators.ordering import number_rows
 from parley.session import fresh_path
 
-#: Batches between two full sums of the numbering state.
-COMPACT_EVERY = 20
+#: Bytes of files that a micro-batch reads, at least one file.
+BATCH_BYTES = 256 << 20
+#: Seconds without a message after which the state of a conversation goes.
+IDLE_SECONDS = 24 * 3600
 
 
 def open_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the parquet files that arrive in a folder (or match a pattern)."""
+    """A stream of the parquet files that arrive in a folder (or match a pattern), some files or BATCH_BYTES at a time."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     return reader.parquet(path)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to a parquet table, up to the data available now; restartable from its checkpoint."""
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Append a stream to a parquet table, up to the data available now; restartable from its checkpoint.
+
+    Batches without data are off in this query: with state that expires there would always be another one.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # a query keeps the settings that it was started with
+    try:
+        return (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(name, before)
 
 
 def drain(stream: DataFrame, purpose: str = "drained") -> DataFrame:
@@ -52,65 +69,71 @@ def first_rows(stream: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame
     return number_rows(drain(stream.limit(n), "first-rows"), key, seed)
 
 
-class TurnNumbering:
-    """Numbers turns of messages that keep arriving, in order per conversation.
+def _turn_of(users: int, rows: pd.DataFrame) -> pd.Series:
+    """Turn of each message in order, after ``users`` earlier user messages."""
+    return users + (rows["role"] == "user").cumsum()
+
+
+def _in_order(batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values("pos", kind="stable", ignore_index=True)
+
 
-    Each micro-batch is numbered like a batch table, chunk by chunk, on top of the user messages counted in earlier
-    batches. Per batch one count per conversation is stored as a table; counts are summed into a base every
-    COMPACT_EVERY batches. A replayed batch overwrites its own folders, so results are exactly once.
+def turn_numbers(stream: DataFrame, idle: float = IDLE_SECONDS) -> DataFrame:
+    """Messages with ``turn_n``, the user messages of their conversation so far.
+
+    The state of a conversation is that one number, kept in Spark's state store. It expires when nothing arrives for ``idle``
+    seconds; a conversation that goes on after that is numbered anew. Messages have to arrive in order between micro-batches,
+    not within one. What a task holds of a conversation is its share of one micro-batch, which ``open_stream`` bounds.
     """
+    places = [f.name for f in stream.schema.fields if f.dataType in (T.LongType(), T.IntegerType())]
 
-    def __init__(self, path: str, chunk: int = CHUNK):
-        self.path, self.chunk = path.rstrip("/"), chunk
-
-    def _sums(self, spark: SparkSession, batch: int, base: int) -> DataFrame:
-        """User messages per conversation before ``batch``: the stored base plus the counts since."""
-        folders = [f"{self.path}/users/batch={b}" for b in range(base, batch)]
-        if base:
-            folders.append(f"{self.path}/base/batch={base}")
-        rows = spark.read.schema("conversation_id string, carried bigint").parquet(*folders)
-        return rows.groupBy("conversation_id").agg(F.sum("carried").alias("carried"))
-
-    def _carried(self, spark: SparkSession, batch: int, ids: DataFrame) -> DataFrame | None:
-        """User messages so far of the given conversations; the state of others is only read when it is compacted."""
-        if batch == 0:
-            return None
-        base = (batch - 1) // COMPACT_EVERY * COMPACT_EVERY
-        sums = self._sums(spark, batch, base)
-        if batch % COMPACT_EVERY == 0:
-            path = f"{self.path}/base/batch={batch}"
-            # sorted by id, so that row groups without an id of a later batch are skipped
-            sums.sort("conversation_id").write.mode("overwrite").parquet(path)
-            sums = spark.read.schema(sums.schema).parquet(path)
-        return sums.join(ids, "conversation_id", "left_semi")
-
-    def __call__(self, messages: DataFrame, batch: int) -> None:
-        messages.persist()
-        users = messages.groupBy("conversation_id").agg(
-            F.sum((F.col("role") == "user").cast("bigint")).alias("carried")
-        )
-        path = f"{self.path}/users/batch={batch}"
-        users.write.mode("overwrite").parquet(path)
-        ids = messages.sparkSession.read.schema(users.schema).parquet(path).select("conversation_id")
-        carried = self._carried(messages.sparkSession, batch, ids)
-        numbered = number_turns(messages, self.chunk, carried).drop("conversation_turns")
-        numbered.write.mode("overwrite").parquet(f"{self.path}/messages/batch={batch}")
-        messages.unpersist()
-
-    def start(self, stream: DataFrame) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self)
-            .option("checkpointLocation", f"{self.path}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
+    def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _in_order(batches)
+        turns = _turn_of(state.get[0] if state.exists else 0, rows)
+        state.update((int(turns.iloc[-1]),))
+        state.setTimeoutDuration(max(1, int(idle * 1000)))
+        yield rows.astype({c: "Int64" for c in places}).assign(turn_n=turns)
+
+    return stream.groupBy("conversation_id").applyInPandasWithState(
+        number, T.StructType([*stream.schema.fields, T.StructField("turn_n", T.LongType())]), "users long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    def result(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/messages").drop("batch")
 
+def turn_pairs(stream: DataFrame, idle: float = IDLE_SECONDS) -> DataFrame:
+    """A row for each user message when its first answer arrives, as ``pair_turns`` pairs them on a table.
+
+    The state of a conversation is the number of its turns and, while it has no answer, the last user message; it expires like
+    that of ``turn_numbers``, and an answer that comes later pairs with nothing.
+    """
 
-def number_turns_stream(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Run the numbering over the data available now and return the numbered messages."""
-    numbering = TurnNumbering(fresh_path(stream.sparkSession, "turns"), chunk)
-    numbering.start(stream).awaitTermination()
-    return numbering.result(stream.sparkSession)
+    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        users, waiting, prompt, spoken = state.get if state.exists else (0, False, None, None)
+        rows = _in_order(batches)
+        rows["turn_n"] = _turn_of(users, rows)
+        asked = rows[rows["role"] == "user"].set_index("turn_n")[["content", "language"]]
+        if waiting:
+            asked.loc[users] = [prompt, spoken]
+        answers = rows[rows["role"] == "assistant"].drop_duplicates("turn_n")
+        answers = answers[answers["turn_n"].isin(asked.index)]
+        last = int(rows["turn_n"].iloc[-1])
+        open_ = last in asked.index and not (answers["turn_n"] == last).any()
+        left = asked.loc[last].tolist() if open_ else [None, None]
+        state.update((last, open_, *[None if pd.isna(x) else x for x in left]))
+        state.setTimeoutDuration(max(1, int(idle * 1000)))
+        if len(answers):
+            found = answers.join(asked, "turn_n", rsuffix="_asked")
+            language = found[["language", "language_asked"]].apply(lambda x: x.dropna().max(), axis=1)
+            yield pd.DataFrame({"conversation_id": key[0], "language": language, "turn_n": found["turn_n"],
+                                "prompt": found["content_asked"], "response": found["content"]})
+
+    pairs = stream.select("conversation_id", "pos", "role", "content", "language").groupBy("conversation_id")
+    paired = pairs.applyInPandasWithState(
+        pair, "conversation_id string, language string, turn_n long, prompt string, response string",
+        "users long, waiting boolean, prompt string, language string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    identity = turn_id(F.col("conversation_id"), F.col("turn_n")).alias("turn_id")
+    return paired.select("conversation_id", "language", "turn_n", identity, "prompt", "response")

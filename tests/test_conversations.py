@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import conversations as C
+from parley.operators import phrases as P
 from parley.schemas import CONVERSATION, MESSAGES
+from parley.session import materialize
 
 GOLDEN = {
     "system first": (["system", "user", "assistant"], [0, 1, 1], [("m1", "m2", 1)]),
@@ -136,4 +138,49 @@ def test_transcript_skips_other_roles(messages):
 def test_ids_by_list_and_by_table(spark, messages):
     ids = spark.createDataFrame([("long",), ("long",)], "conversation_id string")
     assert C.with_ids(messages, ["long"]).count() == C.with_ids(messages, ids).count() == 10
-    assert C.with_ids(messages, ids, bound=0).count() == 10
+    assert C.with_ids(messages, ids.union(spark.createDataFrame([(None,)], ids.schema))).count() == 10
+    # with few bits others pass the first look-up, but not the join
+    assert C.with_ids(messages, ids, bits=8).count() == 10
+    assert C.with_ids(messages, ids.limit(0)).count() == 0
+
+
+# ---- phrase tables and long rows ---------------------------------------------------------------------------------
+
+TEXTS = ["the quick brown fox", None, "", "a", "Ünïcode 日本語 text", "quick", "x" * 3000 + " needle", "brown\nfox", "aXbXc"]
+
+
+@pytest.mark.parametrize("ignore_case,phrases", [
+    (False, ["a", "日本", "QUICK BROWN", "needle", "x" * 40 + " ne", "BXc", "fox the", "", "  ", "zzz"]),
+    (True, ["QUICK BROWN", "bXC", "fox the", "wn\nf"]), (False, [])])
+def test_phrase_tables_equal_plain_search(spark, monkeypatch, phrases, ignore_case):
+    monkeypatch.setattr(P, "CHUNK", 100)
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, prompt string").withColumn("_grams", F.lit(1))
+    table = spark.createDataFrame([(p,) for p in phrases] + [(None,)], "phrase string")
+    low = (lambda s: s.lower()) if ignore_case else (lambda s: s)
+    want = {i for i, t in enumerate(TEXTS) if t is not None and any(p.strip() and low(p) in low(t) for p in phrases)}
+    judged = P.with_phrase_hits(rows, "prompt", table, ignore_case)
+    assert {r["id"]: r["_held"] for r in judged.collect()} == {i: i in want for i in range(len(TEXTS))}
+    kept = C.exclude_phrases(rows, "prompt", table, ignore_case)
+    assert kept.columns == rows.columns and {r["_grams"] for r in kept.collect()} == {1}
+
+
+def test_100_000_phrases(spark):
+    phrases = spark.range(100_000).selectExpr("concat('phrase number ', id, ' end') AS phrase")
+    rows = spark.range(2000).selectExpr("id", "concat('it holds phrase number ', id * 77, if(id % 2 = 0, ' end', ' and')) AS text")
+    got = {r["id"] for r in P.rows_with_phrases(rows, "text", phrases).collect()}
+    assert got == {i for i in range(0, 2000, 2) if i * 77 < 100_000}
+
+
+def test_a_row_of_100_000_messages_is_numbered_and_paired(spark):
+    n = 100_000
+    row = spark.range(1).select(
+        F.lit("long").alias("conversation_id"), F.lit("English").alias("language"), F.lit(n // 4).alias("turn"),
+        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+            F.when(i % 4 == 1, "user").when(i % 4 == 0, "system").otherwise("assistant").alias("role"),
+            i.cast("string").alias("content"))).alias("conversation"))
+    row = materialize(row, "long-row")
+    turns = C.add_turns(row).select(F.inline("conversation"))
+    assert turns.where("turn != floor((cast(content as int) + 3) / 4)").count() == 0 and turns.count() == n
+    pairs = C.unwrap_turns(row)
+    assert pairs.count() == n // 4
+    assert pairs.where("prompt != cast(turn_n * 4 - 3 as string) or response != cast(turn_n * 4 - 2 as string)").count() == 0

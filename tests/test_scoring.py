@@ -167,3 +167,16 @@ def test_best_run_keeps_the_earliest_tie(spark):
     )
     assert tuple(M.best_run(log, "eval_f1").first()[:2]) == ("r2", 1)
     assert tuple(M.best_run(log, "eval_f1", greater_is_better=False).first()[:2]) == ("r1", 1)
+
+
+def test_user_metric_merges_states_of_tasks(spark):
+    rows = [(k % 3 if k % 7 else None, float(k), k % 5 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, x double, flag boolean").repartition(5)
+    spread = M.UserMetric("spread", ["x", "flag"], lambda r: [r["x"].max(), -r["x"].min(), r["flag"].sum()],
+                          lambda s: s[0] + s[1] + 1000 * s[2],
+                          lambda states: [*states[:, :2].max(0), states[:, 2].sum()])
+    got = {r["g"]: r["value"] for r in M.user_metric(df, spread, ["g"]).collect()}
+    for g in (0, 1, 2, None):
+        own = [(x, flag) for h, x, flag in rows if h == g]
+        assert got.pop(g) == max(x for x, _ in own) - min(x for x, _ in own) + 1000 * sum(f for _, f in own)
+    assert not got and M.user_metric(df.limit(0), spread, ["g"]).count() == 0

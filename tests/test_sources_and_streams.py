@@ -168,25 +168,51 @@ def rows_for(conversation, start, roles):
     return [(conversation, start + i, r, f"{conversation}{start + i}", "English") for i, r in enumerate(roles)]
 
 
-def test_turn_numbers_carry_over_batches(spark, monkeypatch):
-    monkeypatch.setattr(S, "COMPACT_EVERY", 2)
-    batches = [rows_for("a", 3 * b, ["user", "assistant", "user"]) + rows_for("b", b, ["user"]) for b in range(6)]
-    path = arriving(spark, batches)
+CHATS = [[("a", ["user", "user", "assistant"]), ("b", ["system", "assistant"])],
+         [("a", ["assistant", "user"]), ("b", ["user"]), ("c", ["assistant"])],
+         [("b", ["assistant", "assistant", "user"])],
+         [("a", ["system", "assistant", "user", "assistant"]), ("b", ["assistant"]), ("c", ["user", "assistant"])]]
+
+
+def chat_batches():
+    """The same conversations in four micro-batches, with places that go on."""
+    places, made = {}, []
+    for batch in CHATS:
+        rows = []
+        for conversation, roles in batch:
+            start = places.get(conversation, 0)
+            rows += rows_for(conversation, start, roles)
+            places[conversation] = start + len(roles)
+        made.append(rows[::-1])
+    return made
+
+
+def run_again(stream, out, checkpoint):
+    S.to_table(stream, out, checkpoint).awaitTermination()
+
+
+@pytest.mark.parametrize("operator,batch", [(S.turn_numbers, C.number_turns), (S.turn_pairs, C.pair_turns)])
+def test_turns_on_a_stream_equal_those_on_a_table_over_batches_and_a_restart(spark, operator, batch):
+    batches, out, checkpoint = chat_batches(), fresh_path(spark, "out"), fresh_path(spark, "checkpoint")
+    path = arriving(spark, batches[:3])
+    for more in (None, batches[3]):
+        if more:  # the query starts again from its checkpoint
+            spark.createDataFrame(more, MESSAGES).coalesce(1).write.mode("append").parquet(path)
+        run_again(operator(S.open_stream(spark, path, MESSAGES, files_per_batch=1)), out, checkpoint)
+    expected = batch(spark.read.schema(MESSAGES).parquet(path))
+    got = spark.read.parquet(out)
+    columns = [c for c in got.columns if c in expected.columns]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+    assert got.count() > 3
+
+
+def test_idle_conversations_expire(spark, monkeypatch):
+    path = arriving(spark, [rows_for("a", 0, ["user", "user"]), rows_for("b", 0, ["user"]), rows_for("a", 2, ["assistant", "user"])])
     stream = S.open_stream(spark, path, MESSAGES, files_per_batch=1)
-    got = S.number_turns_stream(stream, chunk=4).select("conversation_id", "pos", "turn_n")
-    expected = C.number_turns(spark.read.schema(MESSAGES).parquet(path)).select("conversation_id", "pos", "turn_n")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
-
-
-def test_replayed_batch_changes_nothing(spark):
-    path = fresh_path(spark, "replay")
-    numbering = S.TurnNumbering(path)
-    first = spark.createDataFrame(rows_for("a", 0, ["user", "assistant"]), MESSAGES)
-    second = spark.createDataFrame(rows_for("a", 2, ["user", "assistant"]), MESSAGES)
-    for batch, rows in ((0, first), (1, second), (1, second)):
-        numbering(rows, batch)
-    got = sorted((r["pos"], r["turn_n"]) for r in numbering.result(spark).collect())
-    assert got == [(0, 1), (1, 1), (2, 2), (3, 2)]
+    got = S.drain(S.turn_numbers(stream, idle=0.001))
+    assert sorted((r["conversation_id"], r["pos"], r["turn_n"]) for r in got.collect()) == [
+        ("a", 0, 1), ("a", 1, 2), ("a", 2, 0), ("a", 3, 1), ("b", 0, 1)]
+    assert S.drain(S.turn_pairs(stream, idle=0.001)).count() == 0
 
 
 def test_stream_filters_equal_batch(spark):
