@@ -68,8 +68,10 @@ def grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     kept = letters | ends
     kept[0] = True
     kept[1:] |= letters[:-1] | ends[:-1]
+    kept = np.flatnonzero(kept)
     # a blank just before an end would double the blank that the end itself stands for
-    kept[:-1] &= letters[:-1] | ~ends[1:] | ends[:-1]
+    blank, before_end = ~(letters | ends)[kept], np.append(ends[kept][1:], False)
+    kept = kept[~(blank & before_end)]
     place = (np.cumsum(ends) - ends)[kept]
     code = np.where(letters, codes, 32)[kept].astype(np.uint64)
     count = len(code) - size + 1
