@@ -16,7 +16,7 @@ from parley.schemas import TRAINING_LOG
 
 
 #: A fit ends when an iteration changes its loss by less than this share; the iterations allowed are far beyond that.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-3
 
 
 def pair_features(df: DataFrame, premise: str, hypothesis: str, size: int = 1 << 12) -> DataFrame:

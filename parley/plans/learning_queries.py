@@ -258,6 +258,11 @@ SELECT word, count(*) AS frequency FROM t WHERE {kept} GROUP BY word ORDER BY fr
 def words_by_cluster(spark, sf, k, corpus_excluded, excluded, prefix):
     """Word counts of each cluster of stemmed texts; the counted words are those of the texts as they are."""
     clusters = U.topic_clusters(stemmed_english(spark, sf, corpus_excluded), "doc_id", "clean_text", k)
+    return words_in_clusters(spark, sf, clusters, excluded, prefix)
+
+
+def words_in_clusters(spark, sf, clusters, excluded, prefix):
+    """Word counts of each cluster of a table (doc_id, cluster)."""
     return W.word_counts(english(spark, sf).join(clusters, "doc_id"), "text", ["cluster"], excluded, prefix=prefix)
 
 
@@ -285,7 +290,22 @@ def top_words_by_five_clusters(spark, sf):
     return words_over_clusters(words_by_five(spark, sf))
 
 
-# No SQL states the clusters; tests compare the words of each cluster with plain counts.
+GIVEN_CLUSTERS = f"""WITH t AS (SELECT doc_id % 7 + 1 AS cluster, unnest({P.words('text')}) AS word FROM documents WHERE lang = 'en'),
+counts AS (SELECT cluster, word, count(*) AS frequency FROM t WHERE word NOT IN {X.sql_in([*T.STOP_WORDS, *T.TOPIC_EXCLUDED])}
+  GROUP BY cluster, word)
+SELECT CAST(cluster AS INT) AS cluster, word, frequency FROM counts
+QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY frequency DESC, word) <= 10"""
+
+
+@query("words_of_given_clusters", GIVEN_CLUSTERS)
+def words_of_given_clusters(spark, sf):
+    """The most frequent words of each of seven clusters that a table of documents gives."""
+    given = english(spark, sf).select("doc_id", (F.col("doc_id") % 7 + 1).cast("int").alias("cluster"))
+    counts = words_in_clusters(spark, sf, given, T.TOPIC_EXCLUDED, None)
+    return W.top_words(counts, 10, ["cluster"]).select("cluster", "word", "frequency")
+
+
+# No SQL states fitted clusters; tests compare the words of each cluster with plain counts.
 
 @query("words_of_each_cluster")
 def words_of_each_cluster(spark, sf):
