@@ -92,30 +92,6 @@ def clean_column(df: DataFrame, text: str, excluded: Sequence[str] = (), target:
     return df.withColumn(target, X.drop_words(X.clean(F.col(text)), dropped))
 
 
-#: Lookup tables of at most this many rows are broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def frequent_first_join(
-    rows: DataFrame, table: DataFrame, on: str, frequency: str = "n", bound: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Left join with a lookup table that also tells how many rows each key has.
-
-    A table of up to ``bound`` rows is broadcast. Of a larger one the frequent keys are: at most ``bound`` keys can
-    each hold 1/bound of the rows. Only rows of the other keys are shuffled, and none of those keys is large.
-    """
-    size, total = table.agg(F.count("*"), F.sum(frequency)).first()
-    lookup = table.drop(frequency)
-    if size <= bound:
-        return rows.join(F.broadcast(lookup), on, "left")
-    is_frequent = F.col(frequency) >= F.lit(total / bound)
-    frequent = F.broadcast(table.where(is_frequent).drop(frequency))
-    rare = table.where(~is_frequent).drop(frequency)
-    return rows.join(frequent, on).unionByName(
-        rows.join(frequent.select(on), on, "left_anti").join(rare, on, "left")
-    )
-
-
 def clean_stemmed_column(
     df: DataFrame, key: str, text: str, excluded: Sequence[str] = (), target: str = "clean_text"
 ) -> DataFrame:

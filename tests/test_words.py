@@ -81,17 +81,6 @@ def test_tfidf_against_brute_force(docs):
     assert all(math.isclose(got[k], expected[k], rel_tol=1e-12) for k in got)
 
 
-@pytest.mark.parametrize("bound", [1, 3, 1000])
-def test_lookup_join_is_the_same_for_any_bound(spark, bound):
-    rows = spark.createDataFrame([(i, w) for i, w in enumerate("aaaaaaabbcdex")], "id int, word string")
-    table = spark.createDataFrame(
-        [("a", "A", 7), ("b", "B", 2), ("c", "C", 1), ("d", "D", 1), ("e", "E", 1)], "word string, up string, n bigint"
-    )
-    joined = W.frequent_first_join(rows, table, "word", bound=bound)
-    got = sorted((r["id"], r["word"], r["up"]) for r in joined.collect())
-    assert got == [(i, w, w.upper() if w != "x" else None) for i, w in enumerate("aaaaaaabbcdex")]
-
-
 def test_stemmed_texts_keep_order_and_empty_rows(docs):
     got = dict(W.clean_stemmed_column(docs, "id", "text").collect())
     assert got == {0: "cat sat cat ran", 1: "name_ like cat", 2: "dog cat", 3: "", 4: "été été"}
