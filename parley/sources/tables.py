@@ -57,11 +57,16 @@ def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType
     return reader.parquet(path).where(F.col("split") == split)
 
 
-def sample_one_file(spark: SparkSession, path: str, n: int, key: str, seed: int = 42, strict: bool = True) -> DataFrame:
-    """``n`` random rows of one randomly chosen file; the other files are not read."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.element_at(F.split("path", "/"), -1)))
+def sample_one_file(spark: SparkSession, path: str, n: int, key: str, seed: int = 42, strict: bool = True,
+                    named: str = "[^/]+$") -> DataFrame:
+    """``n`` random rows of one randomly chosen file; the other files are not read.
+
+    The draw goes by what the pattern ``named`` finds in a file's path, the file name if not given. File names that Spark
+    makes up differ with every write; with one file a folder, ``column=[^/]+`` draws the same rows again.
+    """
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.regexp_extract("path", named, 0)))
     chosen = file_sizes(spark, path).orderBy(draw, "path").select("path").first()["path"]
-    return sample_n(spark.read.parquet(chosen), n, key, seed, strict)
+    return sample_n(spark.read.option("basePath", path).parquet(chosen), n, key, seed, strict)
 
 
 def date_stamp(day: date | None = None) -> str:

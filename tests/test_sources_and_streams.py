@@ -3,12 +3,14 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from parley.operators import clusters as U
 from parley.operators import conversations as C
 from parley.schemas import MESSAGES
 from parley.session import fresh_path
 from parley.sources import lists, published, tables
 from parley.streaming import streams as S
+from tools.check import compare, connect
 
 
 @pytest.fixture(scope="module")
@@ -112,6 +114,17 @@ def test_one_of_several_files_is_drawn(spark, dataset):
     assert all(len(d) == 1 for d in drawn) and len(set().union(*drawn)) > 1
 
 
+def test_one_file_sample_returns_rows_of_the_drawn_file(spark):
+    """The query gives the 30 rows that its SQL knows, not a count of them."""
+    name = "sample_of_one_file"
+    sf = "/root/testdata/sf0.01"
+    ok, note = compare(spark, connect(sf), sf, name, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, note
+    rows = entry.queries()[name](spark, sf).collect()
+    assert len(rows) == 30 and {(r["file"], r["files"]) for r in rows} == {(rows[0]["file"], 4)}
+    assert {(r["conv_id"] + r["turn"]) % 4 for r in rows} == {rows[0]["file"]}
+
+
 def test_split_read_is_pruned(spark, dataset):
     path = tables.snapshot(dataset, fresh_path(spark, "base"))
     plan = tables.read_split(spark, path, "test")._jdf.queryExecution().executedPlan().toString()
