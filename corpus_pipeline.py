@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named like results of the identification keep their values.
     """
     source = docs.toDF(*[f"in_{c}" for c in docs.columns])
-    filters = language_id.learned(source, "in_lang", "in_text", "in_doc_id")
+    filters = language_id.learned(source, "in_lang", "in_text", "in_doc_id", None)
     floors = language_id.coverage_floors(source, "in_lang", "in_text", "in_doc_id")
     found = language_id.identified(source, filters, "in_text")
     floor = F.lit(MIN_COVERAGE)

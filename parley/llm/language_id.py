@@ -6,8 +6,9 @@ n-gram, combined by AND, name all languages that contain the n-gram. Per text an
 largest corrected count decides.
 
 An n-gram is entered for a language when it occurs in enough of its documents and not far more rarely than in the language
-where it is most common, so that stray foreign words do not fill the filters. Filters are learned from a bounded sample of
-labelled rows (SAMPLE_PER_LANGUAGE expected rows of each language); texts are judged whole.
+where it is most common, so that stray foreign words do not fill the filters. Filters are learned from all labelled rows or
+from a bounded sample of them (SAMPLE_PER_LANGUAGE expected rows of each language); texts are judged whole. Floors of the
+coverage are learned from all labelled rows.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row every text is ``und``.
 A text whose n-grams are all unknown gets the language with most labelled rows, score 0. Ties go to the smaller name.
@@ -34,11 +35,16 @@ SAMPLE_PER_LANGUAGE = 1000
 SIZES = (3, 4)
 ROWS = 1 << 19
 HASHES = 2
-#: An n-gram is entered for a language if at least so many of its sampled documents have it, ...
+#: An n-gram is entered for a language if at least so many of its documents have it (of up to SAMPLE_PER_LANGUAGE that are
+#: learned from; of more, the same share), ...
 MIN_DOCUMENTS = 3
 #: ... and its share of documents is at least this part of the largest share in any language.
 MIN_SHARE = 0.25
 UNKNOWN = "und"
+#: Bits of a hash that name an n-gram (the filters use the first 40), and of a language or a text of a batch.
+GRAM_BITS, LANGUAGE_BITS = 43, 21
+#: Pairs of n-gram and language that a task holds.
+HELD = 1 << 21
 #: One part in so many of the labelled rows is left out of a fit that measures coverage.
 PARTS = 4
 #: A floor lies this far below the least coverage measured.
@@ -95,24 +101,52 @@ def filter_rows(hashed: np.ndarray, k: int, rows: int) -> np.ndarray:
     return ((hashed >> np.uint64(k * 21)) & np.uint64(rows - 1)).astype(np.int64)
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _pairs(keys: list[np.ndarray], counts: list[np.ndarray]) -> pd.DataFrame:
+    found, documents = _summed(keys, counts)
+    language = found & np.uint64((1 << LANGUAGE_BITS) - 1)
+    return pd.DataFrame({"gram": (found >> np.uint64(LANGUAGE_BITS)).astype(np.int64), "language": language.astype(np.int32),
+                         "documents": documents})
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents per (n-gram, language) of each batch."""
+    """Documents per (n-gram, language), summed in the task as far as HELD pairs go."""
+    keys, counts, held = [], [], 0
     for batch in batches:
         for places, pieces in in_chunks(batch["text"]):
-            language = batch["language"].to_numpy()[places]
+            language = batch["language"].to_numpy()[places].astype(np.uint64)
             for size in SIZES:
                 hashed, place = grams(pieces, size)
-                order = np.lexsort((place, hashed))
-                hashed, place = hashed[order], place[order]
-                first = np.ones(len(hashed), bool)
-                first[1:] = (hashed[1:] != hashed[:-1]) | (place[1:] != place[:-1])
-                found = pd.DataFrame({"gram": hashed[first].astype(np.int64), "language": language[place[first]]})
-                yield found.value_counts(["gram", "language"], sort=False).rename("documents").reset_index()
+                # sorted as whole numbers: the n-grams of each text once, then those of each language
+                each = np.sort(place.astype(np.uint64) << np.uint64(GRAM_BITS) | hashed & np.uint64((1 << GRAM_BITS) - 1))
+                each = each[np.append(True, each[1:] != each[:-1])] if len(each) else each
+                gram, place = each & np.uint64((1 << GRAM_BITS) - 1), (each >> np.uint64(GRAM_BITS)).astype(np.int64)
+                pairs = np.sort(gram << np.uint64(LANGUAGE_BITS) | language[place])
+                first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+                keys.append(pairs[first])
+                counts.append(np.diff(np.append(first, len(pairs))))
+                held += len(first)
+            if held > HELD:
+                found, documents = _summed(keys, counts)
+                keys, counts, held = [found], [documents], len(found)
+                if held > HELD // 2:
+                    yield _pairs(keys, counts)
+                    keys, counts, held = [], [], 0
+    if held:
+        yield _pairs(keys, counts)
 
 
 def learned(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
-            per_language: int = SAMPLE_PER_LANGUAGE) -> Filters:
-    """Filters from labelled documents. The driver gets the language names and at most ROWS masks."""
+            per_language: int | None = SAMPLE_PER_LANGUAGE) -> Filters:
+    """Filters from labelled documents, from all of them if ``per_language`` is None.
+
+    The driver gets the language names and at most ROWS masks.
+    """
     labelled = docs.select(F.col(label).alias("name"), F.col(text).alias("text"), F.col(key).alias("key"))
     labelled = labelled.filter(F.col("name").isNotNull())
     counts = labelled.groupBy("name").count().orderBy("name").collect()
@@ -121,16 +155,18 @@ def learned(docs: DataFrame, label: str = "lang", text: str = "text", key: str =
     masks = np.zeros((ROWS, words), np.uint64)
     if not names:
         return Filters([], masks, np.zeros(0), np.zeros(0))
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["name"], min(1.0, per_language / r["count"]))])
+    used = [float(r["count"] if per_language is None else min(r["count"], per_language)) for r in counts]
+    shares = F.create_map(*[F.lit(x) for r, n in zip(counts, used) for x in (r["name"], n / r["count"])])
     ids = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.filter(draw < shares[F.col("name")]).select(ids[F.col("name")].alias("language"), "text")
-    # documents over the sample per language, as shares of documents
+    expected, least = (F.get(F.array(*map(F.lit, values)), F.col("language")) for values in (
+        used, [max(1.0, n / SAMPLE_PER_LANGUAGE) * MIN_DOCUMENTS for n in used]))
+    # documents per language, as shares of documents
     per_gram = (sample.mapInPandas(_counted, "gram long, language int, documents long")
                 .groupBy("gram", "language").agg(F.sum("documents").alias("documents"))
-                .filter(F.col("documents") >= MIN_DOCUMENTS))
-    expected = F.array(*[F.lit(float(min(r["count"], per_language))) for r in counts])
-    share = F.col("documents") / F.get(expected, F.col("language"))
+                .filter(F.col("documents") >= least))
+    share = F.col("documents") / expected
     entry = F.struct(share.alias("share"), F.col("language").alias("language"))
     lists = per_gram.groupBy("gram").agg(F.collect_list(entry).alias("entries"))
     enough = F.filter("entries", lambda e: e["share"] >= F.array_max(F.col("entries")["share"]) * MIN_SHARE)
@@ -229,21 +265,18 @@ def identified(docs: DataFrame, filters: Filters, text: str = "text") -> DataFra
     return found.select(*others, f"{struct}.*")
 
 
-def coverage_floors(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
-                    per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, float]:
+def coverage_floors(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, float]:
     """Per language, a floor just below the coverage of its labelled rows that are left out of a fit on the others.
 
-    A language has none if no row of it is left out or none of those is recognised.
+    All labelled rows are used, either in the fit or out of it. A language has none if no row of it is left out or none of
+    those is recognised.
     """
     labelled = docs.filter(F.col(label).isNotNull()).select(label, text, key)
     left_out = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(PARTS)) == 0
-    filters = learned(labelled.filter(~left_out), label, text, key, per_language)
+    filters = learned(labelled.filter(~left_out), label, text, key, None)
     if not filters.names:
         return {}
-    wanted = F.create_map(*[F.lit(x) for name, n in zip(filters.names, filters.rows.tolist())
-                            for x in (name, min(1.0, per_language * (PARTS - 1) / n))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.filter(left_out).filter(draw < wanted[F.col(label)])
-    found = identified(rows, filters, text).filter((F.col("lang_pred") == F.col(label)) & (F.col("coverage") > 0))
+    found = identified(labelled.filter(left_out), filters, text)
+    found = found.filter((F.col("lang_pred") == F.col(label)) & (F.col("coverage") > 0))
     least = found.groupBy("lang_pred").agg(F.min("coverage").alias("least")).collect()
     return {r["lang_pred"]: FLOOR * r["least"] for r in least}

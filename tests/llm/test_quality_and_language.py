@@ -3,7 +3,9 @@
 import random
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import language_id, quality, toxicity
 
@@ -100,6 +102,33 @@ def test_language_edge_cases(spark, tongues):
     assert language_id.identified(frame(spark, []), filters).count() == 0
 
 
+def test_floors_come_from_all_labelled_rows(spark, tongues):
+    """One poorly covered text among 8,000 of its language sets the floor, whatever a sample would draw."""
+    rows = spark.range(8000).selectExpr("id doc_id", "'aa' lang")
+    left_out = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(language_id.PARTS)) == 0
+    undrawn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) > 0.9 * (1 << 30)
+    odd = rows.filter(left_out & undrawn).first()["doc_id"]
+    text = F.when(F.col("doc_id") == odd, tongues("aa", 3) + " zzzz qqqq xxxx").otherwise(tongues("aa", 40))
+    docs = rows.withColumn("text", text)
+    filters = language_id.learned(docs.filter(~left_out), per_language=None)
+    covered = language_id.identified(docs.filter(left_out), filters).agg(F.min("coverage"), F.max("coverage")).first()
+    assert covered[0] < 0.9 * covered[1]
+    assert language_id.coverage_floors(docs) == {"aa": language_id.FLOOR * covered[0]}
+
+
+def test_learning_from_all_rows_counts_each_document_once(spark, tongues):
+    docs = [(k, tongues(x) + " " + tongues(x), x) for k in range(40) for x in ("aa", "bb")]
+    pairs = pd.concat(language_id._counted(iter([pd.DataFrame(
+        {"language": [int(x == "bb") for _, _, x in docs], "text": [t for _, t, _ in docs]})] * 2)))
+    expected = {}
+    for _, text, x in docs:
+        for size in language_id.SIZES:
+            for gram in set(language_id.grams([text], size)[0].tolist()):
+                at = (gram & (1 << language_id.GRAM_BITS) - 1, int(x == "bb"))
+                expected[at] = expected.get(at, 0) + 2
+    assert {(g, x): n for g, x, n in pairs.itertuples(index=False)} == expected
+
+
 def test_many_languages_take_several_mask_words(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     langs = {f"l{k:03}": letters[k % 26] + letters[k // 26] for k in range(70)}
