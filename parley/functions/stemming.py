@@ -10,7 +10,7 @@ import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -147,7 +147,9 @@ def add_stems(words: DataFrame, column: str = "word", target: str = "stem") -> D
 # ---- words inside a text -----------------------------------------------------------------------------------------
 
 #: Stems that a worker remembers.
-CACHED_STEMS = 1 << 18
+CACHED_STEMS = 1 << 16
+#: Texts that are Python strings at once.
+SLICE = 256
 
 
 def _region(word: str, start: int, special: str = "") -> int:
@@ -224,8 +226,12 @@ def stem_word(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf(StringType())
-def stemmed_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _stemmed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else " ".join(map(stem_word, t.split(" "))) for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def stemmed_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The words of a text, separated by blanks, stemmed in place."""
     for texts in batches:
-        yield texts.map(lambda t: None if t is None else " ".join(map(stem_word, t.split(" "))))
+        yield pa.concat_arrays([_stemmed(texts.slice(s, SLICE)) for s in range(0, max(len(texts), 1), SLICE)])

@@ -20,6 +20,8 @@ BLOCK = 14
 KEPT = 160
 #: A direction is found when its residual is below this share of the largest variance.
 TOLERANCE = 1e-8
+#: Rows whose products are held at once.
+SLICE = 1024
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ def _summed(rows: DataFrame, size: int, directions: np.ndarray | None) -> tuple[
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros((size, width)), 0
-        for batch in batches:
+        for batch in (b.slice(s, SLICE) for b in batches for s in range(0, b.num_rows, SLICE)):
             row, place, entry = _flat(batch)
             n = batch.num_rows
             count += n
@@ -158,7 +160,8 @@ def projected(df: DataFrame, components: Components, features: str = "features",
     def coordinates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         directions, centre = shared.value
         for batch in batches:
-            values = _products(*_flat(batch), len(batch), directions) - centre
+            parts = [batch.slice(s, SLICE) for s in range(0, max(len(batch), 1), SLICE)]
+            values = np.vstack([_products(*_flat(part), len(part), directions) for part in parts]) - centre
             yield pa.ListArray.from_arrays(np.arange(0, len(batch) * k + 1, k, dtype=np.int32), pa.array(values.ravel()))
 
     v = F.unwrap_udt(F.col(features))

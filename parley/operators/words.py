@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +72,31 @@ def vocabulary(df: DataFrame, text: str, max_features: int) -> DataFrame:
 def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000) -> DataFrame:
     """Long matrix (key, term, tf, tfidf): smooth idf ln((1+n)/(1+df))+1, rows of unit L2 norm.
 
-    The vocabulary has at most ``max_features`` rows and is broadcast; words outside it never reach a shuffle.
+    The vocabulary has at most ``max_features`` terms, which the driver holds; terms are counted inside the row, so nothing
+    is grouped or shuffled unless a key repeats.
     """
     n_docs = df.count()
-    terms = vocabulary(df, text, max_features).withColumn(
-        "idf", F.log((1.0 + n_docs) / (1.0 + F.col("doc_frequency"))) + 1.0
-    )
-    counts = (
-        df.select(key, F.explode(X.words(F.col(text))).alias("term"))
-        .join(F.broadcast(terms.select("term", "idf")), "term")
-        .groupBy(key, "term", "idf")
-        .agg(F.count("*").alias("tf"))
-        .withColumn("_w", F.col("tf") * F.col("idf"))
-    )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return counts.withColumn("tfidf", F.col("_w") / norm).select(key, "term", "tf", "tfidf")
+    terms = vocabulary(df, text, max_features).collect()
+    idf = [math.log((1.0 + n_docs) / (1.0 + t["doc_frequency"])) + 1.0 for t in terms]
+    table = F.broadcast(df.sparkSession.createDataFrame(
+        [(i, t["term"], x) for i, (t, x) in enumerate(zip(terms, idf))], "_place int, term string, _idf double"))
+    # a model has at least one term, and no word is empty
+    counter = CountVectorizerModel.from_vocabulary([t["term"] for t in terms] or [""], inputCol="_words", outputCol="_tf")
+    scaler = ElementwiseProduct(scalingVec=Vectors.dense(idf or [1.0]), inputCol="_tf", outputCol="_weighted")
+    rows = df.select(key, F.coalesce(X.words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
+    for stage in (counter, scaler, Normalizer(p=2.0, inputCol="_weighted", outputCol="_unit")):
+        rows = stage.transform(rows)
+    found, unit = F.unwrap_udt(F.col("_tf")), F.unwrap_udt(F.col("_unit"))
+    entries = F.arrays_zip(found["indices"].alias("_place"), found["values"].cast("array<bigint>").alias("tf"),
+                           unit["values"].alias("tfidf"))
+    counts = rows.select(key, F.inline(entries)).toDF(key, "_place", "tf", "tfidf")
+    if not df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        # rows of one key are one document
+        whole = counts.groupBy(key, "_place").agg(F.sum("tf").alias("tf")).join(table, "_place")
+        weight = F.col("tf") * F.col("_idf")
+        norm = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(key)))
+        return whole.withColumn("tfidf", weight / norm).select(key, "term", "tf", "tfidf")
+    return counts.join(table, "_place").select(key, "term", "tf", "tfidf")
 
 
 def clean_column(df: DataFrame, text: str, excluded: Sequence[str] = (), target: str = "clean_text") -> DataFrame:

@@ -1,12 +1,14 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.functions.stemming import add_stems, stem_word
+from parley.functions.stemming import add_stems, stem_word, stemmed_words
 from parley.operators import language as G
 from parley.operators import words as W
 
@@ -98,3 +100,27 @@ def test_language_detection(spark):
     )
     got = dict(G.detect_language(new, profile, "text", "id").collect())
     assert got == {0: "en", 1: "fr", 2: None, 3: None, 4: None}
+
+
+def test_tfidf_counts_inside_the_row_and_merges_repeated_keys(spark):
+    """Nothing is grouped or shuffled where keys are unique; rows of one key are one document of the matrix."""
+    rows = [(1, "aa bb aa"), (2, "bb cc"), (3, None)]
+    once = W.tfidf(spark.createDataFrame(rows, "id int, text string"), "id", "text", 5)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange hash" not in plan
+    assert {(r["id"], r["term"]): r["tf"] for r in once.collect()} == {(1, "aa"): 2, (1, "bb"): 1, (2, "bb"): 1, (2, "cc"): 1}
+    again = W.tfidf(spark.createDataFrame([*rows, (1, "bb")], "id int, text string"), "id", "text", 5).collect()
+    assert {(r["id"], r["term"]): r["tf"] for r in again} == {(1, "aa"): 2, (1, "bb"): 2, (2, "bb"): 1, (2, "cc"): 1}
+    assert sum(r["tfidf"] ** 2 for r in again if r["id"] == 1) == pytest.approx(1)
+    assert W.tfidf(spark.createDataFrame([(1, "")], "id int, text string"), "id", "text", 5).count() == 0
+
+
+def test_stemming_holds_few_texts_at_once():
+    """The strings of a large batch are made slice by slice."""
+    texts = pa.array([None, "", *["running horses " * 150] * 5000])
+    tracemalloc.start()
+    (stemmed,) = stemmed_words.func(iter([texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stemmed[:3].to_pylist() == [None, "", ("run hors " * 150)] and len(stemmed) == len(texts)
+    assert peak < 6 << 20
