@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from parley.session import materialize
 
 #: Logits are rounded before ranking, so that sums in another order rank alike.
 LOGIT_DIGITS = 6
+#: Texts that a user's model gets at once.
+MODEL_ROWS = 512
 
 
 class Scorer(Protocol):
@@ -168,7 +171,7 @@ def loaded_model(load: Callable[[], Callable], pickled: bytes) -> Callable:
 
 @dataclass(frozen=True)
 class ModelScorer:
-    """A user's model, called on Arrow batches.
+    """A user's model, called on MODEL_ROWS texts at once, whatever the size of the Arrow batches.
 
     ``load`` is called once per Python worker and returns ``model(texts, labels) -> (entailment, contradiction)``, two
     lists of per-label lists.
@@ -185,13 +188,17 @@ class ModelScorer:
             df.schema.fields + [T.StructField("entailment", logits), T.StructField("contradiction", logits)]
         )
 
-        def run(batches):
-            model = loaded_model(load, pickled)
-            for batch in batches:
-                entailment, contradiction = model(batch[text].tolist(), labels)
-                yield batch.assign(entailment=list(entailment), contradiction=list(contradiction))
+        place = df.columns.index(text)
 
-        return df.mapInPandas(run, schema)
+        def run(batches):
+            model, lists = loaded_model(load, pickled), pa.list_(pa.float64())
+            for batch in (b.slice(s, MODEL_ROWS) for b in batches for s in range(0, b.num_rows, MODEL_ROWS)):
+                found = model(batch.column(place).to_pylist(), labels)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *[pa.array(list(logits), lists) for logits in found]],
+                    names=[*batch.schema.names, "entailment", "contradiction"])
+
+        return df.mapInArrow(run, schema)
 
 
 def scorer_for(

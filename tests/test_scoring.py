@@ -180,3 +180,14 @@ def test_user_metric_merges_states_of_tasks(spark):
         own = [(x, flag) for h, x, flag in rows if h == g]
         assert got.pop(g) == max(x for x, _ in own) - min(x for x, _ in own) + 1000 * sum(f for _, f in own)
     assert not got and M.user_metric(df.limit(0), spread, ["g"]).count() == 0
+
+
+def test_a_model_gets_few_texts_at_once(spark):
+    """Whatever the Arrow batches, and all rows come back with their own columns."""
+    def load():
+        return lambda texts, labels: ([[float(len(texts))]] * len(texts), [[float(len(t or ""))] for t in texts])
+
+    docs = spark.range(3000).repartition(1).selectExpr("id", "if(id % 7 = 0, null, repeat('x', int(id % 9))) AS text", "array(id) AS a")
+    rows = ModelScorer(["l"], load).score(docs, "text").collect()
+    assert max(r["entailment"][0] for r in rows) <= 512 and len(rows) == 3000
+    assert all(r["a"] == [r["id"]] and r["contradiction"] == [float(len(r["text"] or ""))] for r in rows)
