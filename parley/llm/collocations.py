@@ -65,6 +65,24 @@ def _stretches(text: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
     yield text[start:], 0
 
 
+def _sums(table: pa.Table, keys: list[str], sizes: list[int]) -> pa.Table:
+    """Distinct rows of ids below ``sizes``, in order, and how often each occurs."""
+    bits = [int(n).bit_length() for n in sizes]
+    if sum(bits) > 63:
+        return table.group_by(keys, use_threads=False).aggregate([([], "count_all")]).sort_by([(k, "ascending") for k in keys])
+    # rows that fit in one number are sorted as numbers
+    packed = np.zeros(table.num_rows, np.int64)
+    for key, width in zip(keys, bits):
+        packed = packed << width | table[key].to_numpy()
+    packed.sort()
+    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])) if len(packed) else np.zeros(0, np.int64)
+    counts, packed, columns = np.diff(np.append(first, len(packed))), packed[first], {}
+    for key, width in zip(reversed(keys), reversed(bits)):
+        columns[key] = (packed & ((1 << width) - 1)).astype(np.int32)
+        packed >>= width
+    return pa.table({**{key: columns[key] for key in keys}, "count_all": counts})
+
+
 def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest: int) -> pa.Table:
     """Columns head, last, n: the windows of stretches of text, sorted by their words.
 
@@ -101,7 +119,7 @@ def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest:
         from_end = np.cumsum(of_text)[text] - np.arange(len(text))
         table = table.filter(pa.array(from_end > np.array(uncounted)[text]))
     keys = list(columns)
-    sums = table.group_by(keys, use_threads=False).aggregate([([], "count_all")]).sort_by([(k, "ascending") for k in keys])
+    sums = _sums(table, keys, [max(len(languages.dictionary), 1), *[len(names)] * longest])
     head = pc.binary_join_element_wise(*[names.take(sums[k]) for k in keys[1:-1]], " ")
     head = pc.binary_join_element_wise(languages.dictionary.take(sums["lang"]), head, "\n")
     return pa.table([head, names.take(sums[keys[-1]]), sums["count_all"]], names=["head", "last", "n"])
@@ -139,7 +157,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     # windows that share all words but the last meet in one partition, where these are summed without another shuffle
     windows = partial.repartition("head").groupBy("head", "last").agg(F.sum("n").alias("n"))
     prefix = Window.partitionBy("head")
-    summed = windows.withColumns({"prefix_n": F.sum("n").over(prefix), "first": F.min("last").over(prefix)})
+    summed = windows.withColumns({"prefix_n": F.sum("n").over(prefix), "first": F.first("last").over(prefix)})
     one = F.when(F.col("first") == F.col("last"), F.struct(F.lit(None).cast("string").alias("last"), F.col("prefix_n").alias("n")))
     often = F.when((F.col("last") != "") & (F.col("n") >= min_count), F.struct("last", "n"))
     # a row for each prefix and each whole window that is found often enough

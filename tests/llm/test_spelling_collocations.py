@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,14 @@ def test_exact_scores_beyond_64_bits(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [9, 1 << 30])
+def test_window_sums_are_the_same_packed_or_grouped(size):
+    """Ids that fit in one number are summed as numbers, wider ones by columns."""
+    rng = np.random.default_rng(3)
+    keys, rows = ["a", "b", "c"], rng.integers(0, 9, (500, 3)).astype(np.int32)
+    sums = collocations._sums(pa.table(dict(zip(keys, rows.T))), keys, [size] * 3)
+    found, counts = np.unique(rows, axis=0, return_counts=True)
+    assert np.array_equal(np.column_stack([sums[k] for k in keys]), found) and sums["count_all"].to_pylist() == counts.tolist()
+    assert not collocations._sums(pa.table(dict(zip(keys, rows[:0].T))), keys, [size] * 3).num_rows
