@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 CACHE_SIZE = 250_000
 #: Characters that are encoded at once; results leave the worker at the same pace.
 BATCH_CHARS = 1 << 19
+#: Rows whose texts become Python strings at once, whatever the size of the Arrow batches.
+SLICE = 256
 #: Bytes of a slice up to which slices are merged side by side; longer ones use a heap.
 PLAIN_MERGE = 40
 LETTER, DIGIT, OTHER, APOSTROPHE_1, APOSTROPHE_2, LEADING_SPACE, LAST_BLANK, BLANK, END = range(9)
@@ -354,10 +357,10 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(content)
 
 
-def _in_batches(texts: pd.Series) -> Iterator[list[str]]:
+def _in_batches(texts: pa.Array) -> Iterator[list[str]]:
     """The texts in order, about BATCH_CHARS characters at a time; null texts as empty ones."""
     pending, held = [], 0
-    for text in texts:
+    for text in (text for start in range(0, len(texts), SLICE) for text in texts.slice(start, SLICE).to_pylist()):
         pending.append(text or "")
         held += len(pending[-1])
         if held >= BATCH_CHARS:
@@ -370,13 +373,13 @@ def _in_batches(texts: pd.Series) -> Iterator[list[str]]:
 def encoder(shared) -> Callable[[Column], Column]:
     """Function from a text column to binary ids, little-endian unsigned 32-bit."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared)
         try:
             for batch in batches:
                 for texts in _in_batches(batch):
-                    yield pd.Series(codec.encode(texts), dtype=object)
+                    yield pa.array(codec.encode(texts), pa.binary())
         finally:
             codec.forget()
 
@@ -389,14 +392,15 @@ def recoder(shared) -> Callable[[Column], Column]:
     One worker does both; an encoder and a decoder in one plan would need two for each task.
     """
 
-    @F.pandas_udf("ids binary, decoded binary")
-    def recode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<ids binary, decoded binary>")
+    def recode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared)
         try:
             for batch in batches:
                 for texts in _in_batches(batch):
                     ids = codec.encode(texts)
-                    yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]}, dtype=object)
+                    yield pa.StructArray.from_arrays(
+                        [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], names=["ids", "decoded"])
         finally:
             codec.forget()
 

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,11 @@ UNKNOWN = "und"
 #: Bits of a hash that name an n-gram (the filters use the first 40), and of a language or a text of a batch.
 GRAM_BITS, LANGUAGE_BITS = 43, 21
 #: Pairs of n-gram and language that a task holds.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Rows whose texts are in Python at once, whatever the size of the Arrow batches.
+SLICE = 256
+#: What is found of a text.
+FOUND = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("coverage", pa.float64())])
 #: One part in so many of the labelled rows is left out of a fit that measures coverage.
 PARTS = 4
 #: A floor lies this far below the least coverage measured.
@@ -103,8 +108,12 @@ def filter_rows(hashed: np.ndarray, k: int, rows: int) -> np.ndarray:
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts."""
-    found, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+    joined = np.concatenate(keys)
+    order = np.argsort(joined)
+    joined = joined[order]
+    first = np.flatnonzero(np.append(True, joined[1:] != joined[:-1])) if len(joined) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else first
+    return joined[first], sums
 
 
 def _pairs(keys: list[np.ndarray], counts: list[np.ndarray]) -> pd.DataFrame:
@@ -141,6 +150,16 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _pairs(keys, counts)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(start, SLICE) for batch in batches for start in range(0, batch.num_rows, SLICE))
+
+
+def _counted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per (n-gram, language) of Arrow batches of any size, read a slice at a time."""
+    for pairs in _counted(batch.to_pandas() for batch in _slices(batches)):
+        yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+
+
 def learned(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
             per_language: int | None = SAMPLE_PER_LANGUAGE) -> Filters:
     """Filters from labelled documents, from all of them if ``per_language`` is None.
@@ -163,7 +182,7 @@ def learned(docs: DataFrame, label: str = "lang", text: str = "text", key: str =
     expected, least = (F.get(F.array(*map(F.lit, values)), F.col("language")) for values in (
         used, [max(1.0, n / SAMPLE_PER_LANGUAGE) * MIN_DOCUMENTS for n in used]))
     # documents per language, as shares of documents
-    per_gram = (sample.mapInPandas(_counted, "gram long, language int, documents long")
+    per_gram = (sample.mapInArrow(_counted_slices, "gram long, language int, documents long")
                 .groupBy("gram", "language").agg(F.sum("documents").alias("documents"))
                 .filter(F.col("documents") >= least))
     share = F.col("documents") / expected
@@ -249,11 +268,13 @@ def predictor(docs: DataFrame, filters: Filters) -> Column:
     n-grams that the best language has) for the text column of a table."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double, coverage double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred string, score double, coverage double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = Judge(shared.value)
         for batch in batches:
-            yield judge.judge(list(batch))
+            found = [pa.RecordBatch.from_pandas(judge.judge(batch.slice(start, SLICE).to_pylist()), FOUND, False).to_struct_array()
+                     for start in range(0, max(len(batch), 1), SLICE)]
+            yield pa.concat_arrays(found)
 
     return predict
 

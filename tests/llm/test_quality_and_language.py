@@ -4,10 +4,11 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import language_id, quality, toxicity
+from parley.llm import bpe, language_id, quality, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{k % 997}" for k in range(120_000))
@@ -197,3 +198,31 @@ def test_toxicity_edge_cases(spark):
     rows = toxicity.scored(odd, model).orderBy("doc_id").collect()
     assert rows[0].score == rows[1].score and rows[3].score == rows[4].score > rows[0].score
     assert toxicity.scored(frame(spark, []), model).count() == 0
+
+
+def test_language_reads_an_arrow_batch_in_slices(monkeypatch):
+    texts = [f"some text number {k} with {'more ' * (k % 7)}words" for k in range(3 * language_id.SLICE + 5)]
+    batch = pa.RecordBatch.from_pydict({"language": pa.array([k % 2 for k in range(len(texts))], pa.int32()), "text": texts})
+    whole, sizes = pd.concat(language_id._counted(iter([batch.to_pandas()]))), []
+    counted = language_id._counted
+    monkeypatch.setattr(language_id, "_counted", lambda frames: counted(sizes.append(len(f)) or f for f in frames))
+    parts = pa.Table.from_batches(language_id._counted_slices(iter([batch]))).to_pandas()
+    assert max(sizes) <= language_id.SLICE and sum(sizes) == len(texts)
+    keys = ["gram", "language"]
+    assert parts.groupby(keys)["documents"].sum().equals(whole.groupby(keys)["documents"].sum())
+
+
+def test_bpe_reads_an_arrow_batch_in_slices(monkeypatch):
+    read = []
+
+    class Texts:
+        def __len__(self):
+            return 1000
+
+        def slice(self, start, length):
+            read.append(length)
+            return pa.array([f"{k} " * 300 if k % 5 else None for k in range(start, min(start + length, 1000))])
+
+    found = list(bpe._in_batches(Texts()))
+    assert sum(map(len, found)) == 1000 and len(found) > 1 and max(read) <= bpe.SLICE
+    assert [t for part in found for t in part][:2] == ["", "1 " * 300]
