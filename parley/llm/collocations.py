@@ -4,9 +4,10 @@ Texts are split into pieces at punctuation and line ends and the pieces into wor
 and, as lead columns, the next words of its piece, padded with '' past the end. Only these longest windows are counted, in
 each task before the shuffle. The counts of all shorter phrases are sums over them: a phrase occurs as often as the windows
 that start with it. Windows are shuffled by all their words but the last, so whole windows and the prefixes one word shorter
-are summed in place; a ROLLUP of these sums gives all shorter prefixes and, at its top, the words of a language. (A ROLLUP
-over the windows themselves would shuffle each window once more for the prefix level.) Tasks hand on their windows in order,
-so that rows with common words lie together and compress well.
+are summed in place. Of a prefix only its share in the one a word shorter is handed on unless it is found often enough; a
+ROLLUP of these sums gives all shorter prefixes and, at its top, the words of a language. (A ROLLUP over the windows themselves
+would shuffle each window once more for the prefix level.) Tasks hand on their windows in order, so that rows with common words
+lie together and compress well.
 
 A phrase is scored by the worst of its cuts in two: floor(1000000 * a * a / (l * r)) in exact decimal numbers, where a, l and
 r are the counts of the phrase and its parts, for texts of fewer than 10^16 words. Only phrases found MIN_COUNT times are
@@ -156,20 +157,26 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     partial = rows.mapInArrow(_windows(longest), "head string, last string, n long")
     # windows that share all words but the last meet in one partition, where these are summed without another shuffle
     windows = partial.repartition("head").groupBy("head", "last").agg(F.sum("n").alias("n"))
-    prefix = Window.partitionBy("head")
-    summed = windows.withColumns({"prefix_n": F.sum("n").over(prefix), "first": F.first("last").over(prefix)})
-    one = F.when(F.col("first") == F.col("last"), F.struct(F.lit(None).cast("string").alias("last"), F.col("prefix_n").alias("n")))
-    often = F.when((F.col("last") != "") & (F.col("n") >= min_count), F.struct("last", "n"))
-    # a row for each prefix and each whole window that is found often enough
-    kept = summed.select("head", F.inline(F.array_compact(F.array(one, often))))
+    none = F.lit(None).cast("string").alias("last")
+    prefix, window = F.struct(none, "n"), F.struct("last", "n")
+    often = (F.col("last") != "") & (F.col("n") >= min_count)
+    # each window adds to its prefix, still without another shuffle; whole windows stay if they are found often enough
+    summed = windows.select("head", F.inline(F.when(often, F.array(prefix, window)).otherwise(F.array(prefix))))
+    summed = summed.groupBy("head", "last").agg(F.sum("n").alias("n"))
+    # so does each prefix to the one a word shorter, which is all that is left of a rare one
+    dropped = F.length(F.substring_index("head", " " if longest > 2 else "\n", -1)) + (1 if longest > 2 else 0)
+    itself = F.struct("head", "last", F.when(F.col("last").isNull(), longest - 1).otherwise(longest).alias("size"), "n")
+    short = F.struct(F.left("head", F.length("head") - dropped).alias("head"), none, F.lit(longest - 2).alias("size"), "n")
+    rows = F.when(F.col("last").isNotNull(), F.array(itself)).when(F.col("n") >= min_count, F.array(itself, short))
+    kept = summed.select(F.inline(rows.otherwise(F.array(short)))).groupBy("head", "last", "size").agg(F.sum("n").alias("n"))
     kept = materialize(kept, "windows")
     parts = F.split(F.substring_index("head", "\n", -1), " ")
     language = F.substr("head", F.lit(1), F.length("head") - F.length(F.substring_index("head", "\n", -1)) - 1)
     kept = kept.select(language.alias("lang"), *[F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(words[:-1])],
-                       F.col("last").alias(words[-1]), "n")
-    windows, prefixes = (kept.filter(F.col(words[-1]).isNotNull()), kept.filter(F.col(words[-1]).isNull()).drop(words[-1]))
+                       F.col("last").alias(words[-1]), "size", "n")
+    windows, prefixes, shorter = (kept.filter(F.col("size") == longest - k).drop("size") for k in range(3))
     level = F.lit(longest - 2) - F.bit_count(F.grouping_id())
-    shorter = prefixes.rollup("lang", *words[:-2]).agg(F.sum("n").alias("n"), level.alias("size")).filter("size >= 0")
+    shorter = shorter.rollup("lang", *words[:-2]).agg(F.sum("n").alias("n"), level.alias("size")).filter("size >= 0")
 
     def found(sums: DataFrame, size: Column, names: list[str]) -> DataFrame:
         rows = sums.select("lang", F.concat_ws(" ", *[F.col(w) for w in names]).alias("phrase"), size.alias("size"), "n",

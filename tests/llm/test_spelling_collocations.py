@@ -191,3 +191,14 @@ def test_window_sums_are_the_same_packed_or_grouped(size):
     found, counts = np.unique(rows, axis=0, return_counts=True)
     assert np.array_equal(np.column_stack([sums[k] for k in keys]), found) and sums["count_all"].to_pylist() == counts.tolist()
     assert not collocations._sums(pa.table(dict(zip(keys, rows[:0].T))), keys, [size] * 3).num_rows
+
+
+def test_rare_prefixes_are_not_written(spark, monkeypatch):
+    """Of prefixes below the least count only the words they start with are written, not a row each."""
+    rows, write = {}, collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, name: rows.setdefault(name, write(df, name)))
+    docs = [("en", " ".join(f"a{j % 20} b{(j * 7 + k) % 90}" for j in range(60))) for k in range(20)]
+    table = spark.createDataFrame(docs, "lang string, text string")
+    got = collocations.collocations(table, longest=3, min_count=1000, limit=60)
+    assert got.count() == 0 and rows["windows"].count() == 110
+    assert rows["windows"].filter("size = 1").agg(F.sum("n")).first()[0] == 20 * 120
