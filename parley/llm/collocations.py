@@ -89,6 +89,25 @@ def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest:
 
     The head is the language, a line end, and the words but the last, which are joined by blanks; no word holds either.
     """
+    return pa.Table.from_batches(_named(*_numbered(langs, texts, uncounted, longest)))
+
+
+def _named(sums: pa.Table, languages: pa.Array, names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The windows with their words, ROWS at a time, so that the strings of all of them never lie side by side."""
+    words = [c for c in sums.column_names if c.startswith("w")]
+    for part in (sums.slice(start, ROWS).combine_chunks() for start in range(0, max(sums.num_rows, 1), ROWS)):
+        taken = {k: names.take(_whole(part[k])) for k in words}
+        head = pc.binary_join_element_wise(*[taken[k] for k in words[:-1]], " ")
+        head = pc.binary_join_element_wise(languages.take(_whole(part["lang"])), head, "\n")
+        yield pa.RecordBatch.from_arrays([head, taken[words[-1]], _whole(part["count_all"])], names=["head", "last", "n"])
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _numbered(langs: list[str], texts: list[bytes], uncounted: list[int], longest: int) -> tuple[pa.Table, pa.Array, pa.Array]:
+    """The distinct windows as numbers of languages and words, in order, how often each occurs, and the two lists of names."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     kinds = CLASS[data]
     inside = np.concatenate([[False], kinds == 0, [False]])
@@ -121,9 +140,7 @@ def counted(langs: list[str], texts: list[bytes], uncounted: list[int], longest:
         table = table.filter(pa.array(from_end > np.array(uncounted)[text]))
     keys = list(columns)
     sums = _sums(table, keys, [max(len(languages.dictionary), 1), *[len(names)] * longest])
-    head = pc.binary_join_element_wise(*[names.take(sums[k]) for k in keys[1:-1]], " ")
-    head = pc.binary_join_element_wise(languages.dictionary.take(sums["lang"]), head, "\n")
-    return pa.table([head, names.take(sums[keys[-1]]), sums["count_all"]], names=["head", "last", "n"])
+    return sums, languages.dictionary, names
 
 
 def _windows(longest: int):
@@ -137,10 +154,10 @@ def _windows(longest: int):
                     uncounted.append(left)
                     held += len(text)
                     if held >= CHUNK:
-                        yield from counted(langs, texts, uncounted, longest).to_batches(ROWS)
+                        yield from _named(*_numbered(langs, texts, uncounted, longest))
                         langs, texts, uncounted, held = [], [], [], 0
         if texts:
-            yield from counted(langs, texts, uncounted, longest).to_batches(ROWS)
+            yield from _named(*_numbered(langs, texts, uncounted, longest))
 
     return count
 
