@@ -48,11 +48,13 @@ def _looked_up(items: pa.ListArray, names: pa.Array, table: np.ndarray) -> pa.St
 
 
 def with_weight_sums(
-    df: DataFrame, text: str, items: Callable[[Column], Column], weights: DataFrame, key: str, width: int
+    df: DataFrame, text: str, items: Callable[[Column], Column], weights: DataFrame, key: str, width: int,
+    cut: Callable[[pa.Array], pa.ListArray] | None = None,
 ) -> DataFrame:
     """``df`` with ``_sums`` (per position the sum of the weights of all items of a text) and ``_known`` (items with weights).
 
-    ``weights`` has columns item, n (its frequency) and w (array of ``width`` doubles).
+    ``weights`` has columns item, n (its frequency) and w (array of ``width`` doubles). With ``cut``, ``items`` gives texts and
+    ``cut`` the items of a slice of them.
     """
     short = F.length("item") <= ITEM_CHARS
     top = weights.where(short).orderBy(F.desc("n"), "item").limit(FREQUENT_ITEMS).select("item", "n", "w").toArrow()
@@ -64,8 +66,8 @@ def with_weight_sums(
     def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, table = shared.value
         for batch in batches:
-            parts = [_looked_up(batch.slice(s, SLICE), names, table) for s in range(0, max(len(batch), 1), SLICE)]
-            yield pa.concat_arrays(parts)
+            slices = (batch.slice(s, SLICE) for s in range(0, max(len(batch), 1), SLICE))
+            yield pa.concat_arrays([_looked_up(cut(part) if cut else part, names, table) for part in slices])
 
     looked = summed(items(F.col(text)))
     if weights.count() == len(names):

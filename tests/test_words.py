@@ -124,3 +124,21 @@ def test_stemming_holds_few_texts_at_once():
     tracemalloc.stop()
     assert stemmed[:3].to_pylist() == [None, "", ("run hors " * 150)] and len(stemmed) == len(texts)
     assert peak < 6 << 20
+
+
+def test_trigrams_are_counted_in_the_task(spark):
+    """No row a trigram leaves a task; counts and lists equal plain Python, beyond the basic plane too."""
+    texts = [("en", "Abc abcabc 12 d"), ("fr", "\U00010400été été"), ("en", None), ("en", ""), ("xx", "abc"), ("fr", "a")]
+    rows = spark.createDataFrame(texts, "lang string, text string")
+    counts = G.profile_counts(rows, "text", "lang", ["en", "fr"])
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    plain = [(lang, " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " ") for lang, t in texts if t is not None]
+    plain = [(lang, " ".join(["", *t.split(), ""]) if t.strip() else "  ") for lang, t in plain]
+    expected = {}
+    for lang, t in plain:
+        for g in (t[i:i + 3] for i in range(len(t) - 2) if lang != "xx"):
+            n = expected.setdefault(g, [0, 0])
+            n[lang == "fr"] += 1
+    assert {r["gram"]: [r["n0"], r["n1"]] for r in counts.collect()} == expected
+    lists = G.trigram_lists(pa.array([t for _, t in plain] + [None])).to_pylist()
+    assert lists == [[t[i:i + 3] for i in range(len(t) - 2)] for _, t in plain] + [[]]
