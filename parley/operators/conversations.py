@@ -141,7 +141,7 @@ def exclude_phrases(
 ) -> DataFrame:
     """Drop rows whose text holds any phrase; a NULL text is kept.
 
-    Phrases are a list, or a table of any size with a column ``phrase``, which is looked up through an index of its q-grams.
+    Phrases are a list, or a table of any size with a column ``phrase``, whose phrases are joined with windows of the texts.
     On a stream a table must hold at most PHRASE_LIMIT phrases; a larger one is for ``without_phrases`` in a foreachBatch.
     """
     if isinstance(phrases, DataFrame):

@@ -171,6 +171,33 @@ def test_100_000_phrases(spark):
     assert got == {i for i in range(0, 2000, 2) if i * 77 < 100_000}
 
 
+def test_phrase_lookups_do_not_grow_with_texts_times_phrases(spark, monkeypatch):
+    # every text holds 20 phrases; what is written and joined is one window of each
+    written = []
+    monkeypatch.setattr(P, "materialize", lambda df, purpose: written.append(materialize(df, purpose)) or written[-1])
+    phrases = spark.range(500).selectExpr("concat('phrase ', id) AS phrase")
+    rows = spark.range(200).selectExpr("id", """concat_ws(', ', transform(sequence(1, 20), i -> concat(
+        if(id < 190, 'phrase ', 'phase '), (id * i) % 500))) AS text""")
+    assert sorted(r["id"] for r in P.with_phrase_hits(rows, "text", phrases).where("not _held").collect()) == list(range(190, 200))
+    for table in written:
+        assert table.count() <= 500
+        for f in table.schema.fields:
+            if f.dataType.typeName() == "array":
+                assert (table.agg(F.sum(F.size(f.name))).first()[0] or 0) <= 200
+
+
+def test_phrases_and_texts_of_any_length(spark):
+    long = "".join(chr(0x4E00 + i) for i in range(5000))
+    texts = ["y" * (P.CHUNK - 500) + long + "z", "y" * (P.CHUNK - 3) + "needle" + "y" * 10, long[:P.KEY_CHARS + 10],
+             long[:P.KEY_CHARS], long[1:], "needl" + "y" * 300_000 + "e", "e"]
+    phrases = [long, "needle", long[1:P.KEY_CHARS + 1] + "?", long[5:P.KEY_CHARS + 5] + "!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    assert {r["id"] for r in P.rows_with_phrases(rows, "text", table).collect()} == {0, 1}
+    short = spark.createDataFrame([(long[:P.KEY_CHARS],)], "phrase string")
+    assert {r["id"] for r in P.rows_with_phrases(rows, "text", table.union(short)).collect()} == {0, 1, 2, 3}
+
+
 def test_a_row_of_100_000_messages_is_numbered_and_paired(spark):
     n = 100_000
     row = spark.range(1).select(
