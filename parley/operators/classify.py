@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parley.functions import arrays as A
 from parley.functions import text as X
 from parley.operators.curation import literal_map
-from parley.operators.scoring import Scorer
+from parley.operators.scoring import NaiveBayesScorer, Scorer, score_together
 
 SCORE_DIGITS = 3
 
@@ -157,6 +157,24 @@ def classify_binary_column(
     )
 
 
+def classify_binary_columns(
+    df: DataFrame, models: Mapping[str, tuple[NaiveBayesScorer, Mapping[int, str]]], text: str, key: str
+) -> DataFrame:
+    """``classify_binary_column`` by several models, each a scorer and its label map under a suffix; the texts are read once."""
+    out = score_together(df, {f"_{suffix}": scorer for suffix, (scorer, _) in models.items()}, text, key)
+    for suffix, (_, label_map) in models.items():
+        logits = {name: f"{name}_{suffix}" for name in ("entailment", "contradiction")}
+        kept = [c for c in out.columns if c not in logits.values()]
+        p0, p1 = F.col("_p0"), F.col("_p1")
+        out = A.pinned(
+            _with_scores(out.withColumnsRenamed({own: name for name, own in logits.items()}), 2, False),
+            kept,
+            **{f"pred_label_{suffix}": F.element_at(literal_map(label_map), F.when(p1 > p0, 1).otherwise(0)),
+               f"prob_{suffix}": F.greatest(p0, p1)},
+        )
+    return out
+
+
 def correctness(true: Column, predicted: Column) -> Column:
     """1 where both are equal, else 0."""
     return F.coalesce((true == predicted).cast("int"), F.lit(0))

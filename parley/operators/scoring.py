@@ -7,8 +7,9 @@ of all labels stay in the row of their text, so scoring needs no pairs of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
@@ -99,16 +100,31 @@ class NaiveBayesScorer:
 
     def score(self, df: DataFrame, text: str, key: str) -> DataFrame:
         """Sums of the words' weights, taken inside the row; the text stays in it."""
-        ks = range(len(self.labels))
-        table = self.weights.select(
-            F.col("word").alias("item"), "n", F.array(*[F.col(f"{p}{i}") for p in "ec" for i in ks]).alias("w"))
-        summed = with_weight_sums(df, text, X.words, table, key, 2 * len(self.labels))
-        sums, size = F.col("_sums"), len(self.labels)
-        return summed.select(
-            *df.columns,
-            F.array(*[rounded(sums[i] + self.log_prior[i]) for i in ks]).alias("entailment"),
-            F.array(*[rounded(sums[size + i] + self.log_prior_rest[i]) for i in ks]).alias("contradiction"),
-        )
+        return score_together(df, {"": self}, text, key)
+
+
+def score_together(df: DataFrame, scorers: Mapping[str, NaiveBayesScorer], text: str, key: str) -> DataFrame:
+    """``df`` with ``entailment`` and ``contradiction`` of several scorers, each under its suffix.
+
+    A word has one row with its weights for all scorers, so the texts are cut into words and summed once, whatever the number
+    of scorers; a scorer that has not seen a word gives it the weight 0.
+    """
+    width = 2 * sum(len(s.labels) for s in scorers.values())
+    tables, logits, start = [], [], 0
+    for suffix, scorer in scorers.items():
+        size = len(scorer.labels)
+        own = [F.col(f"{p}{i}") for p in "ec" for i in range(size)]
+        padded = [F.lit(0.0)] * start + own + [F.lit(0.0)] * (width - start - 2 * size)
+        tables.append(scorer.weights.select(F.col("word").alias("item"), "n", F.array(*padded).alias("w")))
+        priors = (("entailment", start, scorer.log_prior), ("contradiction", start + size, scorer.log_prior_rest))
+        logits += [F.array(*[rounded(F.col("_sums")[at + i] + prior[i]) for i in range(size)]).alias(name + suffix)
+                   for name, at, prior in priors]
+        start += 2 * size
+    table = tables[0]
+    if len(tables) > 1:
+        table = materialize(reduce(DataFrame.unionByName, tables).groupBy("item").agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(F.col("w")[k]) for k in range(width)]).alias("w")), "weights")
+    return with_weight_sums(df, text, X.words, table, key, width).select(*df.columns, *logits)
 
 
 def naive_bayes_counts(
@@ -132,10 +148,29 @@ def fit_naive_bayes(
     rows = dict(
         train.where(F.col(category).isin(labels)).groupBy(category).agg(F.count("*")).collect()
     )
+    counts = materialize(naive_bayes_counts(train, text, category, labels, vocab_size), "word-counts")
+    return _from_counts(counts, labels, rows)
+
+
+def fit_naive_bayes_together(train: DataFrame, text: str, classes: Mapping[str, Sequence[str]]) -> dict[str, NaiveBayesScorer]:
+    """``fit_naive_bayes`` of several category columns, each with its labels, by grouped counts of one pass over the words."""
+    known = {c: F.col(c).isin(list(labels)) for c, labels in classes.items()}
+    rows = {c: dict(train.where(known[c]).groupBy(c).agg(F.count("*")).collect()) for c in classes}
+    tokens = train.where(reduce(Column.__or__, known.values())).select(*classes, F.explode(X.words(F.col(text))).alias("word"))
+    counted = [F.count_if(known[c]).alias(f"n_{j}") for j, c in enumerate(classes)]
+    counted += [F.count_if(F.col(c) == label).alias(f"n{i}_{j}")
+                for j, c in enumerate(classes) for i, label in enumerate(classes[c])]
+    counts = materialize(tokens.groupBy("word").agg(*counted), "word-counts")
+    return {c: _from_counts(counts.where(f"n_{j} > 0").select(
+        "word", F.col(f"n_{j}").alias("n"), *[F.col(f"n{i}_{j}").alias(f"n{i}") for i in range(len(classes[c]))]),
+        list(classes[c]), rows[c]) for j, c in enumerate(classes)}
+
+
+def _from_counts(counts: DataFrame, labels: list[str], rows: Mapping[str, int]) -> NaiveBayesScorer:
+    """The scorer of counted words and of the number of rows per label."""
     total = sum(rows.values())
     # one more row per class, so that a class without rows keeps a finite prior
     share = [(rows.get(label, 0) + 1) / (total + len(labels)) for label in labels]
-    counts = materialize(naive_bayes_counts(train, text, category, labels, vocab_size), "word-counts")
     ks = range(len(labels))
     sums = counts.agg(F.count("*").alias("size"), F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in ks])
     whole = {c: v or 0 for c, v in sums.first().asDict().items()}

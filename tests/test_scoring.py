@@ -10,6 +10,7 @@ from parley.operators.scoring import (
     HypothesisOverlapScorer,
     ModelScorer,
     fit_naive_bayes,
+    fit_naive_bayes_together,
     loaded_model,
     python_trigrams,
     scorer_for,
@@ -191,3 +192,33 @@ def test_a_model_gets_few_texts_at_once(spark):
     rows = ModelScorer(["l"], load).score(docs, "text").collect()
     assert max(r["entailment"][0] for r in rows) <= 512 and len(rows) == 3000
     assert all(r["a"] == [r["id"]] and r["contradiction"] == [float(len(r["text"] or ""))] for r in rows)
+
+
+@pytest.mark.parametrize("frequent", [3, 1 << 16])
+def test_models_fitted_and_scored_together_equal_single_ones(spark, monkeypatch, frequent):
+    rows = [(i, f"common w{i % 7} x{i} " + "rare " * (i % 3), "a" if i % 2 else "b", ["c", "d", None][i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows + [(40, None, "a", "c"), (41, "only of none", None, None), (42, "", "b", None)],
+                               "id int, text string, p string, q string")
+    monkeypatch.setattr(lookup, "FREQUENT_ITEMS", frequent)
+    names = {"p": {0: "a", 1: "b"}, "q": {0: "c", 1: "d"}}
+    fitted = fit_naive_bayes_together(df, "text", {c: list(of.values()) for c, of in names.items()})
+    docs = df.select("id", "text")
+    got = K.classify_binary_columns(docs, {c: (fitted[c], names[c]) for c in names}, "text", "id")
+    want = docs
+    for c, of in names.items():
+        alone = fit_naive_bayes(df, "text", c, list(of.values()))
+        assert sorted(fitted[c].weights.collect()) == sorted(alone.weights.collect()) and fitted[c].log_prior == alone.log_prior
+        want = K.classify_binary_column(want, alone, "text", "id", c, of)
+    assert got.columns == want.columns and sorted(got.collect(), key=lambda r: r["id"]) == sorted(want.collect(), key=lambda r: r["id"])
+
+
+def test_documents_are_read_once_to_fit_and_once_to_score_two_models(spark, monkeypatch):
+    from parley.functions import text as T
+    from parley.plans import classification_queries as Q
+
+    cut = []
+    words = T.words
+    monkeypatch.setattr(T, "words", lambda c: cut.append(c) or words(c))
+    assert Q.label_pairs(spark, "/root/testdata/sf0.001").columns == [
+        "doc_id", "text", "pred_label_rq", "prob_rq", "pred_label_tl", "prob_tl"]
+    assert len(cut) == 2
