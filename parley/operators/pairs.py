@@ -28,11 +28,13 @@ from parley.session import materialize
 #: Marks in front of words of the hypothesis and of words found in both texts; words hold no blank.
 OF_HYPOTHESIS, OF_BOTH = "h ", "b "
 CLASSES = (ENTAILMENT, CONTRADICTION)
+#: Column of the words of a premise.
+PREMISE_WORDS = "_premise_words"
 
 
-def pair_items(premise: Column, hypothesis: Column) -> Column:
-    """Words of the premise, marked words of the hypothesis, and each word found in both once, marked."""
-    left, right = X.words(premise), X.words(hypothesis)
+def pair_items(left: Column, hypothesis: Column) -> Column:
+    """Words of the premise as given, marked words of the hypothesis, and each word found in both once, marked."""
+    right = X.words(hypothesis)
     return F.concat(
         left,
         F.transform(right, lambda w: F.concat(F.lit(OF_HYPOTHESIS), w)),
@@ -40,6 +42,17 @@ def pair_items(premise: Column, hypothesis: Column) -> Column:
     )
 
 
+def with_premise_words(df: DataFrame, premise: str) -> DataFrame:
+    """Add the words of the premise. Called before rows are repeated for several hypotheses, a text is cut into words once."""
+    return df.withColumn(PREMISE_WORDS, X.words(F.col(premise)))
+
+
+def with_pair_items(rows: DataFrame, premise: str, hypothesis: str, target: str) -> DataFrame:
+    """Add the items of the pair; the words of the premise are taken from ``with_premise_words`` where it was called."""
+    known = rows if PREMISE_WORDS in rows.columns else with_premise_words(rows, premise)
+    return known.withColumn(target, pair_items(F.col(PREMISE_WORDS), F.col(hypothesis))).drop(PREMISE_WORDS)
+
+
 class PairModel(Protocol):
     def premise_logits(self, df: DataFrame, text: str, key: str) -> DataFrame:
         """``df`` with ``_premise``: logits of entailment and contradiction without a hypothesis."""
@@ -103,7 +116,8 @@ class CountedPairModel:
 def pair_counts(rows: DataFrame, premise: str, hypothesis: str, label: str = "labels") -> DataFrame:
     """Per item of the pairs its count in entailments (n0), in contradictions (n1) and in both (n)."""
     known = rows.where(F.col(label).isin(list(CLASSES)))
-    items = known.select(F.col(label).alias("label"), F.explode(pair_items(F.col(premise), F.col(hypothesis))).alias("item"))
+    paired = with_pair_items(known, premise, hypothesis, "_items")
+    items = paired.select(F.col(label).alias("label"), F.explode("_items").alias("item"))
     return items.groupBy("item").agg(F.count("*").alias("n"), *[
         F.count_if(F.col("label") == c).alias(f"n{k}") for k, c in enumerate(CLASSES)])
 

@@ -10,7 +10,7 @@ from parley.operators import classify as K
 from parley.operators import curation as Q
 from parley.operators import metrics as M
 from parley.operators import nli as N
-from parley.operators.pairs import PairScorer, fit_pair_bayes
+from parley.operators.pairs import PairScorer, fit_pair_bayes, with_premise_words
 from parley.operators.scoring import HypothesisOverlapScorer, ModelScorer, fit_naive_bayes, fit_naive_bayes_together
 from parley.plans import fixtures as X
 from parley.plans import oracle_parts as P
@@ -352,7 +352,7 @@ def evaluation_pair_model(spark, sf):
     """A model of premise and hypothesis pairs, fitted on entailments and contradictions, ranks the labels of test texts."""
     rows, labels = evaluation_rows(spark, sf)
     train = Q.entailments(X.nli(spark, sf)).where("split = 'train'")
-    made = N.contradiction_rows(train, "seq", LABELS, 2)
+    made = N.contradiction_rows(with_premise_words(train, "text"), "seq", LABELS, 2)
     scorer = PairScorer(labels, fit_pair_bayes(made, "text", "hypothesis"))
     predicted = K.predict(rows, scorer, "text", "seq")
     return round_metrics(M.metrics_bundle(M.prediction_counts(predicted, "category", "predicted_class")))

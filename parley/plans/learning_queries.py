@@ -12,6 +12,7 @@ from parley.operators import metrics as M
 from parley.operators import nli as N
 from parley.operators import training as R
 from parley.operators import words as W
+from parley.operators.pairs import with_premise_words
 from parley.operators.scoring import fit_naive_bayes, naive_bayes_counts
 from parley.plans import fixtures as X
 from parley.plans import oracle_parts as P
@@ -49,7 +50,8 @@ def nb_weights(spark, sf):
 # ---- logistic regression on pair features ------------------------------------------------------------------------
 
 def pair_rows(spark, sf):
-    rows = N.contradiction_rows(Q.entailments(X.nli(spark, sf)), "seq", LABELS, 2)
+    texts = with_premise_words(Q.entailments(X.nli(spark, sf)), "text")
+    rows = N.contradiction_rows(texts, "seq", LABELS, 2)
     features = R.pair_features(rows, "text", "hypothesis")
     return materialize(features.select("seq", "pos", "split", "labels", "features"), "pair-features")
 

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parley.api import LabelClassifier
-from parley.operators import lookup, pairs, training
+from parley.operators import lookup, nli, pairs, training
 from parley.schemas import CONTRADICTION, ENTAILMENT
 
 LABELS = ["sports", "music law", "{odd}"]
@@ -92,3 +92,23 @@ def test_classifier_ranks_by_a_pair_scorer(spark, rows):
 def test_no_training_rows(spark, rows):
     scorer = pairs.PairScorer(LABELS, pairs.fit_pair_bayes(rows.limit(0), "text", "hypothesis"), TEMPLATE)
     assert all(e == c for scores in logits(scorer.score(texts(spark), "text", "id")).values() for e, c in scores)
+
+
+def test_a_text_is_cut_into_words_once_for_all_its_hypotheses(spark, rows):
+    texts = rows.select("id", "text").distinct().withColumn("category", F.lit("b"))
+    made = nli.contradiction_rows(pairs.with_premise_words(texts, "text"), "id", ["a", "b", "c d"], 2)
+    features = training.pair_features(made, "text", "hypothesis", 1 << 8)
+    plain = training.pair_features(nli.contradiction_rows(texts, "id", ["a", "b", "c d"], 2), "text", "hypothesis", 1 << 8)
+    assert features.columns == plain.columns and features.exceptAll(plain).isEmpty() and plain.exceptAll(features).isEmpty()
+    plan = features.select("features")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text") == 1
+    assert plan.index("posexplode") < plan.index("regexp_extract_all(lower(text")  # below, so before rows are repeated
+
+
+def test_a_search_fits_each_setting_once_on_the_drawn_rows(spark, rows, monkeypatch):
+    fitted, fit = [], training.LogisticRegression._fit
+    monkeypatch.setattr(training.LogisticRegression, "_fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    features = training.pair_features(rows, "text", "hypothesis", 1 << 8)
+    trials = training.search_settings(features, [{"regParam": 0.1}, {"regParam": 0.01}]).collect()
+    assert sorted(r["run_id"] for r in trials) == ["trial-0", "trial-1"] and all(0 <= r["value"] <= 1 for r in trials)
+    assert len(fitted) == 2 and len(set(fitted)) == 1 and 0 < fitted[0] < features.count()
