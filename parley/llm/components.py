@@ -64,3 +64,25 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
             above[max(p, q)] = min(p, q)
             kept.append((x, y))
     return kept
+
+
+def spanning(a: np.ndarray, b: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that connect what links (a, b) of nodes 0..n-1 connect, and the groups after them.
+
+    ``tops`` gives each node the smallest node of its group so far. A link is left out if its ends are in one group, so all
+    calls together keep fewer links than there are nodes.
+    """
+    kept = []
+    while len(at := np.flatnonzero(tops[a] != tops[b])):
+        p, q = tops[a[at]], tops[b[at]]
+        high, low = np.maximum(p, q), np.minimum(p, q)
+        # each group with a smaller neighbour joins the smallest of them
+        order = np.lexsort((low, high))
+        first = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+        kept.append(at[first])
+        above = np.arange(len(tops))
+        above[high[first]] = low[first]
+        while (above[above] != above).any():
+            above = above[above]
+        tops = above[tops]
+    return np.concatenate(kept) if kept else np.empty(0, np.int64), tops

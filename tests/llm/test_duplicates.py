@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pytest
 
+from disk import written
 from parley.llm import near_dedup, vector_dedup
-from parley.llm.components import components, forest
+from parley.llm.components import components, forest, spanning
 
 
 def reachable(nodes, links):
@@ -187,3 +188,38 @@ def test_forest_connects_what_the_links_connect():
     a, b = rng.integers(0, 60, 90), rng.integers(0, 60, 90)
     kept = forest(a, b, 60)
     assert reachable(range(60), kept) == reachable(range(60), list(zip(a.tolist(), b.tolist()))) and len(kept) < 60
+
+
+def test_what_is_written_does_not_grow_with_the_probes(spark, monkeypatch):
+    """100 lists, of which a vector asks many: with a copy of it for each, 18 times the input was written."""
+    monkeypatch.setattr(vector_dedup, "ROWS_PER_LIST", 30)
+    vectors = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    assert written(spark, lambda: vector_dedup.deduplicated(rows).collect()) < 5 * vectors.nbytes
+
+
+def test_passes_over_single_lists_and_pieces_of_them_equal_brute_force(spark, monkeypatch):
+    """Lists are read some at a time, and one that is larger than a pass in pieces; equal vectors count as often as they occur."""
+    monkeypatch.setattr(vector_dedup, "ROWS_PER_LIST", 100)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    monkeypatch.setattr(vector_dedup, "CHUNK_BYTES", 400 * 8 * 16)
+    monkeypatch.setattr(vector_dedup, "PLAIN_ROWS", 100)
+    vectors = groups(np.random.default_rng(6), 900, 16)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vector_dedup.deduplicated(rows.repartition(3)).collect()}
+    links, labels = brute(vectors)
+    assert {k: r.n_links for k, r in got.items()} == dict(enumerate(links.tolist()))
+    assert {k: r.component_id for k, r in got.items()} == labels
+
+
+def test_spanning_links_connect_what_the_links_connect_over_several_calls():
+    rng = np.random.default_rng(5)
+    tops, kept, links = np.arange(300), [], []
+    for _ in range(5):
+        a, b = rng.integers(0, 300, 60), rng.integers(0, 300, 60)
+        at, tops = spanning(a, b, tops)
+        kept += [(int(a[k]), int(b[k])) for k in at]
+        links += zip(a.tolist(), b.tolist())
+    want = reachable(range(300), links)
+    assert dict(enumerate(tops.tolist())) == want == reachable(range(300), kept)
+    assert len(kept) == 300 - len(set(want.values()))
