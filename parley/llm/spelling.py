@@ -10,6 +10,9 @@ Neighbourhoods grow with the square of a word's length in bytes, so words of mor
 exactly: one edit leaves the first or the last half of the shorter word as it is, so words of a length that share a half, and
 words one apart in length that share a half of the shorter, are verified.
 
+Both sides of every join grow with the vocabulary, and Spark's estimate of a side forgets what an explode adds and a file's
+compression, so joins are merges: nothing is broadcast.
+
 A word's form is its near word found most often, if that is found at least twice as often. Roots follow forms by pointer
 doubling, whose rounds grow with the logarithm of the longest chain (itself at most the logarithm of the largest count).
 
@@ -113,7 +116,7 @@ def _short_pairs(words: DataFrame, symbols: int) -> DataFrame:
     asking = words.select("word", "n", "code", F.explode(_neighbourhood(F.col("code"), symbols)).alias("key"))
     asking = asking.select("word", "n", "key", (F.col("key") == F.col("code")).alias("same"))
     known = words.select(F.col("code").alias("key"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = asking.join(known, "key").filter(~F.col("same") | (F.col("word") < F.col("other")))
+    met = asking.hint("merge").join(known, "key").filter(~F.col("same") | (F.col("word") < F.col("other")))
     return met.filter(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
 
 
@@ -132,7 +135,8 @@ def _long_pairs(words: DataFrame) -> DataFrame:
     asked = F.concat(halves(F.col("size")), halves(F.col("size") - 1))
     asking = words.filter(F.col("size") > LONG).select("word", "n", "size", F.inline(asked))
     known = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.inline(halves(F.col("size"))))
-    met = asking.join(known, ["of", "first", "part"]).filter((F.col("size") > F.col("of")) | (F.col("word") < F.col("other")))
+    met = asking.hint("merge").join(known, ["of", "first", "part"])
+    met = met.filter((F.col("size") > F.col("of")) | (F.col("word") < F.col("other")))
     half = F.floor(F.col("of") / 2).cast("int")
     both = F.substr("word", F.lit(1), half) == F.substr("other", F.lit(1), half)
     near = met.filter((F.col("first") | ~both) & one_edit_apart("word", "other"))
@@ -153,7 +157,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     while not steps.filter("moved").isEmpty():
         further = steps.select(F.col("word").alias("root"), F.col("root").alias("further"))
         moved = F.col("further").isNotNull()
-        steps = materialize(steps.drop("moved").join(further, "root", "left").select(
+        steps = materialize(steps.drop("moved").join(further.hint("merge"), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), moved.alias("moved")), "roots")
     return steps.select("word", "root")
 
@@ -170,7 +174,7 @@ def grouped(words: DataFrame) -> DataFrame:
     near = materialize(best.select("word", "n_near", F.when(has, F.col("best.other")).alias("form"),
                                    F.when(has, -F.col("best.n")).alias("form_n")), "near-words")
     roots = _roots(near.filter(F.col("form").isNotNull()))
-    return words.join(near, "word", "left").join(roots, "word", "left").select(
+    return words.join(near.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from parley.llm import collocations, spelling
+from parley.session import materialize
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -202,3 +203,22 @@ def test_rare_prefixes_are_not_written(spark, monkeypatch):
     got = collocations.collocations(table, longest=3, min_count=1000, limit=60)
     assert got.count() == 0 and rows["windows"].count() == 110
     assert rows["windows"].filter("size = 1").agg(F.sum("n")).first()[0] == 20 * 120
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    """All sides grow with the vocabulary; by Spark's estimate of an exploded or compressed side, each would be small enough."""
+    plans = []
+
+    def watched(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, purpose)
+
+    monkeypatch.setattr(spelling, "materialize", watched)
+    words = [("kitten", 9), ("kittens", 3), ("mitten", 4), ("a" * 50, 3), ("a" * 51, 9), ("sitting", 3)]
+    got = spelling.grouped(spark.createDataFrame(words, "word string, n long"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {(r.word, r.root) for r in got.collect()} == {
+        ("kitten", "kitten"), ("kittens", "kitten"), ("mitten", "kitten"), ("a" * 50, "a" * 51), ("a" * 51, "a" * 51),
+        ("sitting", "sitting")}
